@@ -34,7 +34,7 @@ def _open(uri: str, mode: str):
     fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:/", "/", 1))
     if mode == "wb":
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        return fs.open_output_stream(path)
+        return fs.open_output_stream(path, compression=None)
     return fs.open_input_file(path) if mode == "at" else fs.open_input_stream(path, compression=None)
 
 
