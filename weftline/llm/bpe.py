@@ -12,8 +12,8 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,7 +25,7 @@ from weftline.llm._spark import text_of
 
 END = "</w>"
 MARK = "\n"  # stands for END in the automaton; no byte is written as a line feed there
-CACHED_WORDS, CACHED_PAIRS = 300_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS = 1_000_000, 1_000_000  # in each worker: some 250 MB at most
 # The code points of Unicode white space.
 # Letters and numbers of Unicode 16.0, and lower-case forms of 17.0, that Python's Unicode data (15.1) lacks.
 ADDED = {
@@ -36,20 +36,23 @@ LOWER = {ord("Σ"): ord("σ"), 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-def letter_class(kind: str) -> str:
-    """The inside of a character class with every code point whose Unicode category begins with ``kind``."""
-    found = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind or c in ADDED.get(kind, ())]
+def letter_class(kind: str, stop: int) -> str:
+    """The inside of a character class with every code point below ``stop`` whose Unicode category begins with ``kind``."""
+    found = [c for c in range(stop) if unicodedata.category(chr(c))[0] == kind or c in ADDED.get(kind, ())]
     starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
     ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
 @functools.cache
-def split_pattern() -> re.Pattern:
-    letters, numbers = letter_class("L"), letter_class("N")
-    space = "".join(rf"\U{c:08x}" for c in SPACES)
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
-
+def split_patterns() -> list[re.Pattern]:
+    """The pre-tokenizer's pattern, for texts of ASCII, of Latin-1 and of any letters. A contraction never begins with a letter, so letters can be tried first."""
+    made = []
+    for stop in (128, 256, 0x110000):
+        letters, numbers = letter_class("L", stop), letter_class("N", stop)
+        space = "".join(rf"\U{c:08x}" for c in SPACES if c < stop)
+        made.append(re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+"))
+    return made
 
 
 def byte_letters() -> list[str]:
@@ -59,6 +62,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Tokenizer:
     """Encodes and decodes with a word-end BPE vocabulary in the tokenizers library's JSON format."""
 
@@ -91,7 +102,7 @@ class Tokenizer:
         for s, i in whole.items():
             self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.split = split_pattern().findall
+        self.ascii, self.latin, self.any = (x.findall for x in split_patterns())
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.words: dict[str, bytes] = {}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -119,53 +130,69 @@ class Tokenizer:
                 limit, b = rb + 1, halves[b][0]
 
     def _may_follow(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._apart(a, b, len(self.rank) + 2)
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a, b] = self._apart(a, b, len(self.rank) + 2)
         return known
 
     def word(self, word: str) -> list[int]:
         s = "".join(map(self.letters.__getitem__, word.encode())) + MARK
-        longest = [(0, -1)] * len(s)
-        for end, match in self.automaton.iter(s):
-            start = end - match[0] + 1
-            if match > longest[start]:
-                longest[start] = match
-        alive, taken, at, token = [True] * (len(s) + 1), [], 0, longest[0][1]
-        while at < len(s):
-            while token >= 0 and not (alive[at + self.size[token]] and (not taken or self._may_follow(taken[-1], token))):
-                token = self.shorter[token]
+        n, size, shorter, pairs = len(s), self.size, self.shorter, self.pairs
+        longest = [-1] * (n + 1)
+        for end, (length, token) in self.automaton.iter(s):  # of one start, longer matches end later
+            longest[end - length + 1] = token
+        alive, taken, at, token, last = [True] * (n + 1), [], 0, longest[0], -1
+        while at < n:
+            while token >= 0:
+                if alive[at + size[token]]:
+                    fits = last < 0 or pairs.get((last, token))
+                    if fits is None:
+                        fits = self._may_follow(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 taken.append(token)
-                at += self.size[token]
-                token = longest[at][1] if at < len(s) else -1
+                last = token
+                at += size[token]
+                token = longest[at]
             elif taken:
                 alive[at] = False
                 token = taken.pop()
-                at -= self.size[token]
+                last = taken[-1] if taken else -1
+                at -= size[token]
             else:
                 raise ValueError(f"the vocabulary can't spell {word!r}")
         return taken
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else text.translate(LOWER).lower()
-        for w in self.split(text):
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                ids = self.words[w] = np.array(self.word(w), "<u4").tobytes()
-            yield ids
+    def _plain(self, text: str) -> bytes:
+        if text.isascii():
+            words = self.ascii(text.lower())
+        else:
+            text = unicodedata.normalize("NFC", text)
+            latin = is_latin(text)
+            words = self.latin(text.lower()) if latin else self.any(text.translate(LOWER).lower())
+        found = list(map(self.words.get, words))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._word_ids(words[k])
+        return b"".join(found)
+
+    def _word_ids(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= CACHED_WORDS:
+                self.words.clear()
+            ids = self.words[word] = struct.pack(f"<{len(taken := self.word(word))}I", *taken)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if self.at_special is None or "<|" not in text:
-            return b"".join(self._plain(text))
+            return self._plain(text)
         parts = self.at_special.split(text)
-        return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else b"".join(self._plain(p)) for k, p in enumerate(parts))
+        return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens, joined by spaces, in UTF-8: gathered from the table of all tokens by their offsets."""
