@@ -25,7 +25,7 @@ from weftline.llm._spark import text_of
 
 END = "</w>"
 MARK = "\n"  # stands for END in the automaton; no byte is written as a line feed there
-CACHED_WORDS, CACHED_PAIRS = 1_000_000, 1_000_000  # in each worker: some 250 MB at most
+CACHED_WORDS, CACHED_PAIRS = 250_000, 500_000  # in each worker: some 100 MB at most
 # The code points of Unicode white space.
 # Letters and numbers of Unicode 16.0, and lower-case forms of 17.0, that Python's Unicode data (15.1) lacks.
 ADDED = {
