@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,11 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, on storage all executors share."""
-    path = new_folder(df.sparkSession)
+def checkpoint(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, on storage all executors share.
+
+    ``done``: earlier checkpoints that nothing needs any more; their files go. The
+    driver then collects its garbage, so that the shuffles behind ``df`` are removed
+    from the executors' disks now and not at some later time.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in done:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old.checkpointed_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.checkpointed_at = path
+    return saved
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._rolling import SECOND, once, smallest, windows, word_hashes
+from weftline.llm._rolling import SECOND, once, smallest, spans, windows, word_hashes
 from weftline.llm._rows import id_type, one_row_per_id, per_document, signed
 from weftline.llm._spark import checkpoint
 
@@ -50,48 +50,74 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST) -> DataFrame:
-    """doc_id, starts: places (in words) of the passages of ``span`` words that also start in a document of smaller id.
+    """doc_id, starts, counts: runs of places (in words) of passages of ``span`` words that also start in a document of smaller id.
 
     Of documents only doc_id and text are used. Rows with a null id have no place in
     the order and neither lose nor cause anything; where an id has several rows the
     greatest text stands for it.
+
+    The last level takes runs of neighbouring passages together: in a run that some
+    document of smaller id has in the same words, every passage repeats. Only the
+    first document of each run is then looked up passage by passage, and only where
+    a different run shares its selected window.
     """
     docs, kind = one_row_per_id(documents.where(F.col("doc_id").isNotNull())), id_type(documents)
     sizes = levels(span, first)
+    none = np.zeros(0, np.int64)
 
-    def level(number: int):
-        size, last = sizes[number] if number < len(sizes) else span, number == len(sizes)
+    def hashed(text: bytes) -> np.ndarray:
+        return word_hashes(np.frombuffer(text, np.uint8))
 
+    def level(number: int):
         def one(text: bytes, kept: np.ndarray | None = None):
-            h = word_hashes(np.frombuffer(text, np.uint8))
+            h = hashed(text)
             if len(h) < span:
-                return [np.zeros(0, np.int64)] * (3 if last else 2)
-            alive = None if kept is None else _alive(h, span, sizes[number - 1], kept)
-            if not last:
-                return _selected(h, span, size, alive)
-            at = np.flatnonzero(alive)
-            return signed(windows(h, span)[at]), signed(windows(h ^ np.uint64(SECOND), span, 1)[at]), at.astype(np.int32)
-
-        names = ["doc_id", "key", *(["key2"] if last else []), "pos"]
-        schema = f"doc_id {kind}, key long, {'key2 long, ' * last}pos int"
-        return (lambda batches: per_document(batches, one, names)), schema
-
-    run, schema = level(0)
-    rows = checkpoint(docs.mapInArrow(run, schema))
-    for number in range(1, len(sizes) + 1):
-        kept = _kept(rows)
-        run, schema = level(number)
-        rows = checkpoint(docs.join(kept, "doc_id").select("doc_id", "text", "kept").mapInArrow(run, schema))
-    least = rows.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi")).where("first < hi").drop("hi")
-    return rows.join(least, ["key", "key2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
-
-
-def covered(n: int, starts, span: int) -> np.ndarray:
+                return [none, none]
+            return _selected(h, span, sizes[number], None if kept is None else _alive(h, span, sizes[number - 1], kept))
+
+        return lambda batches: per_document(batches, one, ["doc_id", "key", "pos"])
+
+    def runs(text: bytes, kept: np.ndarray):
+        h = hashed(text)
+        alive = np.flatnonzero(_alive(h, span, sizes[-1], kept))
+        grams = windows(h, sizes[0])
+        at = smallest(grams, span - sizes[0] + 1)[alive]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(alive) != 1) | (np.diff(at) != 0)])) if len(alive) else none
+        start, count = alive[new], np.diff(np.append(new, len(alive)))
+        words = spans(h, start, start + count + span - 1)
+        again = spans(h ^ np.uint64(SECOND), start, start + count + span - 1, 1)
+        return signed(grams[at[new]]), signed(words), signed(again), start.astype(np.int32), count.astype(np.int32)
+
+    def passages(text: bytes, starts: np.ndarray, counts: np.ndarray):
+        h = hashed(text)
+        at = np.repeat(starts, counts) + np.concatenate([np.arange(c) for c in counts])
+        return signed(windows(h, span)[at]), signed(windows(h ^ np.uint64(SECOND), span, 1)[at]), at.astype(np.int32)
+
+    rows = checkpoint(docs.mapInArrow(level(0), f"doc_id {kind}, key long, pos int"))
+    for number in range(1, len(sizes)):
+        rows = checkpoint(docs.join(_kept(rows), "doc_id").select("doc_id", "text", "kept").mapInArrow(level(number), f"doc_id {kind}, key long, pos int"), rows)
+    names = ["doc_id", "key", "run", "run2", "start", "count"]
+    found = docs.join(_kept(rows), "doc_id").select("doc_id", "text", "kept")
+    found = checkpoint(found.mapInArrow(lambda b: per_document(b, runs, names), f"doc_id {kind}, key long, run long, run2 long, start int, count int"), rows)
+
+    each = found.groupBy("key", "run", "run2").agg(F.min("doc_id").alias("first"))
+    shared = each.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("shared"))
+    marked = found.join(each, ["key", "run", "run2"]).join(shared, "key", "left")
+    marked = checkpoint(marked.where("doc_id > first or shared").select("doc_id", "start", "count", (F.col("doc_id") > F.col("first")).alias("whole")), found)
+    asked = marked.where("not whole").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    asked = docs.join(asked, "doc_id").select("doc_id", "text", "starts", "counts")
+    single = checkpoint(asked.mapInArrow(lambda b: per_document(b, passages, ["doc_id", "key", "key2", "pos"]), f"doc_id {kind}, key long, key2 long, pos int"))
+    least = single.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    late = single.join(least, ["key", "key2"]).where("doc_id > first").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("count"))
+    late = late.unionByName(marked.where("whole").select("doc_id", "start", "count"))
+    return checkpoint(late.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")), single, marked)
+
+
+def covered(n: int, starts, counts, span: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
-    if starts is not None and len(starts):
-        starts = np.asarray(starts)
+    if starts is not None:
         np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + span, -1)
+        np.add.at(edge, starts + counts + span - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -103,15 +129,15 @@ def deduplicate(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """
     starts = repeated_passages(documents, span)
     docs = one_row_per_id(documents.where(F.col("doc_id").isNotNull())).join(starts, "doc_id", "left")
-    docs = docs.unionByName(documents.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("starts")))
+    docs = docs.unionByName(documents.where(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("counts")))
 
-    def one(text: bytes, at):
+    def one(text: bytes, starts, counts):
         words = text.split()
-        gone = covered(len(words), at, span)
+        gone = covered(len(words), starts, counts, span)
         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
         return np.array([kept], object), np.array([len(words)]), np.array([int(gone.sum())])
 
-    return docs.select("doc_id", "text", "starts").mapInArrow(
+    return docs.select("doc_id", "text", "starts", "counts").mapInArrow(
         lambda b: per_document(b, one, ["doc_id", "text", "n_words", "n_removed"]), f"doc_id {id_type(documents)}, text binary, n_words long, n_removed long"
     ).withColumn("text", F.col("text").cast("string"))
 

@@ -183,34 +183,37 @@ def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
         stop = np.append(first[1:], len(at)) + span - 1
         good = np.isin(at[first], kept)
         first, stop = first[good], stop[good]
-        contents = np.empty(len(first), object)
-        contents[:] = [text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-        return signed(grams[at[first]]), signed(spans(BYTES[data], first, stop)), first.astype(np.int32), (stop - first - span + 1).astype(np.int32), contents
+        return signed(grams[at[first]]), signed(spans(BYTES[data], first, stop)), first.astype(np.int32), (stop - first - span + 1).astype(np.int32)
+
+    def contents(text: bytes, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, strings: np.ndarray):
+        cut = np.empty(len(keys), object)
+        cut[:] = [text[a : a + n + span - 1] for a, n in zip(starts.tolist(), strings.tolist(), strict=True)]
+        return keys, ids, cut
 
     rows = checkpoint(docs.mapInArrow(lambda b: per_document(b, anchors, ["doc_id", "key", "pos"]), f"doc_id {kind}, key long, pos int"))
     keys = rows.groupBy("key").count().where("count > 1").select("key")
     kept = rows.join(keys, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("kept"))
     with_kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "kept")
-    names = ["doc_id", "key", "stretch", "start", "strings", "content"]
-    found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int, content binary"))
-
-    each = found.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.first("strings").alias("strings"))
-    total = each.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("times").alias("times"))
-    whole = each.where("times > 1").select("key", "stretch", F.lit(0).alias("start"), F.col("strings").alias("stop"))
-    several = total.where("kinds > 1").select("key", F.ceil(F.col("kinds") / block).cast("int").alias("blocks"))
-    distinct = found.groupBy("key", "stretch").agg(F.first("content").alias("content")).join(several, "key")
-    dealt = distinct.select("key", F.pmod(F.xxhash64("stretch"), F.col("blocks")).cast("int").alias("salt"), (F.col("blocks") > 1).alias("salted"), "stretch", "content")
+    names = ["doc_id", "key", "stretch", "start", "strings"]
+    found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int"), rows)
+
+    each = found.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "strings")).alias("one"))
+    each = checkpoint(each)
+    several = each.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.ceil(F.col("kinds") / block).cast("int").alias("blocks"))
+    whole = each.where("times > 1").select("key", "stretch", F.lit(0).alias("lo"), F.col("one.strings").alias("hi"))
+    asked = each.join(several, "key").groupBy(F.col("one.doc_id").alias("_id")).agg(*[F.collect_list(c).alias(f"_{k}") for k, c in enumerate(("key", "stretch", "one.start", "one.strings"))])
+    asked = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "_0", "_1", "_2", "_3")
+    distinct = asked.mapInArrow(lambda b: per_document(b, contents, ["doc_id", "key", "stretch", "content"]), f"doc_id {kind}, key long, stretch long, content binary")
+    dealt = distinct.join(several, "key").select("key", F.pmod(F.xxhash64("stretch"), F.col("blocks")).cast("int").alias("salt"), (F.col("blocks") > 1).alias("salted"), "stretch", "content")
     dealt = dealt.repartition(partitions(documents.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
     matched = checkpoint(dealt.mapInArrow(lambda b: _match(b, span), RANGE))
     across = matched.where("w1 is not null")
     twice = across.groupBy("key", "w1", "w2").count().where("count > 1").drop("count")
-    ranges = (
-        whole.unionByName(matched.where("w1 is null").select("key", "stretch", "start", "stop"))
-        .unionByName(across.where("not shared").join(twice, ["key", "w1", "w2"]).select("key", "stretch", "start", "stop"))
-        .withColumnsRenamed({"start": "lo", "stop": "hi"})
-    )
+    named = F.col("key"), F.col("stretch"), F.col("start").alias("lo"), F.col("stop").alias("hi")
+    ranges = whole.unionByName(matched.where("w1 is null").select(*named)).unionByName(across.where("not shared").join(twice, ["key", "w1", "w2"]).select(*named))
     places = found.select("doc_id", "key", "stretch", "start").join(ranges, ["key", "stretch"])
-    return places.groupBy("doc_id").agg(F.collect_list(F.col("start") + F.col("lo")).alias("starts"), F.collect_list(F.col("start") + F.col("hi")).alias("stops"))
+    places = places.groupBy("doc_id").agg(F.collect_list(F.col("start") + F.col("lo")).alias("starts"), F.collect_list(F.col("start") + F.col("hi")).alias("stops"))
+    return checkpoint(places, found, each, matched)
 
 
 def deduplicate(documents: DataFrame, span: int = SPAN) -> DataFrame:
