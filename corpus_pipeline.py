@@ -1,5 +1,72 @@
-"""Placeholder until the stages are built."""
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""A training corpus from raw documents: stages that each read all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
+the columns of ``documents``; the last returns their token ids. Between stages the
+rows are written as Parquet to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
+from weftline.llm._spark import checkpoint, table, text_of
+
+ORACLE_SQL = None  # the scores of the first stage are learned
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is a half or more go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first that has them; a document of nothing else goes too."""
+    left = line_dedup.deduplicate(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept", "n_dropped")
+    narrow = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*narrow, F.xxhash64(text_of()).alias("_of"), F.col("text").isNull().alias("_null"))
+    rows = rows.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")))
+    rows = rows.where((F.col("n_dropped") == 0) | (F.trim("kept") != ""))
+    changed = F.col("n_dropped") > 0
+    made = {"text": F.when(~F.col("_null"), F.col("kept")), "n_chars": F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates stays (five words, likeness of 0.8); rows that repeat an id with the same text are one."""
+    groups = jaccard_join.near_duplicates(docs)
+    kept = groups.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_id"))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages in a twentieth of their words or more go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    ids = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_recurring_lines),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("bpe encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = checkpoint(docs)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import bpe, decontamination, substring_dedup, suffix_dedup, warc
+from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, order_minhash, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from weftline.llm._spark import table
 
 
@@ -15,15 +15,20 @@ def _documents(f):
 def queries() -> dict:
     return {
         "op1_decontamination": lambda s, d: decontamination.report(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op2_toxicity": lambda s, d: toxicity.report(table(s, d, "documents"), table(s, d, "labels")),
+        "op3_order_minhash": _documents(order_minhash.report),
         "op4_bpe": _documents(lambda t: bpe.report(t, public_tokenizers.path("word_bpe_49k.json"))),
         "op5_suffix_array": _documents(suffix_dedup.report),
+        "op6_line_templates": _documents(line_dedup.report),
+        "op7_token_counts": _documents(lambda t: token_counts.report(t, public_tokenizers.path("byte_bpe_50k.tiktoken"))),
+        "op8_jaccard_join": _documents(jaccard_join.report),
         "op9_substring_doubling": _documents(substring_dedup.report),
         "op10_warc": lambda s, d: warc.report(table(s, d, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10, "op1_decontamination": OP1}
+    return {"op1_decontamination": OP1, "op6_line_templates": line_dedup.SQL, "op9_substring_doubling": OP9, "op10_warc": OP10}
 
 
 OP10 = """
@@ -52,3 +57,15 @@ SELECT dw.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_h
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN ids ON ids.doc_id = dw.doc_id
 """
+
+OP9 = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS first FROM p GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM p JOIN f USING (win) WHERE doc_id > first),
+kept AS (
+  SELECT a.doc_id AS doc_id, count(*) FILTER (WHERE g.k IS NOT NULL) AS n_removed, string_agg(a.word, ' ' ORDER BY a.k) FILTER (WHERE g.k IS NULL) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w) a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.k = a.k GROUP BY 1)
+SELECT w.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
