@@ -38,10 +38,16 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How many shingles of all documents fall into each counter; summed by Spark, BUCKETS numbers in all."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total, held, n = np.zeros(BUCKETS, np.int64), [], 0
         for b in batches:
             for text in b.column(0):
-                np.add.at(total, (shingles(text.as_py().encode(), words) >> np.uint64(46)).astype(np.int64), 1)
+                held.append((shingles(text.as_py().encode(), words) >> np.uint64(46)).astype(np.int64))
+                n += len(held[-1])
+                if n > 1_000_000:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -56,14 +62,15 @@ def _signatures(docs: DataFrame, kind: str, words: int, percent: int, counts) ->
     """doc_id, n, two hashes of the set, its prefix in the common order and that prefix's hash."""
 
     def run(batches):
-        often = counts.value
+        often = np.minimum(counts.value, (1 << 28) - 1).astype(np.uint64)
         for b in batches:
             cols = [[] for _ in range(5)]
             for text in b.column(1):
                 s = shingles(text.as_py().encode(), words)
                 n = len(s)
                 keep = n - (percent * n + 99) // 100 + 1 if n else 0
-                order = np.lexsort((s, often[(s >> np.uint64(46)).astype(np.int64)]))[:keep]
+                rank = often[(s >> np.uint64(46)).astype(np.int64)] << np.uint64(36) | s >> np.uint64(28)  # shingles are ascending: equal ranks keep that order
+                order = np.argsort(rank, kind="stable")[:keep]
                 zero, end = np.array([0]), np.array([n])
                 cols[0].append(n)
                 cols[1].append(int(signed(spans(s, zero, end))[0]) if n else 0)
@@ -122,6 +129,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     classes = checkpoint(classes.join(classes.groupBy("n", "prefix_hash").agg(F.min("class_id").alias("group_id")), ["n", "prefix_hash"]))
     groups = signs.join(classes.where("class_id = group_id").select("group_id"), F.col("doc_id") == F.col("group_id")).select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
     groups = checkpoint(groups)
+    leaders = groups.groupBy("token").agg(F.min(F.struct("group_id", "n", "at")).alias("l"), F.count("*").alias("many")).where("many > 1")
+    leaders = leaders.select("token", *[F.col(f"l.{c}").alias(f"{c}_y") for c in ("group_id", "n", "at")])
+    groups = checkpoint(groups.join(leaders, "token"), groups)  # only shingles that groups share, each with its first group
     members = classes.select("class_id", "group_id")
 
     def near(x: str, y: str) -> Column:
@@ -135,8 +145,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     def of(classes_of: str, x: str) -> DataFrame:
         return members.select(F.col("group_id").alias(f"group_id{x}"), F.col("class_id").alias(classes_of))
 
-    leaders = groups.groupBy("token").agg(F.min(F.struct("group_id", "n", "at")).alias("l"), F.count("*").alias("many")).where("many > 1").select("token", "l.*")
-    star = side(groups, "_x").join(side(leaders, "_y"), "token").where((F.col("group_id_x") != F.col("group_id_y")) & near("_x", "_y"))
+    star = groups.withColumnsRenamed({c: f"{c}_x" for c in ("group_id", "n", "at")}).where((F.col("group_id_x") != F.col("group_id_y")) & near("_x", "_y"))
     star = star.select("group_id_x", "group_id_y").distinct().join(members.where("class_id = group_id").select(F.col("group_id").alias("group_id_x")), "group_id_x")
     star = star.select(F.col("group_id_y").alias("a"), F.col("group_id_x").alias("b"))
     within = members.where("class_id != group_id").select(F.col("group_id").alias("a"), F.col("class_id").alias("b"))
@@ -146,9 +155,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     labels = members.join(found, F.col("class_id") == F.col("id"), "left").select("class_id", "group_id", F.coalesce("component", "class_id").alias("label"))
     parts = labels.groupBy("group_id").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    marked = groups.join(parts, "group_id")
+    marked = groups.select("token", "group_id", "n", "at").join(parts, "group_id")
     mixed_lists = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
-    marked = checkpoint(marked.join(mixed_lists, "token"))
+    marked = checkpoint(marked.join(mixed_lists, "token"), groups)
     differ = "(low_x != low_y or low_x != high_x or low_y != high_y)"
     cross = side(marked, "_x").join(side(marked, "_y"), "token").where((F.col("group_id_x") < F.col("group_id_y")) & F.expr(differ) & near("_x", "_y"))
     cross = cross.select("group_id_x", "group_id_y").distinct().join(of("a", "_x"), "group_id_x").join(of("b", "_y"), "group_id_y").select("a", "b")

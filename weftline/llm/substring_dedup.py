@@ -95,10 +95,12 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST
 
     rows = checkpoint(docs.mapInArrow(level(0), f"doc_id {kind}, key long, pos int"))
     for number in range(1, len(sizes)):
-        rows = checkpoint(docs.join(_kept(rows), "doc_id").select("doc_id", "text", "kept").mapInArrow(level(number), f"doc_id {kind}, key long, pos int"), rows)
+        kept = checkpoint(_kept(rows), rows)
+        rows = checkpoint(docs.join(kept, "doc_id").select("doc_id", "text", "kept").mapInArrow(level(number), f"doc_id {kind}, key long, pos int"), kept)
     names = ["doc_id", "key", "run", "run2", "start", "count"]
-    found = docs.join(_kept(rows), "doc_id").select("doc_id", "text", "kept")
-    found = checkpoint(found.mapInArrow(lambda b: per_document(b, runs, names), f"doc_id {kind}, key long, run long, run2 long, start int, count int"), rows)
+    kept = checkpoint(_kept(rows), rows)
+    found = docs.join(kept, "doc_id").select("doc_id", "text", "kept")
+    found = checkpoint(found.mapInArrow(lambda b: per_document(b, runs, names), f"doc_id {kind}, key long, run long, run2 long, start int, count int"), kept)
 
     each = found.groupBy("key", "run", "run2").agg(F.min("doc_id").alias("first"))
     shared = each.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("shared"))

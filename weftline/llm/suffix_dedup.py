@@ -45,6 +45,23 @@ def suffix_array(text) -> list[int]:
     top, descending = len(letters) - 1, []
     while top >= 0:
         now = [i for i in members[top] if group[i] == top]
+        if len(now) == 1:  # most groups; as below
+            i = p = now[0]
+            left[i + 1] = i
+            while left[p] != p:
+                left[p] = p = left[left[p]]
+            if p:
+                g, made = group[p - 1], len(size)
+                size.append(size[g] + size[top])
+                members.append([p - 1])
+                group[p - 1] = made
+                up = higher[g]
+                lower.append(g)
+                higher.append(up)
+                lower[up] = higher[g] = made
+            descending.append(top)
+            top = lower[top]
+            continue
         for i in now:
             left[i + 1] = i
         times: dict[int, int] = {}
@@ -192,10 +209,10 @@ def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
 
     rows = checkpoint(docs.mapInArrow(lambda b: per_document(b, anchors, ["doc_id", "key", "pos"]), f"doc_id {kind}, key long, pos int"))
     keys = rows.groupBy("key").count().where("count > 1").select("key")
-    kept = rows.join(keys, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("kept"))
+    kept = checkpoint(rows.join(keys, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("kept")), rows)
     with_kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "kept")
     names = ["doc_id", "key", "stretch", "start", "strings"]
-    found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int"), rows)
+    found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int"), kept)
 
     each = found.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "strings")).alias("one"))
     each = checkpoint(each)
