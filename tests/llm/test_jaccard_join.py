@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from weftline.llm import jaccard_join as J
 
 
@@ -64,3 +66,17 @@ def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in d.collect()]
     assert got(J.report(d)) == brute(rows)
     assert got(J.near_duplicates(d)) == brute(rows, 5, 80)
+
+
+def test_sketch_never_understates():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 300, 5000):
+        for m in (1, 3, 64, 900):
+            pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[n // 3 : n // 3 + m])
+            assert J.most_shared(J.sketch(a), J.sketch(b)) >= len(np.intersect1d(a, b))
+    heavy = np.arange(1, 1000, dtype=np.uint64) << np.uint64(20)  # all in one bucket, beyond what a byte counts
+    assert J.most_shared(J.sketch(heavy), J.sketch(heavy)) >= len(heavy)
+    assert J.most_shared(J.sketch(heavy[:400]), J.sketch(heavy)) >= 400
+    unlike = [rng.integers(0, 1 << 63, 1000, dtype=np.uint64) for _ in range(2)]
+    assert J.most_shared(*map(J.sketch, unlike)) < 800

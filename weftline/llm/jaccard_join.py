@@ -4,7 +4,8 @@ Documents with one set of shingles are one class. A set is put in one order for
 all (rarer shingles first); two like sets share a shingle of their prefixes.
 Classes of the same size and the same prefix are one group, and only groups are
 paired: by a shared prefix shingle, their sizes, and its places. The pairs of
-groups are then expanded to classes and verified on the whole sets.
+groups are then expanded to classes and verified on the whole sets, after pairs
+that count sketches of the sets prove too unlike are left out.
 
 Pairs are made in two rounds. In the first, each group meets the first group of
 each of its prefix shingles. What is linked then needs no more pairs among
@@ -34,6 +35,20 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(windows(h, words) if len(h) >= words else spans(h, np.array([0]), np.array([len(h)])))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of at least as many buckets, a power of two; a byte each, 255 stands for that or more."""
+    size = 1 << max(0, len(s) - 1).bit_length()
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """No fewer than the shingles that two sketched sets share; the larger sketch is folded to the smaller's buckets."""
+    a, b = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
+    a[a == 255] = b[b == 255] = 1 << 32
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, size).sum(axis=0), b.reshape(-1, size).sum(axis=0)).sum())
+
+
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How many shingles of all documents fall into each counter; summed by Spark, BUCKETS numbers in all."""
 
@@ -59,12 +74,12 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, kind: str, words: int, percent: int, counts) -> DataFrame:
-    """doc_id, n, two hashes of the set, its prefix in the common order and that prefix's hash."""
+    """doc_id, n, two hashes of the set, its prefix in the common order, that prefix's hash and the set's sketch."""
 
     def run(batches):
         often = np.minimum(counts.value, (1 << 28) - 1).astype(np.uint64)
         for b in batches:
-            cols = [[] for _ in range(5)]
+            cols = [[] for _ in range(6)]
             for text in b.column(1):
                 s = shingles(text.as_py().encode(), words)
                 n = len(s)
@@ -77,21 +92,37 @@ def _signatures(docs: DataFrame, kind: str, words: int, percent: int, counts) ->
                 cols[2].append(int(signed(spans(mixed(s, SECOND), zero, end, 1))[0]) if n else 0)
                 cols[3].append(signed(s[order]))
                 cols[4].append(int(signed(spans(s[order], zero, np.array([keep])))[0]) if n else 0)
-            arrays = [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n", "s1", "s2", "prefix", "prefix_hash"])
+                cols[5].append(sketch(s))
+            arrays = [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n", "s1", "s2", "prefix", "prefix_hash", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, prefix array<long>, prefix_hash long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, prefix array<long>, prefix_hash long, sketch binary")
 
 
 def _enough(percent: int, na: Column, nb: Column, shared: Column) -> Column:
     return (100 + percent) * shared.cast("long") >= percent * (na + nb).cast("long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, signs: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of documents that their sketches don't prove too unlike."""
+
+    def bound(batches):
+        for b in batches:
+            good = []
+            for na, nb, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                shared = min(na, nb, most_shared(x, y))
+                good.append(100 * shared >= percent * (na + nb - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    known = signs.where("n > 0 and doc_id is not null")
+    one, two = (known.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in ("a", "b"))
+    return checkpoint(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, f"a {kind}, b {kind}"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of documents that are like enough, by their whole sets."""
-    if not hasattr(pairs, "checkpointed_at"):
-        pairs = checkpoint(pairs)
     kind = id_type(docs)
+    pairs = _possible(pairs, signs, kind, percent)
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def sets(batches):
@@ -150,7 +181,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     star = star.select(F.col("group_id_y").alias("a"), F.col("group_id_x").alias("b"))
     within = members.where("class_id != group_id").select(F.col("group_id").alias("a"), F.col("class_id").alias("b"))
     first_pairs = checkpoint(star.unionByName(within).distinct())
-    links = _verified(first_pairs, docs, words, percent)
+    links = _verified(first_pairs, docs, signs, words, percent)
     found = checkpoint(components(links))
 
     labels = members.join(found, F.col("class_id") == F.col("id"), "left").select("class_id", "group_id", F.coalesce("component", "class_id").alias("label"))
@@ -165,7 +196,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     inner = split.join(split.select("group_id", F.col("class_id").alias("b"), F.col("label").alias("lb")), "group_id").where("class_id < b and label != lb").select(F.col("class_id").alias("a"), "b")
     label = labels.select("class_id", "label")
     pairs = cross.unionByName(inner).join(label.select(F.col("class_id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("class_id").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
-    more = _verified(pairs.select("a", "b").join(first_pairs, ["a", "b"], "left_anti"), docs, words, percent)
+    more = _verified(pairs.select("a", "b").join(first_pairs, ["a", "b"], "left_anti"), docs, signs, words, percent)
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     in_class = signs.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left")
