@@ -162,7 +162,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     groups = checkpoint(groups)
     leaders = groups.groupBy("token").agg(F.min(F.struct("group_id", "n", "at")).alias("l"), F.count("*").alias("many")).where("many > 1")
     leaders = leaders.select("token", *[F.col(f"l.{c}").alias(f"{c}_y") for c in ("group_id", "n", "at")])
-    groups = checkpoint(groups.join(leaders, "token"), groups)  # only shingles that groups share, each with its first group
+    leaders = checkpoint(leaders)  # written: Spark splits a frequent shingle only where both sides of a join are shuffled for it
+    groups = checkpoint(groups.join(leaders, "token"), groups, leaders)  # only shingles that groups share, each with its first group
     members = classes.select("class_id", "group_id")
 
     def near(x: str, y: str) -> Column:
@@ -187,8 +188,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     labels = members.join(found, F.col("class_id") == F.col("id"), "left").select("class_id", "group_id", F.coalesce("component", "class_id").alias("label"))
     parts = labels.groupBy("group_id").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     marked = groups.select("token", "group_id", "n", "at").join(parts, "group_id")
-    mixed_lists = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
-    marked = checkpoint(marked.join(mixed_lists, "token"), groups)
+    mixed_lists = checkpoint(marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token"))
+    marked = checkpoint(marked.join(mixed_lists, "token"), groups, mixed_lists)
     differ = "(low_x != low_y or low_x != high_x or low_y != high_y)"
     cross = side(marked, "_x").join(side(marked, "_y"), "token").where((F.col("group_id_x") < F.col("group_id_y")) & F.expr(differ) & near("_x", "_y"))
     cross = cross.select("group_id_x", "group_id_y").distinct().join(of("a", "_x"), "group_id_x").join(of("b", "_y"), "group_id_y").select("a", "b")
