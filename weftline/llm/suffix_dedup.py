@@ -208,8 +208,8 @@ def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
         return keys, ids, cut
 
     rows = checkpoint(docs.mapInArrow(lambda b: per_document(b, anchors, ["doc_id", "key", "pos"]), f"doc_id {kind}, key long, pos int"))
-    keys = rows.groupBy("key").count().where("count > 1").select("key")
-    kept = checkpoint(rows.join(keys, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("kept")), rows)
+    keys = checkpoint(rows.groupBy("key").count().where("count > 1").select("key"))  # written: Spark splits a frequent key only where both sides of a join are shuffled for it
+    kept = checkpoint(rows.join(keys, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("kept")), rows, keys)
     with_kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "kept")
     names = ["doc_id", "key", "stretch", "start", "strings"]
     found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int"), kept)
