@@ -44,9 +44,13 @@ def _selected(hashes: np.ndarray, span: int, size: int, alive: np.ndarray | None
 
 
 def _kept(rows: DataFrame) -> DataFrame:
-    """doc_id, kept: the places whose window occurs in two documents or more. Windows are pre-aggregated; a frequent one is split by the skew join."""
-    keys = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    return rows.join(keys, "key").groupBy("doc_id").agg(F.collect_list("pos").alias("kept"))
+    """doc_id, kept: the places whose window occurs in two documents or more; the files of rows go.
+
+    Windows are pre-aggregated. Those kept are written, since Spark splits a frequent
+    key only where both sides of a join are shuffled for it.
+    """
+    keys = checkpoint(rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"))
+    return checkpoint(rows.join(keys, "key").groupBy("doc_id").agg(F.collect_list("pos").alias("kept")), rows, keys)
 
 
 def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST) -> DataFrame:
@@ -95,24 +99,24 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST
 
     rows = checkpoint(docs.mapInArrow(level(0), f"doc_id {kind}, key long, pos int"))
     for number in range(1, len(sizes)):
-        kept = checkpoint(_kept(rows), rows)
+        kept = _kept(rows)
         rows = checkpoint(docs.join(kept, "doc_id").select("doc_id", "text", "kept").mapInArrow(level(number), f"doc_id {kind}, key long, pos int"), kept)
     names = ["doc_id", "key", "run", "run2", "start", "count"]
-    kept = checkpoint(_kept(rows), rows)
+    kept = _kept(rows)
     found = docs.join(kept, "doc_id").select("doc_id", "text", "kept")
     found = checkpoint(found.mapInArrow(lambda b: per_document(b, runs, names), f"doc_id {kind}, key long, run long, run2 long, start int, count int"), kept)
 
-    each = found.groupBy("key", "run", "run2").agg(F.min("doc_id").alias("first"))
+    each = checkpoint(found.groupBy("key", "run", "run2").agg(F.min("doc_id").alias("first")))
     shared = each.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("shared"))
     marked = found.join(each, ["key", "run", "run2"]).join(shared, "key", "left")
-    marked = checkpoint(marked.where("doc_id > first or shared").select("doc_id", "start", "count", (F.col("doc_id") > F.col("first")).alias("whole")), found)
+    marked = checkpoint(marked.where("doc_id > first or shared").select("doc_id", "start", "count", (F.col("doc_id") > F.col("first")).alias("whole")), found, each)
     asked = marked.where("not whole").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
     asked = docs.join(asked, "doc_id").select("doc_id", "text", "starts", "counts")
     single = checkpoint(asked.mapInArrow(lambda b: per_document(b, passages, ["doc_id", "key", "key2", "pos"]), f"doc_id {kind}, key long, key2 long, pos int"))
-    least = single.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    least = checkpoint(single.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     late = single.join(least, ["key", "key2"]).where("doc_id > first").select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("count"))
     late = late.unionByName(marked.where("whole").select("doc_id", "start", "count"))
-    return checkpoint(late.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")), single, marked)
+    return checkpoint(late.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")), single, marked, least)
 
 
 def covered(n: int, starts, counts, span: int) -> np.ndarray:
