@@ -107,7 +107,7 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST
     found = checkpoint(found.mapInArrow(lambda b: per_document(b, runs, names), f"doc_id {kind}, key long, run long, run2 long, start int, count int"), kept)
 
     each = checkpoint(found.groupBy("key", "run", "run2").agg(F.min("doc_id").alias("first")))
-    shared = each.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("shared"))
+    shared = checkpoint(each.groupBy("key").count().where("count > 1").select("key")).select("key", F.lit(True).alias("shared"))
     marked = found.join(each, ["key", "run", "run2"]).join(shared, "key", "left")
     marked = checkpoint(marked.where("doc_id > first or shared").select("doc_id", "start", "count", (F.col("doc_id") > F.col("first")).alias("whole")), found, each)
     asked = marked.where("not whole").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
