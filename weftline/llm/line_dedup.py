@@ -2,8 +2,8 @@
 
 Lines are parsed to a fixed depth: by their number of words, then by their first
 ``LEADING`` words, a word with a digit counting as the variable field ``<*>``.
-Lines of one leaf fall into templates: further words keep their place in the
-template, variable fields are generalised. A template that ``MIN_DOCS``
+Within a leaf a template is the whole masked line: words without digits are never
+generalised, and templates do not merge by likeness. A template that ``MIN_DOCS``
 documents have is boilerplate; its lines go, but for the first document.
 """
 
