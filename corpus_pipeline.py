@@ -23,24 +23,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first that has them; a document of nothing else goes too."""
+    """Lines of recurring templates go from all documents but the first that has them; a document of nothing else goes too. Rows with a null id stay as they are."""
     left = line_dedup.deduplicate(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept", "n_dropped")
     narrow = [c for c in docs.columns if c != "text"]
     rows = docs.select(*narrow, F.xxhash64(text_of()).alias("_of"), F.col("text").isNull().alias("_null"))
-    rows = rows.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")))
+    rows = rows.join(left, (F.col("doc_id") == F.col("_id")) & (F.col("_of") == F.col("_hash")))
     rows = rows.where((F.col("n_dropped") == 0) | (F.trim("kept") != ""))
     changed = F.col("n_dropped") > 0
     made = {"text": F.when(~F.col("_null"), F.col("kept")), "n_chars": F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    rows = rows.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates stays (five words, likeness of 0.8); rows that repeat an id with the same text are one."""
-    groups = jaccard_join.near_duplicates(docs)
+    """The document of smallest id of each group of near duplicates stays (five words, likeness of 0.8); rows that repeat an id with the same text are one.
+
+    Where ids repeat each text of an id is judged by itself. Rows with a null id stay.
+    """
+    known = docs.where(F.col("doc_id").isNotNull())
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash")) if repeated else F.col("doc_id")
+    groups = jaccard_join.near_duplicates(known.select(own.alias("doc_id"), "text"))
     kept = groups.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_id"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    rows = known.join(kept, own == F.col("_id"), "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,10 @@ def test_documents(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in d.collect()])
     assert sum(r[2] for r in want) > 0 and got(L.report(d)) == want
+
+
+def test_every_text_of_null_and_repeated_ids(spark):
+    rows = [(None, "All rights reserved."), (None, "other"), (None, None), (1, "All rights reserved.\na"), (1, "All rights reserved.\nb"), (2, "All rights reserved.\nc"), (3, "d\nAll rights reserved."), (3, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(L.report(df)) == brute(rows)
+    assert got(L.report(df.union(df))) == brute(rows)

@@ -41,3 +41,14 @@ def test_each_stage_against_brute_force(spark, sf):
     last = {r.doc_id: bytes(r.ids) for r in P.encode(spark, four, sf).collect()}
     assert last == {i: t.encode(x) for i, x in rows(four).items()}
     assert {r.doc_id: bytes(r.ids) for r in P.run(spark, sf).collect()} == last
+
+
+def test_null_and_repeated_ids_lose_no_rows(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    own = lambda k: " ".join(f"w{k}x{chr(97 + j)}" for j in range(20))
+    rows = [(None, own(1)), (None, own(2)), (None, own(2)), (None, None), (None, item), (7, own(3)), (7, own(4)), (8, own(5)), (8, item), (9, own(4) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, k int")
+    left = lambda df: sorted(r.k for r in df.collect())
+    assert left(P.drop_recurring_lines(spark, docs, sf)) == list(range(10))
+    assert left(P.drop_near_duplicates(spark, docs, sf)) == list(range(9))
+    assert left(P.drop_contaminated(spark, docs, sf)) == [0, 1, 2, 3, 5, 6, 7, 9]

@@ -21,6 +21,17 @@ def one_row_per_id(documents: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
+def one_row_per_text(documents: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), once for each text that an id, or no id, has.
+
+    Ids are counted first, without texts; texts are grouped only if some id repeats.
+    """
+    docs = documents.select("doc_id", text_of().alias("text"))
+    if documents.select("doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs
+    return docs.distinct()
+
+
 def id_type(documents: DataFrame) -> str:
     return documents.schema["doc_id"].dataType.simpleString()
 

@@ -90,8 +90,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     is matched whole. Repeated items count once; an item with a null id covers
     words but is in no list. Empty tables give no rows or no hits.
 
-    Returns doc_id, n_words, spans (array of start, stop in words: may overlap),
-    item_ids (array of strings, sorted).
+    Returns doc_id, text_hash, n_words, spans (array of start, stop in words: may
+    overlap), item_ids (array of strings, sorted).
     """
     items = (
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(text_of()).alias("w"))
@@ -124,7 +124,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         F.collect_list(F.when(F.col("need").isNotNull(), F.struct("pos", "q", "b", "need", "item_id"))).alias("hits"),
     )
     none = by_doc.where(F.size("hits") == 0).select(
-        "doc_id", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids")
+        "doc_id", "text_hash", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids")
     )
 
     some = by_doc.where(F.size("hits") > 0).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
@@ -150,7 +150,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         F.array_distinct(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))).alias("spans"),
         F.array_sort(F.array_distinct(F.filter(F.transform("runs", lambda r: r["item_id"]), lambda i: i.isNotNull()))).alias("item_ids"),
     )
-    return none.unionByName(found.dropDuplicates(["doc_id", "text_hash"]).drop("text_hash"))
+    return none.unionByName(found.dropDuplicates(["doc_id", "text_hash"]))
 
 
 def n_hit(spans: Column) -> Column:
@@ -158,20 +158,25 @@ def n_hit(spans: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["stop"] - 1))))).cast("long")
 
 
+def _judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` with n_hit and contaminated."""
+    found = contamination(documents, benchmark).withColumn("n_hit", n_hit(F.col("spans")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words or more are hit)."""
-    found = contamination(documents, benchmark).withColumn("n_hit", n_hit(F.col("spans")))
-    return found.select(
+    return _judged(documents, benchmark).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents, all columns kept, that are not contaminated; see ``contamination`` for the cases."""
-    found = report(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of documents, all columns kept, whose own text is not contaminated; see ``contamination`` for the cases."""
+    found = _judged(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash"))
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(text_of()) == F.col("_bad_hash")), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._rows import one_row_per_id
+from weftline.llm._rows import one_row_per_text
 from weftline.llm._spark import checkpoint
 
 LEADING = 3
@@ -35,18 +35,18 @@ def leaf(template: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, at, template of every line."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return split.select("doc_id", "at", masked(F.col("line")).alias("template"))
+    """doc_id, text_hash, at, template of every line."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return split.select("doc_id", "text_hash", "at", masked(F.col("line")).alias("template"))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """The lines (doc_id, at, leaf, template_hash) with words, and of the templates that ``min_docs`` documents or more have: leaf, template_hash, first (the smallest doc_id), docs.
+    """The lines (doc_id, text_hash, at, leaf, template_hash) with words, and of the templates that ``min_docs`` documents or more have: leaf, template_hash, first (the smallest doc_id), docs.
 
     Both levels of the tree are counted at once, pre-aggregated; rows with a null id are no document.
     """
     found = lines(docs).where("template != '' and doc_id is not null")
-    found = checkpoint(found.select("doc_id", "at", F.xxhash64(leaf(F.col("template"))).alias("leaf"), F.xxhash64("template").alias("template_hash")))
+    found = checkpoint(found.select("doc_id", "text_hash", "at", F.xxhash64(leaf(F.col("template"))).alias("leaf"), F.xxhash64("template").alias("template_hash")))
     each = found.groupBy("leaf", "template_hash").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     return found, checkpoint(each.where(F.col("docs") >= min_docs))  # written: Spark splits a frequent template only where both sides of a join are shuffled for it
 
@@ -54,18 +54,18 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Dat
 def deduplicate(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text_hash (of the whole text), kept (the lines left, joined by line feeds), n_lines, n_dropped.
 
-    One row per id: where an id has several rows the greatest text stands for it. Of
-    documents only doc_id and text are used. A null text is empty and has one empty
-    line; lines without words are kept; a row with a null id is kept whole. An
-    empty table gives no rows.
+    One row for each text of an id, so rows that repeat an id with the same text are
+    one; the texts of one id are one document. Of documents only doc_id and text are
+    used. A null text is empty and has one empty line; lines without words are kept;
+    a text with a null id is kept whole. An empty table gives no rows.
     """
-    docs = one_row_per_id(documents)
+    docs = one_row_per_text(documents).withColumn("text_hash", F.xxhash64("text"))
     found, drop = recurring(docs, min_docs)
-    gone = found.join(drop, ["leaf", "template_hash"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
-    each = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", F.split("text", "\n").alias("l"))
+    gone = found.join(drop, ["leaf", "template_hash"]).where("doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("gone"))
+    each = docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "gone", F.split("text", "\n").alias("l"))
     left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(F.col("l"), k)), "\n"))
-    return each.select("doc_id", F.xxhash64("text").alias("text_hash"), kept.alias("kept"), F.size("l").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
+    return each.select("doc_id", "text_hash", kept.alias("kept"), F.size("l").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 
 def report(documents: DataFrame) -> DataFrame:
