@@ -44,3 +44,10 @@ def test_every_text_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(L.report(df)) == brute(rows)
     assert got(L.report(df.union(df))) == brute(rows)
+
+
+def test_lines_of_fields_alone_keep_their_values(spark):
+    rows = [(k, f"{k}.5 1{k}.7\n2024-01-02\nPage {k}") for k in range(1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept) for r in L.deduplicate(df).collect()) == [(1, rows[0][1])] + [(k, f"{k}.5 1{k}.7") for k in range(2, 5)]
+    assert got(L.report(df)) == brute(rows)

@@ -21,11 +21,15 @@ FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def masked(line: Column) -> Column:
-    """A line's words joined by one space, those with an ASCII digit as FIELD; empty for a line without words."""
+def masked(line: Column, fields_alone: bool = False) -> Column:
+    """A line's words joined by one space, those with an ASCII digit as FIELD; empty for a line without words.
+
+    A line whose words all have a digit has nothing constant: it keeps its words, unless ``fields_alone``.
+    """
     words = F.array_remove(F.split(line, SPACE), "")
     plain = F.array_join(words, " ")
-    return F.when(line.rlike("[0-9]"), F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w)), " ")).otherwise(plain)
+    some = line.rlike("[0-9]") if fields_alone else line.rlike("[0-9]") & F.exists(words, lambda w: ~w.rlike("[0-9]"))
+    return F.when(some, F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w)), " ")).otherwise(plain)
 
 
 def leaf(template: Column) -> Column:
@@ -34,33 +38,34 @@ def leaf(template: Column) -> Column:
     return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, LEADING))
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, fields_alone: bool = False) -> DataFrame:
     """doc_id, text_hash, at, template of every line."""
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return split.select("doc_id", "text_hash", "at", masked(F.col("line")).alias("template"))
+    return split.select("doc_id", "text_hash", "at", masked(F.col("line"), fields_alone).alias("template"))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, fields_alone: bool = False) -> tuple[DataFrame, DataFrame]:
     """The lines (doc_id, text_hash, at, leaf, template_hash) with words, and of the templates that ``min_docs`` documents or more have: leaf, template_hash, first (the smallest doc_id), docs.
 
     Both levels of the tree are counted at once, pre-aggregated; rows with a null id are no document.
     """
-    found = lines(docs).where("template != '' and doc_id is not null")
+    found = lines(docs, fields_alone).where("template != '' and doc_id is not null")
     found = checkpoint(found.select("doc_id", "text_hash", "at", F.xxhash64(leaf(F.col("template"))).alias("leaf"), F.xxhash64("template").alias("template_hash")))
     each = found.groupBy("leaf", "template_hash").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     return found, checkpoint(each.where(F.col("docs") >= min_docs))  # written: Spark splits a frequent template only where both sides of a join are shuffled for it
 
 
-def deduplicate(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def deduplicate(documents: DataFrame, min_docs: int = MIN_DOCS, fields_alone: bool = False) -> DataFrame:
     """doc_id, text_hash (of the whole text), kept (the lines left, joined by line feeds), n_lines, n_dropped.
 
     One row for each text of an id, so rows that repeat an id with the same text are
     one; the texts of one id are one document. Of documents only doc_id and text are
     used. A null text is empty and has one empty line; lines without words are kept;
-    a text with a null id is kept whole. An empty table gives no rows.
+    a text with a null id is kept whole. An empty table gives no rows. Lines of
+    fields alone recur only with the same words, unless ``fields_alone``.
     """
     docs = one_row_per_text(documents).withColumn("text_hash", F.xxhash64("text"))
-    found, drop = recurring(docs, min_docs)
+    found, drop = recurring(docs, min_docs, fields_alone)
     gone = found.join(drop, ["leaf", "template_hash"]).where("doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("gone"))
     each = docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "gone", F.split("text", "\n").alias("l"))
     left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))
@@ -69,8 +74,8 @@ def deduplicate(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256."""
-    return deduplicate(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped, kept_sha256, by the templates of the SQL below: fields alone are one."""
+    return deduplicate(documents, fields_alone=True).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = rf"""
