@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first that has them; a document of nothing else goes too. Rows with a null id stay as they are."""
+    """Lines of templates that two documents or more have go from all but the first; a document of nothing else goes too. Rows with a null id stay as they are."""
     left = line_dedup.deduplicate(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept", "n_dropped")
     narrow = [c for c in docs.columns if c != "text"]
     rows = docs.select(*narrow, F.xxhash64(text_of()).alias("_of"), F.col("text").isNull().alias("_null"))

@@ -52,3 +52,9 @@ def test_null_and_repeated_ids_lose_no_rows(spark, sf):
     assert left(P.drop_recurring_lines(spark, docs, sf)) == list(range(10))
     assert left(P.drop_near_duplicates(spark, docs, sf)) == list(range(9))
     assert left(P.drop_contaminated(spark, docs, sf)) == [0, 1, 2, 3, 5, 6, 7, 9]
+
+
+def test_a_line_of_two_documents_stays_in_the_first_only(spark, sf):
+    long = " ".join(f"w{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    docs = spark.createDataFrame([(2, f"b\n{long}", "en"), (1, f"{long}\na", "en"), (3, "c", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.text for r in P.drop_recurring_lines(spark, docs, sf).collect()} == {1: f"{long}\na", 2: "b", 3: "c"}

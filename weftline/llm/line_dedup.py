@@ -16,7 +16,8 @@ from weftline.llm._rows import one_row_per_text
 from weftline.llm._spark import checkpoint
 
 LEADING = 3
-MIN_DOCS = 3
+MIN_DOCS = 3  # of op6 and its SQL
+CORPUS_DOCS = 2  # of a training corpus: a line goes from its second document on
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -55,7 +56,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, fields_alone: bool = Fa
     return found, checkpoint(each.where(F.col("docs") >= min_docs))  # written: Spark splits a frequent template only where both sides of a join are shuffled for it
 
 
-def deduplicate(documents: DataFrame, min_docs: int = MIN_DOCS, fields_alone: bool = False) -> DataFrame:
+def deduplicate(documents: DataFrame, min_docs: int = CORPUS_DOCS, fields_alone: bool = False) -> DataFrame:
     """doc_id, text_hash (of the whole text), kept (the lines left, joined by line feeds), n_lines, n_dropped.
 
     One row for each text of an id, so rows that repeat an id with the same text are
@@ -74,8 +75,8 @@ def deduplicate(documents: DataFrame, min_docs: int = MIN_DOCS, fields_alone: bo
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256, by the templates of the SQL below: fields alone are one."""
-    return deduplicate(documents, fields_alone=True).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped, kept_sha256, by the templates of the SQL below: ``MIN_DOCS`` documents, fields alone are one."""
+    return deduplicate(documents, MIN_DOCS, True).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = rf"""
