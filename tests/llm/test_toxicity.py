@@ -1,18 +1,91 @@
+import itertools
+import math
 import zlib
 
+import numpy as np
+
 from weftline.llm import toxicity as T
 
 
+def by_hand(words, stems, reach=T.REACH):
+    """The grammar's meaning, written out word by word without transducers."""
+    symbol = []
+    for w in words:
+        closed = [c for c, x in (("negation", T.NEGATION), ("report", T.REPORTED), ("target", T.TARGET), ("threat", T.THREAT)) if w in x]
+        symbol.append(closed[0] if closed else "insult" if w in stems else "other")
+    near = lambda k, what: any(symbol[j] == what for j in range(max(0, k - reach), k))
+    total, last = 0.0, None  # last: the threat or target that a later target or threat can meet
+    for k, s in enumerate(symbol):
+        negated = T.FACTOR["negated"] if near(k, "negation") else 1.0
+        if s == "insult":
+            total += stems[words[k]] * negated * (T.FACTOR["targeted"] if near(k, "target") else 1.0)
+        elif s == "threat":
+            if last and last[0] == "target" and k - last[1] <= reach:
+                total += T.THREAT_WEIGHT * negated
+                last = ("target", last[1] + 1) if last[1] + 1 <= k else last  # the target's reach isn't used up by a threat
+            else:
+                last = ("threat", k, negated)
+        elif s == "target":
+            if last and last[0] == "threat" and k - last[1] <= reach:
+                total += T.THREAT_WEIGHT * last[2]
+            last = ("target", k)
+    return total * (T.REPORTED_FACTOR if "report" in symbol else 1.0)
+
+
+def test_composition_is_the_cascade():
+    parts = [T._reaching("negation", "negated", ("insult", "threat")), T._reaching("target", "targeted", ("insult", "insult/negated")), T._threat(), T._reported()]
+    whole = T.grammar()
+    for tape in itertools.chain(itertools.product(T.CLASSES, repeat=5), map(tuple, np.random.default_rng(1).choice(T.CLASSES, (300, 12)))):
+        out, factor = tape, 1.0
+        for t in parts:
+            state, written = t.start, []
+            for s in out:
+                state, more = t.step(state, s)
+                written += more
+            out, factor = written, factor * t.ending(state)
+        state, got = whole.start, []
+        for s in tape:
+            state, more = whole.step(state, s)
+            got += more
+        assert got == list(out) and whole.ending(state) == factor
+
+
+def test_clauses_against_the_meaning():
+    stems = {"idiot": 4.0, "moron": 2.5}
+    g = T.Grammar({w + " ": x for w, x in stems.items()})
+    words = ["not", "said", "you", "kill", "idiot", "moron", "a", "b", "c"]
+    for row in np.random.default_rng(2).choice(words, (3000, 9), p=[0.1, 0.02, 0.15, 0.03, 0.15, 0.1, 0.15, 0.15, 0.15]):
+        if list(row).count("kill") > 1:  # by_hand knows one threat in a clause
+            continue
+        found = g.clause(list(row))
+        assert math.isclose(found[1] if found else 0.0, by_hand(list(row), stems)), row
+
+
 def test_grammar():
     g = T.Grammar({"idio": 4.0, "low ": 2.0})
     assert g.clause("this idiots fence".split()) == ("plain", 4.0)
-    assert g.clause("you big idiot".split()) == ("targeted", 4.0)
-    assert g.clause("he is not an idiot".split()) == ("negated", 4.0)
-    assert g.clause("ann said you idiot".split()) == ("reported", 4.0)
-    assert g.clause("i will kill you".split()) == ("threat", 1.0)
-    assert g.clause("i will not kill you".split()) is None
+    assert g.clause("you big idiot".split()) == ("targeted", 6.0)
+    assert g.clause("he is not an idiot".split()) == ("negated", 1.0)
+    assert g.clause("ann said you idiot".split()) == ("reported", 1.5)
+    assert g.clause("you idiot said ann".split()) == ("reported", 1.5)
+    assert g.clause("i will kill you".split()) == ("threat", T.THREAT_WEIGHT)
+    assert g.clause("i will not kill you".split()) == ("negated", T.THREAT_WEIGHT / 4)
+    assert g.clause("they kill time".split())[0] == "threat" and g.clause("kill the time now you".split()) is None
     assert g.clause("a low blow".split()) == ("plain", 2.0) and g.clause("a lower blow".split()) is None
-    assert [m[:2] for m in g.matches("Nice day. You IDIOT! no idiot")] == [("targeted", 4.0), ("negated", 4.0)]
+    assert [m[:2] for m in g.matches("Nice day. You IDIOT! no idiot")] == [("targeted", 6.0), ("negated", 1.0)]
+
+
+def test_signs_whatever_the_labels():
+    g = T.Grammar({"idio": 5.0})
+    rng = np.random.default_rng(0)
+    x = rng.random((400, 2)) * 3
+    for y in ((x[:, 0] > 2), (x[:, 0] < 1), np.ones(400), np.zeros(400), rng.random(400) < 0.5):
+        w = T.fit(x, y.astype(float))
+        assert np.isfinite(w).all() and (w[:-1] >= 0).all() and np.abs(w).max() < 1e4
+    m = T.Model(g, np.array([1.0, 0.5, -2.0]))
+    s = lambda t: m.score(g.matches(t))
+    assert s("") < s("an idiot here") < s("you idiot") and s("i will kill you") > s("") and s("you idiot. you idiot") > s("you idiot")
+    assert s("not an idiot") < s("an idiot here") and s("he said idiot") < s("an idiot here") and s("i will not kill you") < s("i will kill you")
 
 
 def test_held_out_accuracy(spark):

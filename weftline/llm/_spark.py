@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one is made, on a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        found = tempfile.mkdtemp(prefix="weftline-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+        found = tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -26,23 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, on storage all executors share.
 
-    ``done``: earlier checkpoints that nothing needs any more; their files go. The
-    driver then collects its garbage, so that the shuffles behind ``df`` are removed
-    from the executors' disks now and not at some later time.
+    The shuffles behind ``df`` are removed once it is written. ``done``: earlier
+    checkpoints that nothing needs any more; their files go.
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
-    for old in done:
-        at = spark._jvm.org.apache.hadoop.fs.Path(old.checkpointed_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    free(*done)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.checkpointed_at = path
     return saved
 
 
+def free(*done: DataFrame) -> None:
+    """Remove the files of checkpoints."""
+    for old in done:
+        fs, path = file_system(old.checkpointed_at)
+        fs.delete_dir(path)
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a URI that pyarrow knows (local, hdfs, s3, gs), and the path within it."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:/", "/", 1))
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
 

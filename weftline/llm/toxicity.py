@@ -1,18 +1,24 @@
-"""Toxicity by a weighted grammar of clauses.
-
-Five transducers read the words of a clause: insult, threat, target, negation and
-reported speech. Insults are learned: word stems that labelled toxic documents
-have far more often than others. Negation and target reach over the words that
-follow, reported speech over the clause. Their composition gives each matched
-clause a weight and a kind; a document's score is a logistic function, fitted on
-labelled documents, of the weights of its matched clauses by kind. Words alone,
-outside a matched clause, score nothing.
+"""Toxicity by a weighted finite-state grammar of clauses.
+
+A clause is a tape of word classes: insult, threat, target, negation, reported
+speech, other. Four transducers rewrite the tape one after the other: ``negation``
+and ``target`` mark the insults and threats that they reach, ``threat`` writes a
+match where a threat and a target meet, ``reported`` weakens the whole clause. Their
+composition is one transducer, built once, which reads each word once. A match
+weighs its word's weight times the factors of its marks, so that a target raises
+it and negation and reported speech lower it; words outside a match weigh nothing.
+
+The insults are learned: word stems that labelled toxic documents have far more
+often than others, weighted by the lower bound of their log-odds. A document's
+score is a logistic function, fitted on labelled documents with weights that are
+never negative, of its heaviest clause and of the sum of its clauses.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,46 +28,125 @@ from pyspark.sql import functions as F
 from weftline.llm._spark import text_of
 
 MAX_LABELLED = 40_000  # labelled rows that stems and the fit are learned from: those of smallest id hash
-MAX_STEMS = 2_000
 STEM = (4, 8)  # letters in a stem that stands for all words beginning with it
 MIN_SHARE = 0.003  # of the toxic training documents that have a stem
 MIN_ODDS = 30.0
+CERTAINTY = 2.0  # standard errors that a stem's weight is below its log-odds
 
 # The words of the grammar's closed classes (English, German, French, Spanish).
 NEGATION = {"not", "no", "never", "isn", "aren", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca", "ningún"}
 REPORTED = {"said", "says", "wrote", "quoted", "called", "claimed", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"}
 TARGET = {"you", "your", "he", "she", "they", "him", "her", "them", "du", "dich", "ihr", "sie", "tu", "vous", "toi", "ils", "usted", "ustedes", "ellos"}
 THREAT = {"kill", "hurt", "destroy", "beat", "shoot", "töten", "umbringen", "schlagen", "tuer", "frapper", "matar", "golpear"}
+# The weights of the grammar's arcs.
+THREAT_WEIGHT = 6.0  # of a threat that meets a target
+FACTOR = {"targeted": 1.5, "negated": 0.25}
+REPORTED_FACTOR = 0.25  # of all matches of a clause with reported speech
+
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-REACH = 3  # words that negation and target reach
-KINDS = ("plain", "targeted", "negated", "reported", "threat")
-
+REACH = 3  # words that negation, target and threat reach
+CLASSES = ("other", "negation", "report", "target", "threat", "insult")
 
-def held_out() -> Column:
-    """Whether an id's rows are kept from learning: crc32 of the id's text (null: empty) divides by five."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
+class Transducer:
+    """A deterministic transducer: ``arcs`` maps (state, symbol) to (next state, symbols written); other symbols are written as they are.
 
-def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic (0 or 1) of at most MAX_LABELLED labelled documents that aren't held out.
-
-    Labels that are null or of unknown ids teach nothing; an id labelled twice takes the greater label.
+    ``idle`` maps each state to the one after a symbol without an arc; ``final`` has the factor of a tape that ends in a state.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    return documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # MAX_LABELLED narrow rows at most
+
+    def __init__(self, start, arcs: dict, idle: dict, final: dict | None = None):
+        self.start, self.arcs, self.idle, self.final = start, arcs, idle, final or {}
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol)) or (self.idle[state], (symbol,))
+
+    def ending(self, state) -> float:
+        return self.final.get(state, 1.0)
+
+
+def compose(first: Transducer, second: Transducer, alphabet: Iterable[str]) -> Transducer:
+    """The transducer that has ``second`` read what ``first`` writes, over the states that can be reached by ``alphabet``."""
+    start = (first.start, second.start)
+    arcs, waiting, known = {}, [start], {start}
+    while waiting:
+        a, b = state = waiting.pop()
+        for symbol in alphabet:
+            to, written = first.step(a, symbol)
+            at, out = b, []
+            for s in written:
+                at, more = second.step(at, s)
+                out += more
+            arcs[state, symbol] = ((to, at), tuple(out))
+            if (to, at) not in known:
+                known.add((to, at))
+                waiting.append((to, at))
+    return Transducer(start, arcs, {}, {s: first.ending(s[0]) * second.ending(s[1]) for s in known})
+
+
+def _reaching(trigger: str, mark: str, marked: Iterable[str]) -> Transducer:
+    """Marks what follows ``trigger`` within REACH words."""
+    arcs = {}
+    for left in range(REACH + 1):
+        arcs[left, trigger] = (REACH, (trigger,))
+        if left:
+            arcs |= {(left, s): (left - 1, (f"{s}/{mark}",)) for s in marked}
+    return Transducer(0, arcs, {left: max(left - 1, 0) for left in range(REACH + 1)})
+
+
+def _threat() -> Transducer:
+    """Writes ``aimed`` (with the threat's marks) where a threat and a target meet within REACH words; lone threats are written as other words."""
+    threats = ("threat", "threat/negated")
+    states = [("none", 0)] + [(what, left) for what in ("target", *threats) for left in range(1, REACH + 1)]
+    arcs = {}
+    for what, left in states:
+        aimed = (f"aimed{what.removeprefix('threat')}",) if what in threats else ()
+        arcs[(what, left), "target"] = (("target", REACH), (*aimed, "target"))
+        for t in threats:
+            met = what == "target"
+            arcs[(what, left), t] = (("target", left) if met else (t, REACH), (f"aimed{t.removeprefix('threat')}",) if met else ("other",))
+    return Transducer(("none", 0), arcs, {(w, n): (w, n - 1) if n > 1 else ("none", 0) for w, n in states})
+
+
+def _reported() -> Transducer:
+    return Transducer("direct", {(s, "report"): ("reported", ("report",)) for s in ("direct", "reported")}, {s: s for s in ("direct", "reported")}, {"reported": REPORTED_FACTOR})
+
+
+def grammar() -> Transducer:
+    """The four transducers composed."""
+    parts = [_reaching("negation", "negated", ("insult", "threat")), _reaching("target", "targeted", ("insult", "insult/negated")), _threat(), _reported()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = compose(whole, part, CLASSES)
+    return whole
+
+
+def weighed(symbol: str) -> tuple[str, float] | None:
+    """The kind of match that a written symbol stands for, and the product of its marks' factors."""
+    name, *marks = symbol.split("/")
+    if name not in ("insult", "aimed"):
+        return None
+    kind = "negated" if "negated" in marks else "threat" if name == "aimed" else "targeted" if "targeted" in marks else "plain"
+    return kind, math.prod([FACTOR[m] for m in marks]) * (THREAT_WEIGHT if name == "aimed" else 1.0)
 
 
 class Grammar:
-    """The composed transducers. ``stems`` maps a stem, or a whole word ending in a space, to its weight."""
+    """The composed grammar with its words. ``stems`` maps a stem, or a whole word ending in a space, to its weight."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.heads = {s[: STEM[0]] for s in stems}
+        self.closed = {w: c for c, words in (("negation", NEGATION), ("report", REPORTED), ("target", TARGET), ("threat", THREAT)) for w in words}
+        whole = grammar()
+        number = {s: k for k, s in enumerate(dict.fromkeys([whole.start, *(s for s, _ in whole.arcs)]))}
+        self.arcs: list[dict[str, tuple[int, list]]] = [{} for _ in number]
+        for (state, symbol), (to, written) in whole.arcs.items():
+            found = [(s.startswith("insult"), *w) for s in written if (w := weighed(s))]
+            self.arcs[number[state]][symbol] = (number[to], found)
+        self.final = [whole.ending(s) for s in number]
 
     def insult(self, word: str) -> float:
-        """The insult transducer: the weight of the shortest stem that the word begins with, or of the word itself."""
+        """The weight of the shortest stem that the word begins with, or of the word itself; 0 if it is no insult."""
         if word[: STEM[0]] not in self.heads and word + " " not in self.heads:
             return 0.0
         for n in range(STEM[0], min(STEM[1], len(word)) + 1):
@@ -70,36 +155,25 @@ class Grammar:
         return self.stems.get(word + " ", 0.0)
 
     def clause(self, words: list[str]) -> tuple[str, float] | None:
-        """Run the transducers over a clause; its kind and weight if an insult or a threat matched."""
-        negated = targeted = threat = 0  # words that each still reaches; the state of the composition
-        reported, weight, kind = False, 0.0, "plain"
+        """Run the grammar over a clause; the kind of its heaviest match (reported, if the clause is) and its weight, if anything matched."""
+        state, total, kind, most = 0, 0.0, None, 0.0
         for word in words:
-            if word in NEGATION:
-                negated = REACH + 1
-            elif word in REPORTED:
-                reported = True
-            elif word in TARGET:
-                targeted = REACH + 1
-                if threat and not negated:
-                    weight, kind = weight + 1.0, "threat"
-            elif word in THREAT:
-                threat = REACH + 1
-                if targeted and not negated:
-                    weight, kind = weight + 1.0, "threat"
-            elif w := self.insult(word):
-                weight += w
-                if kind != "threat":
-                    kind = "negated" if negated else "targeted" if targeted else kind
-            negated, targeted, threat = max(negated - 1, 0), max(targeted - 1, 0), max(threat - 1, 0)
-        if not weight:
+            own = 0.0
+            symbol = self.closed.get(word) or ("insult" if (own := self.insult(word)) else "other")
+            state, found = self.arcs[state][symbol]
+            for lexical, name, factor in found:
+                w = own * factor if lexical else factor
+                total += w
+                if w > most:
+                    kind, most = name, w
+        if not total:
             return None
-        return ("reported" if reported else kind), weight
+        return ("reported" if self.final[state] < 1 else kind), total * self.final[state]
 
     def matches(self, text: str) -> list[tuple[str, float, str]]:
         """Kind, weight and text of each clause that matched."""
         text = text.lower()
-        words = set(WORD.findall(text))
-        if not any(w in THREAT or self.insult(w) for w in words):
+        if not any(w in THREAT or self.insult(w) for w in set(WORD.findall(text))):
             return []
         out = []
         for part in CLAUSE.split(text):
@@ -109,15 +183,33 @@ class Grammar:
 
     @staticmethod
     def features(found: list[tuple[str, float, str]]) -> list[float]:
-        """The logarithm of the summed weights of the matched clauses by kind, and of their number."""
-        sums = dict.fromkeys(KINDS, 0.0)
-        for kind, weight, _ in found:
-            sums[kind] += weight
-        return [*(math.log1p(sums[k]) for k in KINDS), math.log1p(len(found))]
+        """The logarithms of the heaviest clause's weight and of the summed weights."""
+        weights = [w for _, w, _ in found]
+        return [math.log1p(max(weights, default=0.0)), math.log1p(sum(weights))]
+
+
+def held_out() -> Column:
+    """Whether an id's rows are kept from learning: crc32 of the id's text (null: empty) divides by five."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic (0 or 1) of at most MAX_LABELLED labelled documents that aren't held out.
+
+    Labels that are null or of unknown ids teach nothing; an id labelled twice takes the greater label.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    return documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # MAX_LABELLED narrow rows at most
 
 
 def learn_stems(rows: DataFrame) -> dict[str, float]:
-    """Stems and words with their log-odds among toxic rows; counted by Spark, the MAX_STEMS best are kept."""
+    """Stems and words with the lower bounds of their log-odds among toxic rows, counted by Spark.
+
+    All that pass MIN_SHARE and MIN_ODDS are kept but those that begin with a shorter
+    one. Each is in MIN_SHARE of the toxic rows or more, so that there are no more
+    than the stems of a toxic text on average, divided by MIN_SHARE.
+    """
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
@@ -127,20 +219,45 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     stem = F.explode(F.concat(F.array(F.concat("w", F.lit(" "))), F.transform(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])), lambda k: F.when(F.length("w") >= k, F.substring("w", F.lit(1), k)))))
     counted = words.select("t", "n", stem.alias("s")).where("s is not null").groupBy("s").agg(F.sum("t").alias("t"), (F.sum("n") - F.sum("t")).alias("c"))
     odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    best = counted.where(F.col("t") >= max(3, MIN_SHARE * toxic)).where(odds >= MIN_ODDS).select("s", F.log(odds).alias("w"), "t")
-    return {r.s: r.w for r in best.orderBy(F.desc("t"), "s").limit(MAX_STEMS).collect()}
+    sure = F.log(odds) - CERTAINTY * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    best = counted.where(F.col("t") >= max(3, MIN_SHARE * toxic)).where(odds >= MIN_ODDS).select("s", sure.alias("w")).where("w > 0")
+    found = {r.s: r.w for r in best.collect()}
+    return {s: w for s, w in found.items() if not any(s[:n] in found for n in range(STEM[0], len(s)))}
+
 
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 200) -> np.ndarray:
+    """Logistic regression with weights of 0 or more and a free intercept (last), by Newton's method.
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Logistic regression by Newton's method; the last weight is the intercept."""
+    A step is halved until it lowers the loss, and weights that it takes below 0 stay
+    at 0, so no step can run away, even where the rows are separable.
+    """
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
+    free = np.append(np.zeros(x.shape[1] - 1, bool), True)
+
+    def loss(v):
+        z = x @ v
+        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * v @ v
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        moved = free | (w > 0) | (grad < 0)
+        hess = ((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)))[np.ix_(moved, moved)]
+        step = np.zeros(len(w))
+        step[moved] = np.linalg.solve(hess, grad[moved])
+        size = 1.0
+        while size > 1e-9:
+            tried = w - size * step
+            tried[~free] = np.maximum(tried[~free], 0)
+            if (then := loss(tried)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done, w, now = now - then < 1e-10 * max(1.0, now), tried, then
+        if done:
             break
     return w
 
@@ -156,7 +273,7 @@ class Model:
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Model:
-    """Stems and weights from the training rows; without any, every text scores a half less a hair."""
+    """Stems and weights from the training rows. Without any, or where a text without matches would score a half or more, such a text scores a hair below it."""
     rows = training_rows(documents, labels)
     grammar = Grammar(learn_stems(rows))
     shared = documents.sparkSession.sparkContext.broadcast(grammar)
@@ -167,11 +284,12 @@ def learn(documents: DataFrame, labels: DataFrame) -> Model:
             found = [g.features(g.matches(x.as_py())) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["x", "y"])
 
-    got = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().collect()  # MAX_LABELLED rows at most
+    got = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()  # MAX_LABELLED rows at most, in one order
     if not got:
-        return Model(grammar, np.append(np.zeros(len(KINDS) + 1), -1e-6))
+        return Model(grammar, np.array([0.0, 1.0, -1e-6]))
     times = [r["count"] for r in got]
-    return Model(grammar, fit(np.repeat([r.x for r in got], times, axis=0), np.repeat([float(r.y) for r in got], times)))
+    weights = fit(np.repeat([r.x for r in got], times, axis=0), np.repeat([float(r.y) for r in got], times))
+    return Model(grammar, np.append(weights[:-1], min(weights[-1], -1e-6)))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -200,7 +318,7 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents, all columns, whose text scores below a half."""
+    """The rows of documents, all columns, whose text scores below a half. Null and empty texts stay; so do repeated rows and null ids."""
     model = learn(documents, labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._spark import checkpoint, new_folder, partitions
+from weftline.llm._spark import checkpoint, file_system, new_folder, partitions
 
 MIN_BYTES = 100  # smaller payloads are never revisits
 ARCHIVE_BYTES = 32 << 20  # of payload; then the next archive begins
@@ -30,8 +29,8 @@ URN = "urn:weftline:page:"
 
 
 def _open(uri: str, mode: str):
-    """A file in any store that pyarrow knows by its URI (local, hdfs, s3, gs); the folder is the shared one."""
-    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:/", "/", 1))
+    """A file in any store that pyarrow knows by its URI; the folder is the shared one."""
+    fs, path = file_system(uri)
     if mode == "wb":
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         return fs.open_output_stream(path, compression=None)
