@@ -80,3 +80,24 @@ def test_sketch_never_understates():
     assert J.most_shared(J.sketch(heavy[:400]), J.sketch(heavy)) >= 400
     unlike = [rng.integers(0, 1 << 63, 1000, dtype=np.uint64) for _ in range(2)]
     assert J.most_shared(*map(J.sketch, unlike)) < 800
+
+
+def test_bitmap_never_overstates_the_difference():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (40, 3), (300, 20), (3000, 250), (3000, 3000)):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n + m, dtype=np.uint64))
+        a, b = pool[: n + m], pool[m : n + 2 * m]
+        bits = sum(int(x).bit_count() for x in (J.parity(a) ^ J.parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+    assert J.parity(np.zeros(0, np.uint64)).tolist() == [0] * J.BIT_WORDS
+
+
+def test_many_classes_of_one_group(spark):
+    """Texts that agree in size and prefix but not in the rest, so that one group has to be expanded."""
+    rng = random.Random(8)
+    often = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choices(often, k=9))) for k in range(300)]
+    rows += [(1000 + k, "rare one here " + " ".join(f"w{(k + j) % 7}" for j in range(12))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(J.report(df)) == brute(rows)
+    assert got(J.near_duplicates(df, 2, 60)) == brute(rows, 2, 60)

@@ -7,9 +7,13 @@ paired: by a shared prefix shingle, their sizes, and its places. The pairs of
 groups are then expanded to classes and verified on the whole sets, after pairs
 that count sketches of the sets prove too unlike are left out.
 
-Pairs are made in two rounds. In the first, each group meets the first group of
-each of its prefix shingles. What is linked then needs no more pairs among
-itself, so the second round only pairs groups that are in no common component.
+Pairs are made in two rounds. In the first, each group meets one group for each of
+its prefix shingles: the one that shares most of its own prefix with others, which
+is the text that others were copied from rather than a copy with words of its own.
+What is linked then needs no more pairs among itself, so the second round only
+pairs groups that are in no common component. There a parity bitmap of each set is
+compared within the join: bits that differ are shingles that differ, so a pair
+with too many of them is never made, and no link is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from weftline.llm._spark import checkpoint
 from weftline.llm.components import components
 
 BUCKETS = 1 << 18  # counters of shingles: 2 MB at any size of the corpus
+BIT_WORDS = 8  # 64-bit words of a set's parity bitmap
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -41,6 +46,13 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of BIT_WORDS words: bit k is set if an odd number of shingles fall into bucket k."""
+    at = (mixed(s, SECOND) & np.uint64(64 * BIT_WORDS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=64 * BIT_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def most_shared(x: bytes, y: bytes) -> int:
     """No fewer than the shingles that two sketched sets share; the larger sketch is folded to the smaller's buckets."""
     a, b = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
@@ -74,12 +86,12 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, kind: str, words: int, percent: int, counts) -> DataFrame:
-    """doc_id, n, two hashes of the set, its prefix in the common order, that prefix's hash and the set's sketch."""
+    """doc_id, n, two hashes of the set, its prefix in the common order, that prefix's hash, the set's sketch and its parity bitmap."""
 
     def run(batches):
         often = np.minimum(counts.value, (1 << 28) - 1).astype(np.uint64)
         for b in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             for text in b.column(1):
                 s = shingles(text.as_py().encode(), words)
                 n = len(s)
@@ -93,16 +105,29 @@ def _signatures(docs: DataFrame, kind: str, words: int, percent: int, counts) ->
                 cols[3].append(signed(s[order]))
                 cols[4].append(int(signed(spans(s[order], zero, np.array([keep])))[0]) if n else 0)
                 cols[5].append(sketch(s))
-            arrays = [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n", "s1", "s2", "prefix", "prefix_hash", "sketch"])
+                cols[6].append(parity(s))
+            arrays = [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n", "s1", "s2", "prefix", "prefix_hash", "sketch", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, prefix array<long>, prefix_hash long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, s1 long, s2 long, prefix array<long>, prefix_hash long, sketch binary, bits array<long>")
 
 
 def _enough(percent: int, na: Column, nb: Column, shared: Column) -> Column:
     return (100 + percent) * shared.cast("long") >= percent * (na + nb).cast("long")
 
 
+def _alike(percent: int, x: str, y: str) -> Column:
+    """Whether the bitmaps bits{x}, bits{y} of sets of n{x}, n{y} shingles allow a link; true where one is null.
+
+    Each bit that differs stands for a shingle that only one of the sets has; linked
+    sets differ in (100 - percent) / (100 + percent) of their summed sizes at most.
+    """
+    differ = F.lit(0)
+    for k in range(BIT_WORDS):
+        differ += F.bit_count(F.get(F.col(f"bits{x}"), F.lit(k)).bitwiseXOR(F.get(F.col(f"bits{y}"), F.lit(k))))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(f"n{x}") + F.col(f"n{y}")), F.lit(True))
+
+
 def _possible(pairs: DataFrame, signs: DataFrame, kind: str, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of documents that their sketches don't prove too unlike."""
 
@@ -160,10 +185,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     classes = checkpoint(classes.join(classes.groupBy("n", "prefix_hash").agg(F.min("class_id").alias("group_id")), ["n", "prefix_hash"]))
     groups = signs.join(classes.where("class_id = group_id").select("group_id"), F.col("doc_id") == F.col("group_id")).select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
     groups = checkpoint(groups)
-    leaders = groups.groupBy("token").agg(F.min(F.struct("group_id", "n", "at")).alias("l"), F.count("*").alias("many")).where("many > 1")
-    leaders = leaders.select("token", *[F.col(f"l.{c}").alias(f"{c}_y") for c in ("group_id", "n", "at")])
-    leaders = checkpoint(leaders)  # written: Spark splits a frequent shingle only where both sides of a join are shuffled for it
-    groups = checkpoint(groups.join(leaders, "token"), groups, leaders)  # only shingles that groups share, each with its first group
+    often = checkpoint(groups.groupBy("token").count().where("count > 1").select("token"))  # written: Spark splits a frequent shingle only where both sides of a join are shuffled for it
+    groups = checkpoint(groups.join(often, "token"), groups, often)  # only shingles that groups share
+    central = checkpoint(groups.groupBy("group_id").agg((F.count("*") / (F.max("n") - F.floor((percent * F.max("n") + 99) / 100) + 1)).alias("central")))  # the shared part of a prefix
+    groups = checkpoint(groups.join(central, "group_id"), groups, central)
+    leaders = groups.groupBy("token").agg(F.min(F.struct((-F.col("central")).alias("least"), "group_id", "n", "at")).alias("l"))
+    leaders = checkpoint(leaders.select("token", *[F.col(f"l.{c}").alias(f"{c}_y") for c in ("group_id", "n", "at")]))
     members = classes.select("class_id", "group_id")
 
     def near(x: str, y: str) -> Column:
@@ -171,33 +198,33 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         na, nb, i, j = (F.col(c) for c in (f"n{x}", f"n{y}", f"at{x}", f"at{y}"))
         return _enough(percent, na, nb, F.least(i, j) + F.least(na - i, nb - j)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("token", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != "token"])
-
-    def of(classes_of: str, x: str) -> DataFrame:
-        return members.select(F.col("group_id").alias(f"group_id{x}"), F.col("class_id").alias(classes_of))
+    def side(df: DataFrame, x: str, key: str) -> DataFrame:
+        return df.select(key, *[F.col(c).alias(f"{c}{x}") for c in df.columns if c != key])
 
-    star = groups.withColumnsRenamed({c: f"{c}_x" for c in ("group_id", "n", "at")}).where((F.col("group_id_x") != F.col("group_id_y")) & near("_x", "_y"))
-    star = star.select("group_id_x", "group_id_y").distinct().join(members.where("class_id = group_id").select(F.col("group_id").alias("group_id_x")), "group_id_x")
-    star = star.select(F.col("group_id_y").alias("a"), F.col("group_id_x").alias("b"))
+    star = groups.join(leaders, "token").withColumnsRenamed({c: f"{c}_x" for c in ("group_id", "n", "at")}).where((F.col("group_id_x") != F.col("group_id_y")) & near("_x", "_y"))
+    star = star.select(F.least("group_id_x", "group_id_y").alias("a"), F.greatest("group_id_x", "group_id_y").alias("b"))
     within = members.where("class_id != group_id").select(F.col("group_id").alias("a"), F.col("class_id").alias("b"))
-    first_pairs = checkpoint(star.unionByName(within).distinct())
+    first_pairs = checkpoint(star.unionByName(within).distinct(), leaders)
     links = _verified(first_pairs, docs, signs, words, percent)
-    found = checkpoint(components(links))
+    found = components(links)
 
+    bits = signs.select(F.col("doc_id").alias("class_id"), "n", "bits")
     labels = members.join(found, F.col("class_id") == F.col("id"), "left").select("class_id", "group_id", F.coalesce("component", "class_id").alias("label"))
-    parts = labels.groupBy("group_id").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    marked = groups.select("token", "group_id", "n", "at").join(parts, "group_id")
+    labels = checkpoint(labels.join(bits, "class_id"))
+    parts = labels.groupBy("group_id").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    marked = checkpoint(groups.select("token", "group_id", "n", "at").join(checkpoint(parts), "group_id"), groups)
     mixed_lists = checkpoint(marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token"))
-    marked = checkpoint(marked.join(mixed_lists, "token"), groups, mixed_lists)
+    marked = checkpoint(marked.join(mixed_lists, "token"), marked, mixed_lists)
     differ = "(low_x != low_y or low_x != high_x or low_y != high_y)"
-    cross = side(marked, "_x").join(side(marked, "_y"), "token").where((F.col("group_id_x") < F.col("group_id_y")) & F.expr(differ) & near("_x", "_y"))
-    cross = cross.select("group_id_x", "group_id_y").distinct().join(of("a", "_x"), "group_id_x").join(of("b", "_y"), "group_id_y").select("a", "b")
-    split = labels.join(parts.where("low < high").select("group_id"), "group_id").select("group_id", "class_id", "label")  # groups whose classes aren't all connected yet
-    inner = split.join(split.select("group_id", F.col("class_id").alias("b"), F.col("label").alias("lb")), "group_id").where("class_id < b and label != lb").select(F.col("class_id").alias("a"), "b")
-    label = labels.select("class_id", "label")
-    pairs = cross.unionByName(inner).join(label.select(F.col("class_id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("class_id").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
-    more = _verified(pairs.select("a", "b").join(first_pairs, ["a", "b"], "left_anti"), docs, signs, words, percent)
+    cross = side(marked, "_x", "token").join(side(marked, "_y", "token"), "token").where((F.col("group_id_x") < F.col("group_id_y")) & F.expr(differ) & near("_x", "_y") & _alike(percent, "_x", "_y"))
+    cross = checkpoint(cross.select("group_id_x", "group_id_y").distinct(), marked)
+    own = labels.select("group_id", "class_id", "label", "n", "bits")
+    unlike = (F.col("label_x") != F.col("label_y")) & _alike(percent, "_x", "_y")
+    cross = cross.join(own.select(*[F.col(c).alias(f"{c}_x") for c in own.columns]), "group_id_x").join(own.select(*[F.col(c).alias(f"{c}_y") for c in own.columns]), "group_id_y").where(unlike)
+    split = own.join(parts.where("low < high").select("group_id"), "group_id")  # groups whose classes aren't all connected yet
+    inner = side(split, "_x", "group_id").join(side(split, "_y", "group_id"), "group_id").where((F.col("class_id_x") < F.col("class_id_y")) & unlike)
+    pairs = cross.select("class_id_x", "class_id_y").unionByName(inner.select("class_id_x", "class_id_y")).select(F.least("class_id_x", "class_id_y").alias("a"), F.greatest("class_id_x", "class_id_y").alias("b"))
+    more = _verified(pairs.join(first_pairs, ["a", "b"], "left_anti"), docs, signs, words, percent)
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     in_class = signs.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left")
