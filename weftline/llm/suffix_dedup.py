@@ -2,8 +2,9 @@
 
 Every string of ``SPAN`` bytes has one selected k-gram (the one of smallest hash),
 so equal strings meet under the same key. The strings a k-gram is selected for
-form one stretch of text. Stretches under one key are sorted by a suffix array,
-whose neighbours tell which strings occur twice.
+form one stretch of text. Each stretch is cut down to what some other stretch of its
+key has on the same side of the k-gram; a suffix array sorts what is left, and its
+neighbours tell which strings occur twice.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from weftline.llm._rows import id_type, one_row_per_id, per_document, signed
 from weftline.llm._spark import checkpoint, partitions
 
 SPAN = 200
-GRAM = 100
+GRAM = 50
 BLOCK = 1000  # stretches in one suffix array; a key with more is split, and the blocks are matched by window hashes
 
 
@@ -133,8 +134,30 @@ def _anchors(text: bytes, span: int, gram: int):
 RANGE = "key long, stretch long, start int, stop int, w1 long, w2 long, shared boolean"
 
 
-def _match(batches, span: int):
-    """Rows (key, salt, stretch, content), sorted by key and salt, to ranges of repeated strings of each stretch.
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes two strings share from their start."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def shared_parts(stretches: list[bytes], leads: list[int], gram: int) -> list[tuple[int, int]]:
+    """For each stretch the range around its k-gram (which starts at its lead) beyond which no other stretch agrees.
+
+    Strings that are equal have the k-gram at the same place, so those that a stretch
+    shares with another lie within what the two have in common on either side of it.
+    """
+    most = []
+    for sides in ([x[:k][::-1] for x, k in zip(stretches, leads, strict=True)], [x[k + gram :] for x, k in zip(stretches, leads, strict=True)]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)  # of sorted strings, neighbours share most
+        most.append([0] * len(sides))
+        for a, b in zip(order, order[1:], strict=False):
+            n = _common(sides[a], sides[b])
+            most[-1][a], most[-1][b] = max(most[-1][a], n), max(most[-1][b], n)
+    return [(k - before, k + gram + after) for k, before, after in zip(leads, *most, strict=True)]
+
+
+def _match(batches, span: int, gram: int):
+    """Rows (key, salt, salted, stretch, content, lead), sorted by key and salt, to ranges of repeated strings of each stretch.
 
     A key in one block is settled there. For a key of several blocks each class of
     the block also gives one row with two hashes of its string, to be matched
@@ -143,18 +166,29 @@ def _match(batches, span: int):
     names = [x.split(" ")[0] for x in RANGE.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
-    def settle(key, salted, ids, contents):
-        which, start, kind = classes(contents, span)
-        twice = np.bincount(kind)[kind] > 1
-        for k in range(len(ids)):
-            flags = np.zeros(len(contents[k]) - span + 1, bool)
-            flags[start[(which == k) & twice]] = True
-            for a, b in zip(*_runs(flags), strict=True):
-                yield key, ids[k], a, b, None, None, True
-        if salted:
+    def settle(key, salted, ids, contents, leads):
+        parts = [(0, len(x)) for x in contents] if salted else shared_parts(contents, leads, gram)
+        times: dict[bytes, int] = {}
+        for x, (a, z) in zip(contents, parts, strict=True):
+            if z - a >= span:
+                times[x[a:z]] = times.get(x[a:z], 0) + 1
+        if not times:
+            return
+        pieces = list(times)
+        which, start, kind = classes(pieces, span)
+        twice = np.bincount(kind, np.array([*times.values()])[which])[kind] > 1
+        flags = {}
+        for k, piece in enumerate(pieces):
+            flags[piece] = np.zeros(len(piece) - span + 1, bool)
+            flags[piece][start[(which == k) & twice]] = True
+        for k, (a, z) in enumerate(parts):
+            if z - a >= span:
+                for lo, hi in zip(*_runs(flags[contents[k][a:z]]), strict=True):
+                    yield key, ids[k], a + lo, a + hi, None, None, True
+        if salted:  # stretches are distinct and whole here: pieces are the contents
             _, at = np.unique(kind, return_index=True)
             for k in at:
-                string = contents[which[k]][start[k] : start[k] + span]
+                string = pieces[which[k]][start[k] : start[k] + span]
                 one = BYTES[np.frombuffer(string, np.uint8)]
                 w1, w2 = (int(signed(windows(one ^ np.uint64(x), span, x))[0]) for x in (0, SECOND))
                 yield key, ids[which[k]], start[k], start[k] + 1, w1, w2, bool(twice[k])
@@ -162,20 +196,21 @@ def _match(batches, span: int):
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    held, ids, contents, rows = None, [], [], []
+    held, was, ids, contents, leads, rows = None, False, [], [], [], []
     for b in batches:
-        for key, salt, salted, stretch, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for key, salt, salted, stretch, content, lead in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (key, salt) != held:
                 if held is not None:
-                    rows += settle(held[0], was, ids, contents)
-                held, was, ids, contents = (key, salt), salted, [], []
+                    rows += settle(held[0], was, ids, contents, leads)
+                held, was, ids, contents, leads = (key, salt), salted, [], [], []
             ids.append(stretch)
             contents.append(content)
+            leads.append(lead)
         if len(rows) >= 20_000:
             yield batch(rows)
             rows = []
     if held is not None:
-        rows += settle(held[0], was, ids, contents)
+        rows += settle(held[0], was, ids, contents, leads)
     if rows:
         yield batch(rows)
 
@@ -200,37 +235,37 @@ def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
         stop = np.append(first[1:], len(at)) + span - 1
         good = np.isin(at[first], kept)
         first, stop = first[good], stop[good]
-        return signed(grams[at[first]]), signed(spans(BYTES[data], first, stop)), first.astype(np.int32), (stop - first - span + 1).astype(np.int32)
+        return signed(grams[at[first]]), signed(spans(BYTES[data], first, stop)), first.astype(np.int32), (stop - first - span + 1).astype(np.int32), (at[first] - first).astype(np.int32)
 
-    def contents(text: bytes, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, strings: np.ndarray):
+    def contents(text: bytes, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, strings: np.ndarray, leads: np.ndarray):
         cut = np.empty(len(keys), object)
         cut[:] = [text[a : a + n + span - 1] for a, n in zip(starts.tolist(), strings.tolist(), strict=True)]
-        return keys, ids, cut
+        return keys, ids, cut, leads
 
     rows = checkpoint(docs.mapInArrow(lambda b: per_document(b, anchors, ["doc_id", "key", "pos"]), f"doc_id {kind}, key long, pos int"))
     keys = checkpoint(rows.groupBy("key").count().where("count > 1").select("key"))  # written: Spark splits a frequent key only where both sides of a join are shuffled for it
     kept = checkpoint(rows.join(keys, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("kept")), rows, keys)
     with_kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "kept")
-    names = ["doc_id", "key", "stretch", "start", "strings"]
-    found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int"), kept)
+    names = ["doc_id", "key", "stretch", "start", "strings", "lead"]
+    found = checkpoint(with_kept.mapInArrow(lambda b: per_document(b, stretches, names), f"doc_id {kind}, key long, stretch long, start int, strings int, lead int"), kept)
 
-    each = found.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "strings")).alias("one"))
+    each = found.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "strings", "lead")).alias("one"))
     each = checkpoint(each)
-    several = each.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.ceil(F.col("kinds") / block).cast("int").alias("blocks"))
+    several = checkpoint(each.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.ceil(F.col("kinds") / block).cast("int").alias("blocks")))
     whole = each.where("times > 1").select("key", "stretch", F.lit(0).alias("lo"), F.col("one.strings").alias("hi"))
-    asked = each.join(several, "key").groupBy(F.col("one.doc_id").alias("_id")).agg(*[F.collect_list(c).alias(f"_{k}") for k, c in enumerate(("key", "stretch", "one.start", "one.strings"))])
-    asked = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "_0", "_1", "_2", "_3")
-    distinct = asked.mapInArrow(lambda b: per_document(b, contents, ["doc_id", "key", "stretch", "content"]), f"doc_id {kind}, key long, stretch long, content binary")
-    dealt = distinct.join(several, "key").select("key", F.pmod(F.xxhash64("stretch"), F.col("blocks")).cast("int").alias("salt"), (F.col("blocks") > 1).alias("salted"), "stretch", "content")
+    asked = each.join(several, "key").groupBy(F.col("one.doc_id").alias("_id")).agg(*[F.collect_list(c).alias(f"_{k}") for k, c in enumerate(("key", "stretch", "one.start", "one.strings", "one.lead"))])
+    asked = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "_0", "_1", "_2", "_3", "_4")
+    distinct = asked.mapInArrow(lambda b: per_document(b, contents, ["doc_id", "key", "stretch", "content", "lead"]), f"doc_id {kind}, key long, stretch long, content binary, lead int").select("key", "stretch", "content", "lead")
+    dealt = distinct.join(several, "key").select("key", F.pmod(F.xxhash64("stretch"), F.col("blocks")).cast("int").alias("salt"), (F.col("blocks") > 1).alias("salted"), "stretch", "content", "lead")
     dealt = dealt.repartition(partitions(documents.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
-    matched = checkpoint(dealt.mapInArrow(lambda b: _match(b, span), RANGE))
+    matched = checkpoint(dealt.mapInArrow(lambda b: _match(b, span, gram), RANGE))
     across = matched.where("w1 is not null")
-    twice = across.groupBy("key", "w1", "w2").count().where("count > 1").drop("count")
+    twice = checkpoint(across.groupBy("key", "w1", "w2").count().where("count > 1").drop("count"))
     named = F.col("key"), F.col("stretch"), F.col("start").alias("lo"), F.col("stop").alias("hi")
     ranges = whole.unionByName(matched.where("w1 is null").select(*named)).unionByName(across.where("not shared").join(twice, ["key", "w1", "w2"]).select(*named))
     places = found.select("doc_id", "key", "stretch", "start").join(ranges, ["key", "stretch"])
     places = places.groupBy("doc_id").agg(F.collect_list(F.col("start") + F.col("lo")).alias("starts"), F.collect_list(F.col("start") + F.col("hi")).alias("stops"))
-    return checkpoint(places, found, each, matched)
+    return checkpoint(places, found, each, several, matched, twice)
 
 
 def deduplicate(documents: DataFrame, span: int = SPAN) -> DataFrame:
