@@ -1,3 +1,4 @@
+import tempfile
 from collections import Counter
 
 import numpy as np
@@ -15,24 +16,24 @@ def brute(ids, sep):
 
 def test_blocks(spark):
     rng = np.random.default_rng(0)
-    files = {0: [9] * 7, 1: [1] * 50, 2: [], 3: [1] * 30 + [9], 4: rng.integers(7, 10, 200).tolist(), 5: [9] + [1] * 31 + [9] + [2] * 3}
-    rows = []
-    for f, ids in files.items():
-        raw = np.array(ids, "<u2").tobytes()
-        rows += [(f, k, raw[20 * k : 20 * k + 20], "x", 1) for k in range(-(-len(raw) // 20))]
-    rows += [(7, 0, None, "x", 1), rows[0]]
-    df = spark.createDataFrame(rows, "file int, block int, payload binary, open string, ends int")
-    got = sorted(tuple(r) for r in T.counts(df, 9).collect())
-    assert got == sorted((f, *x) for f, ids in files.items() for x in brute(ids, 9))
-    assert T.counts(df.limit(0), 9).count() == 0
+    files = {0: [9] * 7, 1: [1] * 50, 2: [], 3: [1] * 30 + [9], 4: rng.integers(7, 10, 200).tolist(), 5: [9] + [1] * 31 + [9] + [2] * 3, 6: [1] * 95 + [9] + [3] * 70 + [9, 9]}
+    for sep, form in ((9, "<u2"), (70_000, "<u4")):
+        folder, named = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), {}
+        for f, ids in files.items():
+            named[f"{folder}/{f}.bin"] = ids = [sep if x == 9 else x for x in ids]
+            np.array(ids, form).tofile(f"{folder}/{f}.bin")
+        df = spark.createDataFrame([(f, "x", 1) for f in [*named, f"{folder}/4.bin", None]], "file string, open string, ends int")
+        want = sorted((f, *x) for f, ids in named.items() for x in brute(ids, sep))
+        for size, chunk in ((4, 2), (20, 3), (20, 1), (1 << 18, 1024)):
+            assert sorted(tuple(r) for r in T.counts(df, sep, size, chunk).collect()) == want
+        assert T.counts(df.limit(0), sep).count() == 0
 
 
 def test_documents(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    enc, end = T.encoding(PATH)
-    want = Counter(len(enc.encode_ordinary(r.text)) for r in d.collect())
-    assert Counter(r.n_tokens for r in T.report(d, PATH).collect()) == want
-    small = T.counts(T.flat_files(d, PATH, 64), end)
-    assert Counter(r.n_tokens for r in small.collect()) == want
-    odd = spark.createDataFrame([(None, 1), ("", 2), ("a b", 3)], "text string, file int")
-    assert sorted(r.n_tokens for r in T.report(odd, PATH).collect()) == [0, 0, 2]
+    enc, _ = T.encoding(PATH)
+    want = sorted((r.doc_id, len(enc.encode_ordinary(r.text))) for r in d.collect())
+    assert sorted(map(tuple, T.report(d, PATH).collect())) == want
+    odd = spark.createDataFrame([(1, None, 1), (None, "", 2), (3, "a b", 3), (3, "a b", 3), (4, "x " * 60_000, 5)], "doc_id long, text string, file int")
+    assert Counter(map(tuple, T.report(odd, PATH).collect())) == Counter([(1, 0), (None, 0), (3, 2), (3, 2), (4, len(enc.encode_ordinary("x " * 60_000)))])
+    assert T.report(odd.limit(0), PATH).count() == 0
