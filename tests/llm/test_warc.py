@@ -4,6 +4,8 @@ import json
 import tempfile
 from pathlib import Path
 
+import pytest
+
 from weftline.llm import warc
 
 
@@ -43,3 +45,23 @@ def test_pages(spark, sf):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     got = sorted((tuple(r) for r in warc.report(d).collect()), key=repr)
     assert got == brute([(r.page_id, r.url, r.html) for r in d.collect()])
+
+
+def test_ids_of_other_types(spark):
+    rows = [("a/1 é>", "u", "x" * 150), ("", "u", "x" * 150), ("page", "u", "y"), (None, None, "x" * 150), ("b", "u", "x" * 150)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    assert sorted((tuple(r) for r in warc.report(df).collect()), key=repr) == brute(rows)
+    small = spark.createDataFrame([(2, "u", "x" * 150), (1, "u", "x" * 150)], "page_id int, url string, html string")
+    assert sorted((r.page_id, r.refers_to) for r in warc.report(small).collect()) == [(1, None), (2, 1)]
+
+
+def test_an_archive_inflates_piece_by_piece(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 1000)
+    records = [warc.record(k, None, bytes(1) * (50_000 * k), "d", None) for k in range(4)]
+    for name, data in (("one", gzip.compress(b"".join(records))), ("many", b"".join(map(gzip.compress, records)))):
+        path = tmp_path / f"{name}.warc.gz"
+        path.write_bytes(data)
+        assert list(warc._stream(str(path))) == records
+    path.write_bytes(gzip.compress(b"".join(records)[:-9]))
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc._stream(str(path)))

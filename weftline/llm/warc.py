@@ -12,7 +12,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,7 +25,7 @@ MIN_BYTES = 100  # smaller payloads are never revisits
 ARCHIVE_BYTES = 32 << 20  # of payload; then the next archive begins
 CHUNK = 1 << 20
 LEVEL = 4
-URN = "urn:weftline:page:"
+URN = "urn:weftline:page"  # of a null id; any other follows it after a colon, percent-encoded
 
 
 def _open(uri: str, mode: str):
@@ -45,22 +45,23 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
     narrow = own.where((F.octet_length("payload") >= MIN_BYTES) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     first = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = (
-        narrow.join(first, "payload_digest")
-        .where("page_id > first")
-        .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to"))
-        .distinct()
-    )
+    first = checkpoint(first)  # written: Spark splits a frequent digest only where both sides of a join are shuffled for it
+    later = narrow.join(first, "payload_digest").where("page_id > first").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to"))
+    later = checkpoint(later.distinct())
     return own.join(later, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_id", "_digest")
 
 
+def named(page_id) -> str:
+    return URN if page_id is None else f"{URN}:{quote(str(page_id), safe='')}"
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{URN}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{named(page_id)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -69,7 +70,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{URN}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <{named(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -109,23 +110,24 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def _stream(uri: str) -> Iterator[bytes]:
     """The whole records of an archive, whether it is one gzip stream or many members."""
-    gz, held = zlib.decompressobj(31), bytearray()
+    gz, held, chunk, full = zlib.decompressobj(31), bytearray(), b"", False
     need = -1
     with _open(uri, "rb") as f:
-        while chunk := f.read(CHUNK):
-            while chunk:
-                held += gz.decompress(chunk)
-                chunk = gz.unused_data
-                if gz.eof:
-                    gz = zlib.decompressobj(31)
-                while True:
-                    if need < 0 and (at := held.find(b"\r\n\r\n")) >= 0:
-                        need = at + 4 + int(fields(bytes(held[:at]))["content-length"]) + 4
-                    if need < 0 or len(held) < need:
-                        break
-                    yield bytes(held[:need])
-                    del held[:need]
-                    need = -1
+        while chunk or full or (chunk := f.read(CHUNK)):
+            out = gz.decompress(chunk, CHUNK)  # at most: a small file can inflate to a very large one
+            held += out
+            full = len(out) == CHUNK and not gz.eof  # more may be waiting inside
+            chunk = gz.unused_data if gz.eof else gz.unconsumed_tail
+            if gz.eof:
+                gz = zlib.decompressobj(31)
+            while True:
+                if need < 0 and (at := held.find(b"\r\n\r\n")) >= 0:
+                    need = at + 4 + int(fields(bytes(held[:at]))["content-length"]) + 4
+                if need < 0 or len(held) < need:
+                    break
+                yield bytes(held[:need])
+                del held[:need]
+                need = -1
     if held:
         raise ValueError(f"{uri} ends within a record")
 
@@ -168,8 +170,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(run, "archive string, offset long, length long, record_id string, record_type string")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Read each record of an index by its offset: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+def read_records(index: DataFrame, id_type: str = "long") -> DataFrame:
+    """Read each record of an index by its offset: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits). Ids are of ``id_type``."""
 
     def run(batches):
         held, f = None, None
@@ -186,12 +188,13 @@ def read_records(index: DataFrame) -> DataFrame:
                 digest, kind = head["warc-payload-digest"].removeprefix("sha256:"), head["warc-type"]
                 if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"a record of {uri} at {offset} has another payload than its header says")
-                number = lambda x: int(x) if (x := (x or "").strip("<>").removeprefix(URN)) else None
-                rows.append((number(head["warc-record-id"]), size, digest, kind, number(head.get("warc-refers-to")), payload if kind == "response" else None))
+                own = lambda x: unquote(x.strip("<>").removeprefix(URN)[1:]) if x and x.strip("<>") != URN else None
+                rows.append((own(head["warc-record-id"]), size, digest, kind, own(head.get("warc-refers-to")), payload if kind == "response" else None))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return index.select("archive", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    read = index.select("archive", "offset", "length").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -204,7 +207,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_folder(pages.sparkSession)
     whole = checkpoint(write_archives(pages, folder))
     index = checkpoint(normalise(whole, folder))
-    return read_records(index)
+    return read_records(index, pages.schema["page_id"].dataType.simpleString())
 
 
 def report(pages: DataFrame) -> DataFrame:
