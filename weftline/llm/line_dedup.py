@@ -1,10 +1,15 @@
 """Removal of recurring lines by a tree of line templates.
 
-Lines are parsed to a fixed depth: by their number of words, then by their first
-``LEADING`` words, a word with a digit counting as the variable field ``<*>``.
-Within a leaf a template is the whole masked line: words without digits are never
-generalised, and templates do not merge by likeness. A template that ``MIN_DOCS``
-documents have is boilerplate; its lines go, but for the first document.
+Lines go down a tree of fixed depth: by their number of words, then by their first
+``LEADING`` words, a word with a digit counting as the variable field ``<*>``. The
+distinct lines of a leaf are laid over each other: a word that most of them have
+in its place is constant, any other place is a field. Where half of the words after
+the leading ones or more are constant, the leaf has a template, and the lines that
+have all its constants are of that template; other lines are templates of their own.
+
+A template that recurs across documents is boilerplate; its lines go, but for the
+first document's. Lines that are the same but for digits recur from ``MIN_DOCS``
+documents on, those of a leaf's template from ``LEAF_DOCS`` on.
 """
 
 from __future__ import annotations
@@ -15,59 +20,85 @@ from pyspark.sql import functions as F
 from weftline.llm._rows import one_row_per_text
 from weftline.llm._spark import checkpoint
 
-LEADING = 3
-MIN_DOCS = 3  # of op6 and its SQL
-CORPUS_DOCS = 2  # of a training corpus: a line goes from its second document on
+LEADING = 2
+MIN_DOCS = 2
+LEAF_DOCS = 3
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def masked(line: Column, fields_alone: bool = False) -> Column:
-    """A line's words joined by one space, those with an ASCII digit as FIELD; empty for a line without words.
-
-    A line whose words all have a digit has nothing constant: it keeps its words, unless ``fields_alone``.
-    """
+def masked(line: Column) -> Column:
+    """A line's words, those with an ASCII digit as FIELD. A line whose words all have a digit has nothing constant: it keeps its words."""
     words = F.array_remove(F.split(line, SPACE), "")
-    plain = F.array_join(words, " ")
-    some = line.rlike("[0-9]") if fields_alone else line.rlike("[0-9]") & F.exists(words, lambda w: ~w.rlike("[0-9]"))
-    return F.when(some, F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w)), " ")).otherwise(plain)
+    some = line.rlike("[0-9]") & F.exists(words, lambda w: ~w.rlike("[0-9]"))
+    return F.when(some, F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))).otherwise(words)
 
 
-def leaf(template: Column) -> Column:
-    """The path to a template's leaf: its number of words and its first LEADING words."""
-    words = F.split(template, " ")
+def leaf(words: Column) -> Column:
+    """The path to a leaf: the number of words and the first LEADING ones."""
     return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, LEADING))
 
 
-def lines(docs: DataFrame, fields_alone: bool = False) -> DataFrame:
-    """doc_id, text_hash, at, template of every line."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return split.select("doc_id", "text_hash", "at", masked(F.col("line"), fields_alone).alias("template"))
+def lines(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """doc_id, text_hash, at, words (masked) of every line with words; ``wanted``: only of the lines at these places."""
+    split = F.split("text", "\n")
+    numbered = F.transform(split, lambda x, k: F.struct(k.alias("at"), x.alias("line")))
+    if wanted is not None:
+        numbered = F.transform(wanted, lambda k: F.struct(k.alias("at"), F.get(split, k).alias("line")))
+    each = docs.select("doc_id", "text_hash", F.explode(numbered).alias("x"))
+    return each.select("doc_id", "text_hash", "x.at", masked(F.col("x.line")).alias("words")).where("size(words) > 0")
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, fields_alone: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The lines (doc_id, text_hash, at, leaf, template_hash) with words, and of the templates that ``min_docs`` documents or more have: leaf, template_hash, first (the smallest doc_id), docs.
+def leaf_templates(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """leaf, template_hash of the distinct lines that have all constants of their leaf's template.
 
-    Both levels of the tree are counted at once, pre-aggregated; rows with a null id are no document.
+    ``each`` has the distinct lines (leaf, template_hash) with one place (doc_id,
+    text_hash, at) of each. Only lines of leaves that have several are read again.
     """
-    found = lines(docs, fields_alone).where("template != '' and doc_id is not null")
-    found = checkpoint(found.select("doc_id", "text_hash", "at", F.xxhash64(leaf(F.col("template"))).alias("leaf"), F.xxhash64("template").alias("template_hash")))
-    each = found.groupBy("leaf", "template_hash").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
-    return found, checkpoint(each.where(F.col("docs") >= min_docs))  # written: Spark splits a frequent template only where both sides of a join are shuffled for it
-
-
-def deduplicate(documents: DataFrame, min_docs: int = CORPUS_DOCS, fields_alone: bool = False) -> DataFrame:
+    size = each.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).where((F.col("many") > 1) & (F.col("docs") >= LEAF_DOCS))
+    size = checkpoint(size.select("leaf", "many"))  # written, as below: Spark splits a frequent leaf only where both sides of a join are shuffled for it
+    places = each.join(size.select("leaf"), "leaf").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).agg(F.collect_list("one.at").alias("wanted"))
+    read = lines(docs.join(places, ["doc_id", "text_hash"]), F.col("wanted"))
+    read = read.select(F.xxhash64(leaf(F.col("words"))).alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("template_hash"), F.posexplode("words").alias("k", "word"))
+    words = checkpoint(read.select("leaf", "template_hash", "k", F.xxhash64("word").alias("word"), (F.col("word") == FIELD).alias("field")))
+    counted = words.groupBy("leaf", "k", "word", "field").count().join(size, "leaf")
+    constant = counted.where(2 * F.col("count") > F.col("many")).select("leaf", "k", "word", "field")
+    constant = checkpoint(constant)
+    length = checkpoint(words.groupBy("leaf").agg((F.max("k") + 1).alias("n")))
+    rest = (F.col("k") >= LEADING) & ~F.col("field")
+    whole = constant.groupBy("leaf").agg(F.count("*").alias("constants"), F.sum(rest.cast("int")).alias("rest"))
+    whole = whole.join(length, "leaf").where((F.col("n") > LEADING) & (F.col("rest") > 0) & (2 * F.col("rest") >= F.col("n") - LEADING)).select("leaf", "constants")
+    whole = checkpoint(whole)
+    agree = checkpoint(words.join(constant.select("leaf", "k", "word"), ["leaf", "k", "word"]).groupBy("leaf", "template_hash").count())
+    return agree.join(whole, "leaf").where("count = constants").select("leaf", "template_hash")
+
+
+def recurring(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, at of the lines that go. Rows with a null id are no document."""
+    own = lines(docs.where("doc_id is not null"))
+    found = checkpoint(own.select("doc_id", "text_hash", "at", F.xxhash64(leaf(F.col("words"))).alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("template_hash")))
+    each = found.groupBy("leaf", "template_hash").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one"))
+    each = checkpoint(each)
+    general = checkpoint(leaf_templates(docs, each))
+    alone = each.join(general, ["leaf", "template_hash"], "left_anti").where(F.col("docs") >= MIN_DOCS).select("leaf", "template_hash", "first")
+    wide = checkpoint(found.join(general, ["leaf", "template_hash"]).groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
+    wide = general.join(wide.where(F.col("docs") >= LEAF_DOCS).select("leaf", "first"), "leaf")
+    exact = each.join(general, ["leaf", "template_hash"]).where(F.col("docs") >= MIN_DOCS).select("leaf", "template_hash", "first")  # of leaves whose template is in too few documents
+    exact = exact.join(wide.select("leaf", "template_hash"), ["leaf", "template_hash"], "left_anti")
+    drop = checkpoint(alone.unionByName(wide.select("leaf", "template_hash", "first")).unionByName(exact))
+    return found.join(drop, ["leaf", "template_hash"]).where("doc_id > first").select("doc_id", "text_hash", "at")
+
+
+def deduplicate(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash (of the whole text), kept (the lines left, joined by line feeds), n_lines, n_dropped.
 
     One row for each text of an id, so rows that repeat an id with the same text are
     one; the texts of one id are one document. Of documents only doc_id and text are
     used. A null text is empty and has one empty line; lines without words are kept;
-    a text with a null id is kept whole. An empty table gives no rows. Lines of
-    fields alone recur only with the same words, unless ``fields_alone``.
+    a text with a null id is kept whole. An empty table gives no rows.
     """
     docs = one_row_per_text(documents).withColumn("text_hash", F.xxhash64("text"))
-    found, drop = recurring(docs, min_docs, fields_alone)
-    gone = found.join(drop, ["leaf", "template_hash"]).where("doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("gone"))
+    gone = recurring(docs).groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("gone"))
     each = docs.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "gone", F.split("text", "\n").alias("l"))
     left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(F.col("l"), k)), "\n"))
@@ -75,18 +106,33 @@ def deduplicate(documents: DataFrame, min_docs: int = CORPUS_DOCS, fields_alone:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256, by the templates of the SQL below: ``MIN_DOCS`` documents, fields alone are one."""
-    return deduplicate(documents, MIN_DOCS, True).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped, kept_sha256."""
+    return deduplicate(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents
 ), w AS (SELECT doc_id, k, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
-t AS (SELECT doc_id, k, line, array_to_string(list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END), ' ') AS template FROM w),
-r AS (SELECT template AS rt, min(doc_id) AS first FROM t WHERE template <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-m AS (SELECT t.*, coalesce(doc_id > first, false) AS gone FROM t LEFT JOIN r ON template = rt)
+f AS (SELECT *, len(list_filter(words, lambda x: NOT regexp_matches(x, '[0-9]'))) > 0 AS mixed FROM w),
+t AS (SELECT doc_id, k, line, CASE WHEN mixed THEN list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) ELSE words END AS words FROM f),
+n AS (SELECT *, array_to_string(words, ' ') AS template, concat(len(words), ' ', array_to_string(words[1:{LEADING}], ' ')) AS leaf FROM t),
+d AS (SELECT leaf, template, any_value(words) AS words, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM n WHERE template <> '' AND doc_id IS NOT NULL GROUP BY leaf, template),
+m AS (SELECT leaf, count(*) AS many FROM d GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {LEAF_DOCS}),
+p AS (SELECT d.leaf, template, many, len(words) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d JOIN m ON d.leaf = m.leaf),
+c AS (SELECT leaf, i, word, any_value(size) AS size FROM p GROUP BY leaf, i, word, many HAVING 2 * count(*) > many),
+s AS (
+  SELECT leaf, count(*) AS constants FROM c GROUP BY leaf, size
+  HAVING size > {LEADING} AND count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') > 0 AND 2 * count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') >= size - {LEADING}
+), g AS (
+  SELECT p.leaf, p.template FROM p JOIN c ON p.leaf = c.leaf AND p.i = c.i AND p.word = c.word JOIN s ON s.leaf = p.leaf
+  GROUP BY p.leaf, p.template, constants HAVING count(*) = constants
+), a AS (SELECT n.leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM n JOIN g ON n.template = g.template WHERE doc_id IS NOT NULL GROUP BY n.leaf),
+r AS (
+  SELECT d.template AS rt, CASE WHEN a.docs >= {LEAF_DOCS} THEN a.first WHEN d.docs >= {MIN_DOCS} THEN d.first END AS first
+  FROM d LEFT JOIN g ON d.template = g.template LEFT JOIN a ON a.leaf = g.leaf
+), x AS (SELECT n.*, coalesce(doc_id > r.first, false) AS gone FROM n LEFT JOIN r ON template = rt)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM x GROUP BY doc_id
 """
