@@ -63,3 +63,24 @@ def test_shuffled_benchmark_gives_the_same(spark, sf, monkeypatch):
     assert got(D.report(d, b)) == want
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     assert got(D.report(d, b)) == want
+
+
+def test_short_items_of_every_length(spark):
+    w = [f"v{i}" for i in range(40)]
+    items = [(n, " ".join(w[n : 2 * n])) for n in range(1, 14)] + [(100 + k, w[k]) for k in (0, 5, 33)] + [(200, "v1 v1"), (201, "v1 v1 v1")]
+    docs = [(k, " ".join(w[k:] + ["v1"] * k + w[: 2 * k])) for k in range(25)] + [(90, "v1 v1"), (91, "v5"), (92, "x v33 y")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(D.report(d, b)) == brute(docs, items)
+
+
+def test_items_that_share_a_prefix_meet_a_document_once(spark):
+    w, n = [f"p{i}" for i in range(40)], 2000
+    items = [(k, " ".join([*w, *(f"q{k}a{j}" for j in range(5))])) for k in range(n)] + [(None, " ".join(w))]
+    docs = [(k, " ".join(["z"] * k + w + ["y"] * k)) for k in range(3)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = D.report(d, b).collect()
+    assert {(r.n_items, r.n_hit, r.contaminated) for r in rows} == {(n, 40, True)}
+    assert {r.items_sha256 for r in rows} == {hashlib.sha256(",".join(sorted(map(str, range(n)))).encode()).hexdigest()}
+    windows, members = D._windows(b.selectExpr("cast(item_id as string) item_id", "transform(split(text, ' '), w -> xxhash64(w)) b"), 13, 5)
+    inside = windows.groupBy("fp", "q", "b").count().where("count > 1").count()
+    assert inside == 0 and members.count() < 3 * (n + 1)  # the shared prefix is one set, and the ends are sets of one item

@@ -4,19 +4,27 @@ Every text becomes a sequence of word hashes. Of each run of ``SPAN - GRAM + 1``
 consecutive k-gram hashes the smallest is kept (leftmost on ties), so any two
 texts that share ``SPAN`` consecutive words keep one k-gram at the same place of
 the shared span. Kept fingerprints of both sides are joined, and each hit is
-extended to the left and right, word by word, until the shared run is known.
+extended to the left and right, word by word, until the shared run is known. Items
+of fewer words are looked up by their first words in the same pass.
+
+What many items share is joined once: a window is a fingerprint with the words
+around it, items with the same windows are one set, and sets are turned into items
+only for the documents that have them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._spark import text_of
+from weftline.llm._spark import checkpoint, text_of
 
 SPAN = 13  # words that must agree
 GRAM = 5  # words in a fingerprinted k-gram
-BROADCAST_ROWS = 500_000  # benchmark fingerprints sent to every executor; a larger benchmark is joined by shuffle
+BROADCAST_ROWS = 100_000  # windows sent to every executor, of at most 21 words' hashes each: below 25 MB; more are joined by shuffle
+MASK_BITS = 1 << 16  # of the bitmap of short items' first words: 8 KB
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,24 +70,64 @@ FP, POS = F.shiftright, lambda m: F.col(m).bitwiseAND(0xFFFFFFFF).cast("int")
 LENGTH_ROW = -1  # the fp of the one row of a text that has its number of words instead of a position
 
 
-def fingerprints(hashed: DataFrame, h: str, *keys: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(keys, fp, pos): the winnowed fingerprints of rows whose column ``h`` holds word hashes, and a LENGTH_ROW for each."""
-    packed = hashed.select(*keys, F.size(h).cast("long").alias("_n"), _grams(h, gram).alias("_p"))
+def fingerprints(hashed: DataFrame, h: str, *keys: str, span: int = SPAN, gram: int = GRAM, more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, fp, pos): the winnowed fingerprints of rows whose column ``h`` holds word hashes, ``more`` packed ones, and a LENGTH_ROW for each."""
+    packed = hashed.select(*keys, F.size(h).cast("long").alias("_n"), _grams(h, gram).alias("_p"), *[c.alias(f"_more{k}") for k, c in enumerate(more)])
     length = F.array(F.lit(LENGTH_ROW << 32).bitwiseOR(F.col("_n")))
-    kept = packed.select(*keys, F.explode(F.concat(length, _winnowed("_p", span - gram + 1))).alias("_m"))
-    return kept.select(*keys, FP("_m", 32).alias("fp"), POS("_m").alias("pos"))
-
-
-def _every_gram(hashed: DataFrame, h: str, size: int, *keys: str) -> DataFrame:
-    kept = hashed.select(*keys, F.explode(_grams(h, size)).alias("_m"))
+    kept = packed.select(*keys, F.explode(F.concat(length, _winnowed("_p", span - gram + 1), *[F.col(f"_more{k}") for k in range(len(more))])).alias("_m"))
     return kept.select(*keys, FP("_m", 32).alias("fp"), POS("_m").alias("pos"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast the benchmark's side only when its counted rows are within the bound."""
+    """Broadcast a written table only when its counted rows are within the bound."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _windows(items: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows of items (item_id, b): fp, q (place of the fingerprint in b), b (words' hashes), need (words that must agree), item_set; and the sets' members: item_set, item_id.
+
+    Items of fewer than ``span`` words are windows of their own, under the hash of their first two words, or their only one.
+    """
+    reach = span - gram  # words beyond a kept k-gram that its span can have on either side
+    long = fingerprints(items.where(F.size("b") >= span), "b", "item_id", "b", span=span, gram=gram).where(F.col("fp") != LENGTH_ROW)
+    around = F.slice("b", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, span + reach)
+    long = long.select("item_id", "fp", F.least("pos", F.lit(reach)).alias("q"), around.alias("b"), F.lit(span).alias("need"))
+    short = items.where(F.size("b") < span)
+    head = lambda size: FP(F.get(_grams("b", size), F.lit(0)), 32)
+    short = short.select("item_id", F.when(F.size("b") > 1, head(2)).otherwise(head(1)).alias("fp"), F.lit(0).alias("q"), "b", F.size("b").alias("need"))
+    each = long.unionByName(short).groupBy("fp", "q", "b", "need").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    each = checkpoint(each.withColumn("item_set", F.xxhash64("items")))
+    members = each.groupBy("item_set").agg(F.first("items").alias("items")).select("item_set", F.explode("items").alias("item_id"))
+    return each.drop("items"), checkpoint(members)
+
+
+def _in(table: Column):
+    """Whether the bit of a packed gram's hash is set in a bitmap."""
+
+    def known(m: Column) -> Column:
+        at = F.shiftright(m, 32).bitwiseAND(MASK_BITS - 1).cast("int")
+        return F.call_function("shiftright", F.get(table, F.shiftright(at, 6)), at.bitwiseAND(63)).bitwiseAND(1) == 1
+
+    return known
+
+
+def _short_starts(windows: DataFrame, span: int) -> list[Column]:
+    """Packed grams of column h that can start one of the short items, by a bitmap of MASK_BITS of their hashes; none if there are no short items."""
+    found = windows.where(F.col("need") < span).select((F.col("need") > 1).alias("pair"), F.col("fp").bitwiseAND(MASK_BITS - 1).cast("int").alias("bit"))
+    out, bits = [], {False: set(), True: set()}
+    for r in found.distinct().collect():  # two bitmaps at most, whatever the number of items
+        bits[r.pair].add(r.bit)
+    for pair, ones in bits.items():
+        if not ones:
+            continue
+        words = [0] * (MASK_BITS // 64)
+        for k in ones:
+            words[k // 64] |= 1 << k % 64
+        table = F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
+        out.append(F.filter(_grams("h", 2 if pair else 1), _in(table)))
+    return out
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Spans of benchmark items in documents.
 
@@ -99,29 +147,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         .select("item_id", word_hashes(F.col("w")).alias("b"))
         .distinct()
     )
+    windows, members = _windows(items, span, gram)
     docs = documents.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     hashed = docs.select("doc_id", "text_hash", word_hashes(words(F.col("text"))).alias("h"))
 
-    reach = span - gram  # words beyond a kept k-gram that its span can have on either side
-    long = items.where(F.size("b") >= span)
-    theirs = fingerprints(long, "b", "item_id", "b", span=span, gram=gram).where(F.col("fp") != LENGTH_ROW)
-    theirs = theirs.select(
-        "fp",
-        "item_id",
-        F.least("pos", F.lit(reach)).alias("q"),
-        F.slice("b", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, span + reach).alias("b"),
-        F.lit(span).alias("need"),
-    )
-    ours = fingerprints(hashed, "h", "doc_id", "text_hash", span=span, gram=gram)
-    hits = ours.join(_bounded(theirs), "fp", "left").where(F.col("need").isNotNull() | (F.col("fp") == LENGTH_ROW))
-    lengths = [r[0] for r in items.where(F.size("b") < span).select(F.size("b")).distinct().collect()]  # under `span` values
-    for size in sorted(lengths):
-        short = items.where(F.size("b") == size)
-        whole = _every_gram(short, "b", size, "item_id", "b").select("fp", "item_id", F.lit(0).alias("q"), "b", F.lit(size).alias("need"))
-        hits = hits.unionByName(_every_gram(hashed, "h", size, "doc_id", "text_hash").join(_bounded(whole), "fp"))
+    reach = span - gram
+    ours = fingerprints(hashed, "h", "doc_id", "text_hash", span=span, gram=gram, more=_short_starts(windows, span))
+    hits = ours.join(_bounded(windows), "fp", "left").where(F.col("need").isNotNull() | (F.col("fp") == LENGTH_ROW))
     by_doc = hits.groupBy("doc_id", "text_hash").agg(
         F.max(F.when(F.col("fp") == LENGTH_ROW, F.col("pos"))).cast("long").alias("n_words"),
-        F.collect_list(F.when(F.col("need").isNotNull(), F.struct("pos", "q", "b", "need", "item_id"))).alias("hits"),
+        F.collect_list(F.when(F.col("need").isNotNull(), F.struct("pos", "q", "b", "need", "item_set"))).alias("hits"),
     )
     none = by_doc.where(F.size("hits") == 0).select(
         "doc_id", "text_hash", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids")
@@ -139,7 +174,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
             (x["pos"] - back).alias("start"),
             (x["pos"] + ahead).alias("stop"),
             x["need"].alias("need"),
-            x["item_id"].alias("item_id"),
+            x["item_set"].alias("item_set"),
         )
 
     runs = worded.select("doc_id", "text_hash", "n_words", F.filter(F.transform("hits", run), lambda r: r["stop"] - r["start"] >= r["need"]).alias("runs"))
@@ -148,9 +183,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         "text_hash",
         "n_words",
         F.array_distinct(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.filter(F.transform("runs", lambda r: r["item_id"]), lambda i: i.isNotNull()))).alias("item_ids"),
+        F.array_distinct(F.transform("runs", lambda r: r["item_set"])).alias("sets"),
     )
-    return none.unionByName(found.dropDuplicates(["doc_id", "text_hash"]))
+    found = checkpoint(found.dropDuplicates(["doc_id", "text_hash"]))
+    named = found.select("doc_id", "text_hash", F.explode("sets").alias("item_set")).join(members, "item_set").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    named = named.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
+    found = found.join(named, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    return none.unionByName(found.select("doc_id", "text_hash", "n_words", "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
 
 
 def n_hit(spans: Column) -> Column:
@@ -178,5 +217,7 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents, all columns kept, whose own text is not contaminated; see ``contamination`` for the cases."""
-    found = _judged(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash"))
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(text_of()) == F.col("_bad_hash")), "left_anti")
+    found = _judged(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("bad"), F.col("text_hash").alias("bad_hash"))
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("own"), F.xxhash64(text_of()).alias("own_hash"))
+    rows = rows.join(found, F.col("own").eqNullSafe(F.col("bad")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti")
+    return rows.select(*[F.col("row")[c].alias(c) for c in documents.columns])
