@@ -49,7 +49,7 @@ def test_cases(spark, monkeypatch):
     assert got(S.report(df)) == brute(rows)
     assert got(S.report(df.union(df))) == brute(rows)
     assert S.report(df.limit(0)).count() == 0
-    few = S.repeated_strings(df, block=3)  # every key is split
+    few = S.repeated_strings(df, block=3)  # keys of more than three stretches are cut down by range, and split
     all_ = S.repeated_strings(df)
     places = lambda x: sorted((str(r.doc_id), p) for r in x.collect() for a, b in zip(r.starts, r.stops, strict=True) for p in range(a, b))
     assert sorted(set(places(few))) == sorted(set(places(all_)))
@@ -60,3 +60,29 @@ def test_documents(spark, sf):
     want = brute([(r.doc_id, r.text) for r in d.collect()])
     assert sum(r[2] for r in want) > 0
     assert got(S.report(d)) == want
+
+
+def test_a_frequent_passage_among_different_surroundings(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    hot = text(320)
+    rows = [(k, text(rng.randrange(150, 300)) + hot[rng.randrange(40) :] + text(rng.randrange(150, 300))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for block in (4, 40, 1000):
+        places = S.repeated_strings(df, block=block)
+        found = {r.doc_id: len({p + k for a, b in zip(r.starts, r.stops, strict=True) for p in range(a, b) for k in range(S.SPAN)}) for r in places.collect()}
+        assert {r[0]: r[2] for r in want if r[2]} == found
+
+
+def test_shared_parts():
+    rng = random.Random(1)
+    for _ in range(200):
+        gram = "G" * 5
+        sides = [("".join(rng.choices("ab", k=rng.randrange(8))), "".join(rng.choices("ab", k=rng.randrange(8)))) for _ in range(rng.randrange(2, 7))]
+        common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        got = S.shared_parts([(a + gram + b).encode() for a, b in sides], [len(a) for a, _ in sides], 5)
+        for k, (a, b) in enumerate(sides):
+            rest = sides[:k] + sides[k + 1 :]
+            before, after = max(common(a[::-1], x[::-1]) for x, _ in rest), max(common(b, y) for _, y in rest)
+            assert got[k] == (len(a) - before, len(a) + 5 + after)

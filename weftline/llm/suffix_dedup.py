@@ -20,7 +20,7 @@ from weftline.llm._spark import checkpoint, partitions
 
 SPAN = 200
 GRAM = 50
-BLOCK = 1000  # stretches in one suffix array; a key with more is split, and the blocks are matched by window hashes
+BLOCK = 1000  # stretches in one suffix array; those of a key with more are cut down and made distinct first, and if they still are more, split into blocks that are matched by hashes of whole strings
 
 
 def suffix_array(text) -> list[int]:
@@ -157,26 +157,26 @@ def shared_parts(stretches: list[bytes], leads: list[int], gram: int) -> list[tu
 
 
 def _match(batches, span: int, gram: int):
-    """Rows (key, salt, salted, stretch, content, lead), sorted by key and salt, to ranges of repeated strings of each stretch.
+    """Rows (key, salt, salted, stretch, content, lead, times), sorted by key and salt, to ranges of repeated strings of each stretch.
 
-    A key in one block is settled there. For a key of several blocks each class of
+    Stretches with a lead are cut down here; ``times``: how often one occurs. A key in one block is settled there. For a key of several blocks each class of
     the block also gives one row with two hashes of its string, to be matched
     across the blocks: ``shared`` says that it is settled already.
     """
     names = [x.split(" ")[0] for x in RANGE.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
-    def settle(key, salted, ids, contents, leads):
-        parts = [(0, len(x)) for x in contents] if salted else shared_parts(contents, leads, gram)
-        times: dict[bytes, int] = {}
-        for x, (a, z) in zip(contents, parts, strict=True):
+    def settle(key, salted, ids, contents, leads, times):
+        parts = [(0, len(x)) for x in contents] if leads[0] is None else shared_parts(contents, leads, gram)
+        many: dict[bytes, int] = {}
+        for x, (a, z), n in zip(contents, parts, times, strict=True):
             if z - a >= span:
-                times[x[a:z]] = times.get(x[a:z], 0) + 1
-        if not times:
+                many[x[a:z]] = many.get(x[a:z], 0) + n
+        if not many:
             return
-        pieces = list(times)
+        pieces = list(many)
         which, start, kind = classes(pieces, span)
-        twice = np.bincount(kind, np.array([*times.values()])[which])[kind] > 1
+        twice = np.bincount(kind, np.array([*many.values()])[which])[kind] > 1
         flags = {}
         for k, piece in enumerate(pieces):
             flags[piece] = np.zeros(len(piece) - span + 1, bool)
@@ -185,7 +185,7 @@ def _match(batches, span: int, gram: int):
             if z - a >= span:
                 for lo, hi in zip(*_runs(flags[contents[k][a:z]]), strict=True):
                     yield key, ids[k], a + lo, a + hi, None, None, True
-        if salted:  # stretches are distinct and whole here: pieces are the contents
+        if salted:  # contents are distinct and whole here, so they are the pieces
             _, at = np.unique(kind, return_index=True)
             for k in at:
                 string = pieces[which[k]][start[k] : start[k] + span]
@@ -196,25 +196,63 @@ def _match(batches, span: int, gram: int):
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    held, was, ids, contents, leads, rows = None, False, [], [], [], []
+    held, was, group, rows = None, False, [], []
     for b in batches:
-        for key, salt, salted, stretch, content, lead in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for key, salt, salted, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (key, salt) != held:
                 if held is not None:
-                    rows += settle(held[0], was, ids, contents, leads)
-                held, was, ids, contents, leads = (key, salt), salted, [], [], []
-            ids.append(stretch)
-            contents.append(content)
-            leads.append(lead)
+                    rows += settle(held[0], was, *map(list, zip(*group, strict=True)))
+                held, was, group = (key, salt), salted, []
+            group.append(row)
         if len(rows) >= 20_000:
             yield batch(rows)
             rows = []
     if held is not None:
-        rows += settle(held[0], was, ids, contents, leads)
+        rows += settle(held[0], was, *map(list, zip(*group, strict=True)))
     if rows:
         yield batch(rows)
 
 
+def _cut(hot: DataFrame, gram: int) -> DataFrame:
+    """key, stretch, shift, piece: the stretches (key, stretch, content, lead) of frequent keys, cut down as by ``shared_parts``.
+
+    No task sees a whole key: rows are put in order by range, for each side of the
+    k-gram in turn, and a row is held against its neighbours in the part. The first
+    and last row of a part, whose neighbours are elsewhere, keep that side whole.
+    """
+    n = partitions(hot.sparkSession)
+
+    def most(side: str):
+        def run(batches):
+            before, waiting = None, None  # the row before, and the bytes it shares with the one before it (None: unknown)
+
+            def out(rows):
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["key", "stretch", side])
+
+            for b in batches:
+                made = []
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if before is not None:
+                        n = _common(before[2], row[2]) if before[0] == row[0] else 0
+                        made.append((*before[:2], len(before[2]) if waiting is None else max(waiting, n)))
+                        waiting = n
+                    before = row
+                if made:
+                    yield out(made)
+            if before is not None:
+                yield out([(*before[:2], len(before[2]))])
+
+        return run
+
+    split = hot.select("key", "stretch", "lead", F.expr("substring(content, 1, lead)").alias("head"), F.expr(f"substring(content, lead + {gram + 1})").alias("tail"), "content")
+    found = hot
+    for side, text in (("left", F.expr("unhex(array_join(reverse(regexp_extract_all(hex(head), '..', 0)), ''))")), ("right", F.col("tail"))):
+        rows = checkpoint(split.select("key", "stretch", text.alias("side")))
+        dealt = rows.repartitionByRange(n, "key", "side", "stretch").sortWithinPartitions("key", "side", "stretch")
+        found = found.join(checkpoint(dealt.mapInArrow(most(side), f"key long, stretch long, {side} int"), rows), ["key", "stretch"])
+    return found.select("key", "stretch", (F.col("lead") - F.col("left")).alias("shift"), F.expr(f"substring(content, lead - left + 1, left + {gram} + right)").alias("piece"))
+
+
 def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """doc_id, starts, stops: ranges of the places (in bytes) of strings of ``span`` bytes that also start elsewhere.
 
@@ -251,21 +289,34 @@ def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
 
     each = found.groupBy("key", "stretch").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "strings", "lead")).alias("one"))
     each = checkpoint(each)
-    several = checkpoint(each.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.ceil(F.col("kinds") / block).cast("int").alias("blocks")))
+    several = checkpoint(each.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     whole = each.where("times > 1").select("key", "stretch", F.lit(0).alias("lo"), F.col("one.strings").alias("hi"))
     asked = each.join(several, "key").groupBy(F.col("one.doc_id").alias("_id")).agg(*[F.collect_list(c).alias(f"_{k}") for k, c in enumerate(("key", "stretch", "one.start", "one.strings", "one.lead"))])
     asked = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "_0", "_1", "_2", "_3", "_4")
-    distinct = asked.mapInArrow(lambda b: per_document(b, contents, ["doc_id", "key", "stretch", "content", "lead"]), f"doc_id {kind}, key long, stretch long, content binary, lead int").select("key", "stretch", "content", "lead")
-    dealt = distinct.join(several, "key").select("key", F.pmod(F.xxhash64("stretch"), F.col("blocks")).cast("int").alias("salt"), (F.col("blocks") > 1).alias("salted"), "stretch", "content", "lead")
-    dealt = dealt.repartition(partitions(documents.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
-    matched = checkpoint(dealt.mapInArrow(lambda b: _match(b, span, gram), RANGE))
-    across = matched.where("w1 is not null")
+    distinct = checkpoint(asked.mapInArrow(lambda b: per_document(b, contents, ["doc_id", "key", "stretch", "content", "lead"]), f"doc_id {kind}, key long, stretch long, content binary, lead int").select("key", "stretch", "content", "lead"))
+    frequent = several.where(F.col("kinds") > block).select("key")
+    cut = checkpoint(_cut(distinct.join(frequent, "key"), gram).where(F.octet_length("piece") >= span).withColumn("piece_hash", F.xxhash64("piece")))
+    pieces = checkpoint(cut.groupBy("key", "piece_hash").agg(F.first("piece").alias("content"), F.count("*").cast("int").alias("times")))
+    blocks = checkpoint(pieces.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    salt = F.pmod(F.xxhash64("piece_hash"), F.col("blocks")).cast("int")
+    hot = pieces.join(blocks, "key").select("key", salt.alias("salt"), (F.col("blocks") > 1).alias("salted"), F.col("piece_hash").alias("stretch"), "content", F.lit(None).cast("int").alias("lead"), "times")
+    few = distinct.join(frequent, "key", "left_anti").select("key", F.lit(0).alias("salt"), F.lit(False).alias("salted"), "stretch", "content", "lead", F.lit(1).alias("times"))
+
+    def settled(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(partitions(documents.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
+        return checkpoint(dealt.mapInArrow(lambda b: _match(b, span, gram), RANGE))
+
+    matched, matched_hot = settled(few), settled(hot)
+    across = matched_hot.where("w1 is not null")
     twice = checkpoint(across.groupBy("key", "w1", "w2").count().where("count > 1").drop("count"))
     named = F.col("key"), F.col("stretch"), F.col("start").alias("lo"), F.col("stop").alias("hi")
-    ranges = whole.unionByName(matched.where("w1 is null").select(*named)).unionByName(across.where("not shared").join(twice, ["key", "w1", "w2"]).select(*named))
+    of_pieces = matched_hot.where("w1 is null").select(*named).unionByName(across.where("not shared").join(twice, ["key", "w1", "w2"]).select(*named))
+    of_pieces = checkpoint(of_pieces.withColumnRenamed("stretch", "piece_hash"))
+    of_hot = cut.select("key", "stretch", "shift", "piece_hash").join(of_pieces, ["key", "piece_hash"]).select("key", "stretch", (F.col("shift") + F.col("lo")).alias("lo"), (F.col("shift") + F.col("hi")).alias("hi"))
+    ranges = checkpoint(whole.unionByName(matched.select(*named)).unionByName(of_hot), each, several, distinct, cut, pieces, blocks, matched, matched_hot, twice, of_pieces)
     places = found.select("doc_id", "key", "stretch", "start").join(ranges, ["key", "stretch"])
     places = places.groupBy("doc_id").agg(F.collect_list(F.col("start") + F.col("lo")).alias("starts"), F.collect_list(F.col("start") + F.col("hi")).alias("stops"))
-    return checkpoint(places, found, each, several, matched, twice)
+    return checkpoint(places, found, ranges)
 
 
 def deduplicate(documents: DataFrame, span: int = SPAN) -> DataFrame:
