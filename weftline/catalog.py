@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import relational
+from weftline.plans import analytics, flows, relational  # noqa: F401  (analytics and flows register theirs as they are loaded)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""Vectorised user-defined functions."""

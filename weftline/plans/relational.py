@@ -77,9 +77,9 @@ SELECT s_suppkey, CAST(count(l_orderkey) AS BIGINT) AS lines, CAST(count(DISTINC
 FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey
 """)
 def lines_and_parts_by_supplier(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey")
-    both = table(spark, sf_dir, "supplier").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return both.groupBy("s_suppkey").agg(F.count("l_orderkey").alias("lines"), F.count_distinct("l_partkey").alias("parts"))
+    each = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("l_orderkey").alias("lines"), F.count_distinct("l_partkey").alias("parts"))
+    both = table(spark, sf_dir, "supplier").join(each, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return both.select("s_suppkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "parts")])
 
 
 @query("""

@@ -1,17 +1,89 @@
-"""Windowed counts of an event stream."""
+"""Windowed counts, enrichment and state over a stream of events.
+
+All but ``run`` take streams and tables alike. In append mode a window is put out
+once the watermark passes its end; what comes later than that is dropped.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from weftline.sources.shared import new_folder
+
+LATE = "1 hour"
+
 
+def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of events as they arrive; ts becomes a timestamp, which watermarks need."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
-def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """Parquet files of events as they arrive in a folder; ts becomes a timestamp, which watermarks need."""
-    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
+def run(stream: DataFrame) -> DataFrame:
+    """All that a stream has now, in append mode, by way of files in the shared folder."""
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
-def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """start, event_type, n by tumbling window; events later than ``late`` are dropped. Works on streams and tables alike."""
-    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+
+def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = LATE) -> DataFrame:
+    """start, event_type, n by tumbling window."""
+    return sliding_counts(events, width, width, late)
+
+
+def sliding_counts(events: DataFrame, width: str = "1 day", every: str = "12 hours", late: str = LATE) -> DataFrame:
+    """start, event_type, n by windows of ``width`` that begin ``every`` so often."""
+    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", width, every).alias("w"), "event_type")
     return windowed.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+    """user_id, start, stop, n by sessions that a pause of ``gap`` ends; rows without a user have no session."""
+    known = events.where("user_id is not null").withWatermark("ts", late)
+    windowed = known.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return windowed.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+
+
+def with_customers(events: DataFrame, customers: DataFrame) -> DataFrame:
+    """event_id, segment, value: events with the segment of their user, from a table that the stream meets as it is."""
+    named = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    return events.join(named, "user_id").select("event_id", "segment", "value")
+
+
+def first_of_day(events: DataFrame, late: str = LATE) -> DataFrame:
+    """user_id, event_type, day: each once, however often and late its events come within the watermark."""
+    marked = events.withWatermark("ts", late).select("ts", "user_id", "event_type", F.date_trunc("day", "ts").alias("day"))
+    return marked.dropDuplicates(["user_id", "event_type", "day", "ts"]).select("user_id", "event_type", "day", "ts")
+
+
+def clicks_before_purchases(events: DataFrame) -> DataFrame:
+    """event_id of each purchase and clicks, how many its user made since the one before; counted on from trigger to trigger in a state of one number.
+
+    A trigger's rows of one user are put in the order of time, so how many there are
+    at once is bounded by what a trigger reads.
+    """
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clicks = state.get[0] if state.exists else 0
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])
+        ids, found = [], []
+        for event_id, kind in zip(rows.event_id, rows.event_type, strict=True):
+            if kind == "click":
+                clicks += 1
+            else:
+                ids.append(event_id)
+                found.append(clicks)
+                clicks = 0
+        state.update((clicks,))
+        yield pd.DataFrame({"event_id": ids, "clicks": found}, dtype="int64")
+
+    own = events.where("event_type in ('click', 'purchase') and user_id is not null").select("user_id", "ts", "event_id", "event_type")
+    return own.groupBy("user_id").applyInPandasWithState(count, "event_id long, clicks long", "clicks long", "append", GroupStateTimeout.NoTimeout)
