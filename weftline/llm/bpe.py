@@ -25,7 +25,7 @@ from weftline.llm._spark import text_of
 
 END = "</w>"
 MARK = "\n"  # stands for END in the automaton; no byte is written as a line feed there
-CACHED_WORDS, CACHED_PAIRS = 250_000, 500_000  # in each worker: some 100 MB at most
+CACHED_WORDS, CACHED_PAIRS = 200_000, 400_000  # in each worker that encodes: some 80 MB at most
 # The code points of Unicode white space.
 # Letters and numbers of Unicode 16.0, and lower-case forms of 17.0, that Python's Unicode data (15.1) lacks.
 ADDED = {
@@ -70,17 +70,43 @@ def is_latin(text: str) -> bool:
     return True
 
 
-class Tokenizer:
-    """Encodes and decodes with a word-end BPE vocabulary in the tokenizers library's JSON format."""
+def specification(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+
+class Decoder:
+    """Decodes with a word-end BPE vocabulary in the tokenizers library's JSON format: all tokens in one table, each with its offset."""
+
+    def __init__(self, spec: dict):
+        vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
+        names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in [*vocab.items(), *self.special.items()]:
-            self.names[i] = name
+            names[i] = name
+        spelled = [n.encode() + b" " for n in names]
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
+        self.blob = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The tokens, joined by spaces, in UTF-8: gathered from the table of all tokens by their offsets."""
+        i = np.frombuffer(ids, "<u4").astype(np.int64)
+        if not len(i):
+            return b""
+        out = []
+        for part in np.array_split(i, 1 + len(i) // 500_000):
+            start, size = self.offsets[part], self.offsets[part + 1] - self.offsets[part]
+            before = np.cumsum(size) - size
+            out.append(self.blob[np.repeat(start - before, size) + np.arange(size.sum())].tobytes())
+        return b"".join(out)[:-1]
+
+
+class Tokenizer(Decoder):
+    """Encodes as well, by backtracking."""
+
+    def __init__(self, spec: dict):
+        super().__init__(spec)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.rank: dict[int, int] = {}
@@ -106,9 +132,6 @@ class Tokenizer:
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.words: dict[str, bytes] = {}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        spelled = [n.encode() + b" " for n in self.names]
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in spelled])])
-        self.blob = np.frombuffer(b"".join(spelled), np.uint8)
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """Whether merges of a rank below ``limit`` leave the border between tokens a and b standing.
@@ -194,22 +217,15 @@ class Tokenizer:
         parts = self.at_special.split(text)
         return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
-    def decode(self, ids: bytes) -> bytes:
-        """The tokens, joined by spaces, in UTF-8: gathered from the table of all tokens by their offsets."""
-        i = np.frombuffer(ids, "<u4").astype(np.int64)
-        if not len(i):
-            return b""
-        out = []
-        for part in np.array_split(i, 1 + len(i) // 500_000):
-            start, size = self.offsets[part], self.offsets[part + 1] - self.offsets[part]
-            before = np.cumsum(size) - size
-            out.append(self.blob[np.repeat(start - before, size) + np.arange(size.sum())].tobytes())
-        return b"".join(out)[:-1]
+
+@functools.lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(specification(path))
 
 
 @functools.lru_cache(2)
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return Tokenizer(specification(path))
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
@@ -233,7 +249,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text of the rows of ``encode``; null ids decode to an empty text."""
 
     def run(batches):
-        t = tokenizer(path)
+        t = decoder(path)
         for b in batches:
             text = pa.array([t.decode(x.as_py() or b"") for x in b.column(1)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], ["doc_id", "ids", "text"])
