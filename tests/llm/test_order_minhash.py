@@ -1,4 +1,8 @@
 import hashlib
+import random
+import struct
+
+import xxhash
 
 from weftline.llm import order_minhash as M
 
@@ -58,3 +62,46 @@ def test_slots_follow_the_weighted_jaccard(spark, sf):
         share += (len(a & b) / len(a | b)) ** 2 / len(rows)
         seen += got[i].near_edited / len(rows)
     assert abs(share - seen) < 0.05
+
+
+def chained(*values):
+    """The 64-bit hash of texts and long integers, each seeded with the one before it, as a signed integer."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def fingerprint(text):
+    """The fingerprint from its definition: per slot the k-mers next on the circle, in the order of the text."""
+    words = [chained(w.encode()) for w in text.split()]
+    if not words:
+        return "0" * 8 * M.SLOTS
+    low = lambda x: x >> M.PLACE
+    grams = [low(chained(*words[k : k + M.KMER])) for k in range(max(1, len(words) - M.KMER + 1))]
+    numbered, seen = [], {}
+    for at, g in enumerate(grams):
+        nth = seen[g] = seen.get(g, -1) + 1
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", nth), chained(g) % (1 << 64))
+        numbered.append((low(seed - (1 << 64) if seed >> 63 else seed), at))
+    numbered.sort()
+    out = []
+    for j in range(M.SLOTS):
+        point = ((j << 64) // M.SLOTS - (1 << 63)) >> M.PLACE
+        start = next((k for k, (h, at) in enumerate(numbered) if h >= point), 0)
+        picked = sorted((numbered[(start + t) % len(numbered)] for t in range(M.PICK)), key=lambda x: (x[1], x[0] % (1 << 34)))
+        out.append(chained(*(h % (1 << 34) for h, _ in picked)) & 0x7FFFFFFF)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_fingerprints_against_the_definition(spark, sf):
+    rng = random.Random(9)
+    texts = ["", "one", "a b", "a b c", "a b a b a b a b", "x " * 300, "  \t lead", *(" ".join(rng.choices("abcdef", k=rng.randrange(60))) for _ in range(60))]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in M.report(df).collect()}
+    share = lambda a, b: sum(a[8 * j : 8 * j + 8] == b[8 * j : 8 * j + 8] for j in range(M.SLOTS)) / M.SLOTS
+    for k, t in enumerate(texts):
+        then = texts[(k + 1) % len(texts)]
+        own, changed = fingerprint(t), fingerprint(t[: len(t) - len(t) // 4] + then[: len(t) // 4])
+        assert got[k] == (own, changed, share(own, changed), share(own, fingerprint(then)))
