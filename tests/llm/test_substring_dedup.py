@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from weftline.llm import substring_dedup as S
 
 
@@ -44,3 +46,19 @@ def test_documents(spark, sf):
     want = brute([(r.doc_id, r.text) for r in d.collect()])
     assert sum(r[2] for r in want) > 0
     assert got(S.report(d)) == want
+
+
+def test_windows_of_a_level_are_extensions_of_the_level_before():
+    rng = np.random.default_rng(3)
+    for span, first in ((13, 4), (26, 4), (20, 3), (9, 2)):
+        h = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        sizes = S.levels(span, first)
+        passage = np.arange(len(h) - span + 1)
+        for k in range(1, len(sizes)):
+            before, now = S._starts(h, span, sizes[:k]), S._starts(h, span, sizes[: k + 1])
+            assert sizes[k] == 2 * sizes[k - 1]
+            assert (passage <= now).all() and (now + sizes[k] <= passage + span).all()
+            assert (now <= before).all() and (before + sizes[k - 1] <= now + sizes[k]).all()
+        copy = np.concatenate([rng.integers(0, 1 << 63, 50, dtype=np.uint64), h[100:140]])
+        for k in range(len(sizes)):
+            assert (S._starts(copy, span, sizes[: k + 1])[50:] - 50 == S._starts(h, span, sizes[: k + 1])[100 : 100 + 40 - span + 1] - 100).all()

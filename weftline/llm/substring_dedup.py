@@ -1,10 +1,12 @@
 """Removal of repeated word passages by level-wise doubling.
 
-Windows of a short length are looked up across the documents first; only places
-where they repeat are tried at twice the length, and so on up to the full
-passage, which at last is looked up exactly. Below the last level not every
-window is looked up but the one with the smallest hash in each possible passage:
-a passage that repeats has the same one in all its copies.
+Windows of a short length are looked up across the documents first. Only those that
+repeat are extended to twice their length, to the right or, where the passage ends
+there, to the left, and looked up again, and so on up to the full passage, which at
+last is looked up exactly; a passage whose window does not repeat is no candidate
+any more. On the first level not every window is looked up but the one with the
+smallest hash in each possible passage: a passage that repeats has the same one in
+all its copies, and so the same extensions.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._rolling import SECOND, once, smallest, spans, windows, word_hashes
+from weftline.llm._rolling import SECOND, smallest, spans, windows, word_hashes
 from weftline.llm._rows import id_type, one_row_per_id, per_document, signed
 from weftline.llm._spark import checkpoint
 
@@ -30,17 +32,26 @@ def levels(span: int = SPAN, first: int = FIRST) -> list[int]:
     return out
 
 
-def _alive(hashes: np.ndarray, span: int, size: int, kept: np.ndarray) -> np.ndarray:
-    """Which passages (by start) have a kept window as their selected one of ``size`` words."""
-    return np.isin(smallest(windows(hashes, size), span - size + 1), kept)
+def _starts(hashes: np.ndarray, span: int, sizes: list[int]) -> np.ndarray:
+    """For every passage the start of its window of the last of ``sizes``: the window of smallest hash, extended within the passage from level to level."""
+    at = smallest(windows(hashes, sizes[0]), span - sizes[0] + 1)
+    passage = np.arange(len(at))
+    for size in sizes[:-1]:
+        left = np.where(at - size >= passage, at - size, passage + span - 2 * size)
+        at = np.where(at - passage + 2 * size <= span, at, left)
+    return at
 
 
-def _selected(hashes: np.ndarray, span: int, size: int, alive: np.ndarray | None) -> list[np.ndarray]:
-    """Hashes and places of the windows of ``size`` words selected in the passages still alive."""
-    grams = windows(hashes, size)
-    at = smallest(grams, span - size + 1)
-    at = once(at if alive is None else at[alive])
-    return [signed(grams[at]), at.astype(np.int32)]
+def _alive(hashes: np.ndarray, span: int, sizes: list[int], kept: np.ndarray) -> np.ndarray:
+    """Which passages (by start) have a kept window on the level of the last of ``sizes``."""
+    return np.isin(_starts(hashes, span, sizes), kept)
+
+
+def _selected(hashes: np.ndarray, span: int, sizes: list[int], alive: np.ndarray | None) -> list[np.ndarray]:
+    """Hashes and places of the windows of the passages still alive, on the level of the last of ``sizes``."""
+    at = _starts(hashes, span, sizes)
+    at = np.unique(at if alive is None else at[alive])
+    return [signed(windows(hashes, sizes[-1])[at]), at.astype(np.int32)]
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -77,13 +88,13 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST
             h = hashed(text)
             if len(h) < span:
                 return [none, none]
-            return _selected(h, span, sizes[number], None if kept is None else _alive(h, span, sizes[number - 1], kept))
+            return _selected(h, span, sizes[: number + 1], None if kept is None else _alive(h, span, sizes[:number], kept))
 
         return lambda batches: per_document(batches, one, ["doc_id", "key", "pos"])
 
     def runs(text: bytes, kept: np.ndarray):
         h = hashed(text)
-        alive = np.flatnonzero(_alive(h, span, sizes[-1], kept))
+        alive = np.flatnonzero(_alive(h, span, sizes, kept))
         grams = windows(h, sizes[0])
         at = smallest(grams, span - sizes[0] + 1)[alive]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(alive) != 1) | (np.diff(at) != 0)])) if len(alive) else none
