@@ -158,6 +158,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         F.max(F.when(F.col("fp") == LENGTH_ROW, F.col("pos"))).cast("long").alias("n_words"),
         F.collect_list(F.when(F.col("need").isNotNull(), F.struct("pos", "q", "b", "need", "item_set"))).alias("hits"),
     )
+    by_doc = checkpoint(by_doc)  # all words of all documents are read for this once
     none = by_doc.where(F.size("hits") == 0).select(
         "doc_id", "text_hash", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids")
     )
@@ -185,7 +186,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         F.array_distinct(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))).alias("spans"),
         F.array_distinct(F.transform("runs", lambda r: r["item_set"])).alias("sets"),
     )
-    found = checkpoint(found.dropDuplicates(["doc_id", "text_hash"]))
+    found = checkpoint(found.dropDuplicates(["doc_id", "text_hash"]))  # read twice
     named = found.select("doc_id", "text_hash", F.explode("sets").alias("item_set")).join(members, "item_set").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     named = named.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     found = found.join(named, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
