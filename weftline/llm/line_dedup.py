@@ -39,14 +39,10 @@ def leaf(words: Column) -> Column:
     return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, LEADING))
 
 
-def lines(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """doc_id, text_hash, at, words (masked) of every line with words; ``wanted``: only of the lines at these places."""
-    split = F.split("text", "\n")
-    numbered = F.transform(split, lambda x, k: F.struct(k.alias("at"), x.alias("line")))
-    if wanted is not None:
-        numbered = F.transform(wanted, lambda k: F.struct(k.alias("at"), F.get(split, k).alias("line")))
-    each = docs.select("doc_id", "text_hash", F.explode(numbered).alias("x"))
-    return each.select("doc_id", "text_hash", "x.at", masked(F.col("x.line")).alias("words")).where("size(words) > 0")
+def worded(lines: DataFrame) -> DataFrame:
+    """doc_id, text_hash, at, words (masked) of those of the lines (doc_id, text_hash, at, line) that have words."""
+    some = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))  # not by the words, which would be split twice for it
+    return some.select("doc_id", "text_hash", "at", masked(F.col("line")).alias("words"))
 
 
 def leaf_templates(docs: DataFrame, each: DataFrame) -> DataFrame:
@@ -58,7 +54,9 @@ def leaf_templates(docs: DataFrame, each: DataFrame) -> DataFrame:
     size = each.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).where((F.col("many") > 1) & (F.col("docs") >= LEAF_DOCS))
     size = checkpoint(size.select("leaf", "many"))  # written, as below: Spark splits a frequent leaf only where both sides of a join are shuffled for it
     places = each.join(size.select("leaf"), "leaf").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).agg(F.collect_list("one.at").alias("wanted"))
-    read = lines(docs.join(places, ["doc_id", "text_hash"]), F.col("wanted"))
+    split = docs.select("doc_id", "text_hash", F.split("text", "\n").alias("l")).join(places, ["doc_id", "text_hash"])  # a text is split once, below the join
+    read = split.select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("at"), F.get(F.col("l"), k).alias("line")))).alias("x"))
+    read = worded(read.select("doc_id", "text_hash", "x.at", "x.line"))
     read = read.select(F.xxhash64(leaf(F.col("words"))).alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("template_hash"), F.posexplode("words").alias("k", "word"))
     words = checkpoint(read.select("leaf", "template_hash", "k", F.xxhash64("word").alias("word"), (F.col("word") == FIELD).alias("field")))
     counted = words.groupBy("leaf", "k", "word", "field").count().join(size, "leaf")
@@ -75,7 +73,7 @@ def leaf_templates(docs: DataFrame, each: DataFrame) -> DataFrame:
 
 def recurring(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, at of the lines that go. Rows with a null id are no document."""
-    own = lines(docs.where("doc_id is not null"))
+    own = worded(docs.where("doc_id is not null").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line")))
     found = checkpoint(own.select("doc_id", "text_hash", "at", F.xxhash64(leaf(F.col("words"))).alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("template_hash")))
     each = found.groupBy("leaf", "template_hash").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash", "at")).alias("one"))
     each = checkpoint(each)
