@@ -28,7 +28,14 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op6_line_templates": line_dedup.SQL, "op9_substring_doubling": OP9, "op10_warc": OP10}
+    return {
+        "op1_decontamination": OP1,
+        "op5_suffix_array": OP5,
+        "op6_line_templates": line_dedup.SQL,
+        "op8_jaccard_join": OP8,
+        "op9_substring_doubling": OP9,
+        "op10_warc": OP10,
+    }
 
 
 OP10 = """
@@ -69,3 +76,31 @@ kept AS (
 SELECT w.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+OP5 = """
+WITH t8 AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+h AS (SELECT doc_id, hex(t) AS x FROM t8),
+k AS (SELECT doc_id, i, md5(t[i + 1:i + 200]) AS s FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 199)) AS i FROM t8)),
+c AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new FROM k SEMI JOIN c USING (s)),
+m AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM m GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM r),
+t AS (SELECT p.doc_id AS doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS before, max(b) AS rest FROM p JOIN h ON p.doc_id = h.doc_id GROUP BY 1)
+SELECT h.doc_id AS doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(before, '') || substr(x, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN t ON h.doc_id = t.doc_id
+"""
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a)
+SELECT w.doc_id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.root AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT id, min(root) AS root FROM r GROUP BY 1) c ON c.id = w.doc_id
+"""
