@@ -13,13 +13,12 @@ from weftline import catalog
 from weftline.operators.asof import asof_join
 from weftline.streaming.windows import event_stream, tumbling_counts
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for t in TABLES:
+    for t in catalog.TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return c
 
@@ -62,3 +61,12 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sql_over_the_tables(spark, sf, capsys, tmp_path):
+    from weftline.__main__ import main
+
+    assert catalog.sql(spark, sf, "SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name").count() == 5
+    main(sf, "top_orders")
+    main(sf, "SELECT max(o_orderkey) AS k FROM orders", str(tmp_path / "out"))
+    assert "o_totalprice" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "out")).columns == ["k"]

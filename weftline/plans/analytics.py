@@ -217,3 +217,84 @@ def part_scalars(spark, sf_dir):
         F.reverse("p_name").alias("backwards"),
         F.instr("p_name", "e").cast("long").alias("at"),
     )
+
+
+@query("""
+SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS high,
+       count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS low FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY o_orderstatus
+""")
+def priorities_by_status(spark, sf_dir):
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "5-LOW": "low"}
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", list(names)).agg(F.count(F.lit(1))).where("`1-URGENT` is not null or `2-HIGH` is not null or `5-LOW` is not null")
+    return wide.select("o_orderstatus", *[F.coalesce(k, F.lit(0)).alias(v) for k, v in names.items()])
+
+
+@query("""
+SELECT l_linestatus, measure, sum(value) AS total FROM (
+  UNPIVOT (SELECT l_linestatus, l_quantity AS quantity, l_extendedprice AS price FROM lineitem) ON quantity, price INTO NAME measure VALUE value) GROUP BY ALL
+""")
+def line_measures(spark, sf_dir):
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"))
+    return sums.unpivot("l_linestatus", ["quantity", "price"], "measure", "total")
+
+
+@query("""
+SELECT c_custkey, c_acctbal FROM customer a WHERE c_acctbal > 1.5 * (SELECT avg(c_acctbal) FROM customer b WHERE b.c_nationkey = a.c_nationkey)
+""")
+def customers_far_above_their_nation(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    means = customers.groupBy(F.col("c_nationkey").alias("nation")).agg(F.avg("c_acctbal").alias("mean"))
+    return customers.join(means, F.col("c_nationkey") == F.col("nation")).where(F.col("c_acctbal") > 1.5 * F.col("mean")).select("c_custkey", "c_acctbal")
+
+
+@query("""
+SELECT p_type, quantile_cont(p_retailprice, 0.5) AS middle, quantile_cont(p_retailprice, 0.9) AS high, max(p_retailprice) - min(p_retailprice) AS spread,
+       CAST(arg_max(p_partkey, struct_pack(a := p_retailprice, b := p_partkey)) AS BIGINT) AS dearest FROM part GROUP BY p_type
+""")
+def price_quantiles(spark, sf_dir):
+    price = F.col("p_retailprice")
+    return table(spark, sf_dir, "part").groupBy("p_type").agg(
+        F.percentile(price, 0.5).alias("middle"),
+        F.percentile(price, 0.9).alias("high"),
+        (F.max(price) - F.min(price)).alias("spread"),
+        F.max_by("p_partkey", F.struct(price, "p_partkey")).alias("dearest"),
+    )
+
+
+@query("""
+WITH RECURSIVE steps AS (SELECT 0 AS depth, CAST(10 AS BIGINT) AS most UNION ALL SELECT depth + 1, most * 2 FROM steps WHERE depth < 5)
+SELECT depth, CAST(count(*) AS BIGINT) AS nations FROM steps JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON n <= most GROUP BY depth
+""")
+def nations_by_size_steps(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("weftline_customer")
+    return spark.sql("""
+        WITH RECURSIVE steps(depth, most) AS (SELECT 0, CAST(10 AS BIGINT) UNION ALL SELECT depth + 1, most * 2 FROM steps WHERE depth < 5)
+        SELECT depth, count(*) AS nations FROM (SELECT c_nationkey, count(*) AS n FROM weftline_customer GROUP BY c_nationkey) JOIN steps ON n <= most GROUP BY depth
+    """)
+
+
+@query("""
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS BIGINT) AS plain,
+       CAST(len(string_split(html, '<p')) - 1 AS BIGINT) AS paragraphs FROM pages
+""")
+def page_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"),
+        F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("plain"),
+        (F.size(F.split("html", "<p")) - 1).cast("long").alias("paragraphs"),
+    )
+
+
+@query("""
+SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, arg_min(role, turn) AS opener, arg_max(role, turn) AS closer, CAST(max(length(text)) AS BIGINT) AS longest,
+       CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS asked FROM conversations GROUP BY conv_id
+""")
+def conversation_shapes(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("turns"),
+        F.min_by("role", "turn").alias("opener"),
+        F.max_by("role", "turn").alias("closer"),
+        F.max(F.length("text")).cast("long").alias("longest"),
+        F.count_if(F.col("role") == "user").alias("asked"),
+    )
