@@ -84,16 +84,27 @@ def fingerprint(text):
         nth = seen[g] = seen.get(g, -1) + 1
         seed = xxhash.xxh64_intdigest(struct.pack("<i", nth), chained(g) % (1 << 64))
         numbered.append((low(seed - (1 << 64) if seed >> 63 else seed), at))
-    numbered.sort()
-    out = []
-    for j in range(M.SLOTS):
-        point = ((j << 64) // M.SLOTS - (1 << 63)) >> M.PLACE
-        start = next((k for k, (h, at) in enumerate(numbered) if h >= point), 0)
-        picked = sorted((numbered[(start + t) % len(numbered)] for t in range(M.PICK)), key=lambda x: (x[1], x[0] % (1 << 34)))
-        out.append(chained(*(h % (1 << 34) for h, _ in picked)) & 0x7FFFFFFF)
+    out, each = [], M.SLOTS // M.CIRCLES
+    for c in range(M.CIRCLES):
+        circle = numbered
+        if c:
+            seeded = lambda h: xxhash.xxh64_intdigest(struct.pack("<i", c), chained(h) % (1 << 64))
+            circle = [(low(s - (1 << 64) if (s := seeded(h)) >> 63 else s), at) for h, at in numbered]
+        circle = sorted(circle)
+        for j in range(each):
+            point = ((j << 64) // each - (1 << 63)) >> M.PLACE
+            start = next((k for k, (h, at) in enumerate(circle) if h >= point), 0)
+            picked = sorted((circle[(start + t) % len(circle)] for t in range(M.PICK)), key=lambda x: (x[1], x[0] % (1 << 34)))
+            out.append(chained(*(h % (1 << 34) for h, _ in picked)) & 0x7FFFFFFF)
     return "".join(f"{x:08x}" for x in out)
 
 
+def test_short_texts_have_more_slots_than_k_mers(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(12)))], "doc_id long, text string")
+    own = M.report(df).first().fingerprint
+    assert len({own[8 * j : 8 * j + 8] for j in range(M.SLOTS)}) > 10  # ten k-mers, in each of the circles
+
+
 def test_fingerprints_against_the_definition(spark, sf):
     rng = random.Random(9)
     texts = ["", "one", "a b", "a b c", "a b a b a b a b", "x " * 300, "  \t lead", *(" ".join(rng.choices("abcdef", k=rng.randrange(60))) for _ in range(60))]

@@ -1,11 +1,13 @@
 """Order MinHash fingerprints, with DataFrame functions only.
 
 A text's k-mers of words are numbered by occurrence, so the second copy of one is
-another k-mer. Each slot of a fingerprint has its own order of all numbered
-k-mers: their hashes on a circle, read from the slot's point onwards. The
-``PICK`` smallest in that order are kept, put back into the order of the text and
-hashed as a tuple. Slots of two texts agree if the same k-mers come in the same
-order, so moved text counts as well as changed text.
+another k-mer. A fingerprint has CIRCLES independent orders of all numbered k-mers:
+their hashes on a circle, hashed anew for each. The slots of a circle are points at
+equal distances; each reads the circle from its point onwards, which is an order of
+its own (one-permutation hashing with rotation). The ``PICK`` smallest k-mers in a
+slot's order are kept, put back into the order of the text and hashed as a tuple.
+Slots of two texts agree if the same k-mers come in the same order, so moved text
+counts as well as changed text.
 
 Values are packed: the upper 34 bits have the hash, the lower 30 the place.
 """
@@ -21,6 +23,7 @@ from weftline.llm._spark import checkpoint, partitions
 KMER = 3  # words
 PICK = 2  # k-mers in a slot's tuple
 SLOTS = 32
+CIRCLES = 4
 PLACE = 30  # bits
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,18 +61,27 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
         F.flatten(F.transform("_runs", lambda a, k: F.transform(run(a, k), number)))
     )
     df = df.select(*kept, F.sort_array(numbered).alias("_k"))
-    points = [(j << 64) // SLOTS - (1 << 63) for j in range(SLOTS)]  # ascending
-    df = df.select(*kept, "_k", F.sort_array(F.concat("_k", F.array(*[F.lit(p).cast("long") for p in points]))).alias("_with"))
-    after = F.array(*[(F.array_position("_with", F.lit(p).cast("long")) - 1 - j).cast("int") for j, p in enumerate(points)])
-    df = df.select(*kept, "_k", after.alias("_at"))
-
-    def slot(at: Column) -> Column:
-        picked = [F.get(F.col("_k"), F.pmod(at + t, F.size("_k"))) for t in range(PICK)]
-        in_text = F.sort_array(F.array(*[F.shiftleft(_place(x), 34).bitwiseOR(_hash_part(x).bitwiseAND((1 << 34) - 1)) for x in picked]))
-        return F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND((1 << 34) - 1))).bitwiseAND(0x7FFFFFFF).cast("int")
+    again = lambda c: F.sort_array(F.transform("_k0", lambda x: _pack(F.xxhash64(_hash_part(x), F.lit(c)), _place(x))))
+    df = df.withColumnRenamed("_k", "_k0")
+    circles = [f"_k{c}" for c in range(CIRCLES)]
+    df = df.select(*kept, "_k0", *[again(c).alias(circles[c]) for c in range(1, CIRCLES)])
+    each = SLOTS // CIRCLES
+    points = [(j << 64) // each - (1 << 63) for j in range(each)]  # ascending
+    laid = F.array(*[F.lit(p).cast("long") for p in points])
+    df = df.select(*kept, *circles, *[F.sort_array(F.concat(k, laid)).alias(f"_with{k}") for k in circles])
+    after = lambda k: F.array(*[(F.array_position(f"_with{k}", F.lit(p).cast("long")) - 1 - j).cast("int") for j, p in enumerate(points)])
+    df = df.select(*kept, *circles, *[after(k).alias(f"_at{k}") for k in circles])
+
+    def slots(k: str) -> Column:
+        def slot(at: Column) -> Column:
+            picked = [F.get(F.col(k), F.pmod(at + t, F.size(k))) for t in range(PICK)]
+            in_text = F.sort_array(F.array(*[F.shiftleft(_place(x), 34).bitwiseOR(_hash_part(x).bitwiseAND((1 << 34) - 1)) for x in picked]))
+            return F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND((1 << 34) - 1))).bitwiseAND(0x7FFFFFFF).cast("int")
+
+        return F.transform(f"_at{k}", slot)
 
     zeros = F.array_repeat(F.lit(0), SLOTS)
-    return df.select(*kept, F.when(F.col("_k").isNull(), zeros).otherwise(F.transform("_at", slot)).alias(out))
+    return df.select(*kept, F.when(F.col("_k0").isNull(), zeros).otherwise(F.concat(*[slots(k) for k in circles])).alias(out))
 
 
 def likeness(a: str, b: str) -> Column:
