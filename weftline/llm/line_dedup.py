@@ -4,8 +4,9 @@ Lines go down a tree of fixed depth: by their number of words, then by their fir
 ``LEADING`` words, a word with a digit counting as the variable field ``<*>``. The
 distinct lines of a leaf are laid over each other: a word that most of them have
 in its place is constant, any other place is a field. Where half of the words after
-the leading ones or more are constant, the leaf has a template, and the lines that
-have all its constants are of that template; other lines are templates of their own.
+the leading ones or more, and CONSTANT at least, are constant, the leaf has a
+template, and the lines that have all its constants are of that template; other
+lines are templates of their own.
 
 A template that recurs across documents is boilerplate; its lines go, but for the
 first document's. Lines that are the same but for digits recur from ``MIN_DOCS``
@@ -21,6 +22,7 @@ from weftline.llm._rows import one_row_per_text
 from weftline.llm._spark import checkpoint
 
 LEADING = 2
+CONSTANT = 2
 MIN_DOCS = 2
 LEAF_DOCS = 3
 FIELD = "<*>"
@@ -65,7 +67,7 @@ def leaf_templates(docs: DataFrame, each: DataFrame) -> DataFrame:
     length = checkpoint(words.groupBy("leaf").agg((F.max("k") + 1).alias("n")))
     rest = (F.col("k") >= LEADING) & ~F.col("field")
     whole = constant.groupBy("leaf").agg(F.count("*").alias("constants"), F.sum(rest.cast("int")).alias("rest"))
-    whole = whole.join(length, "leaf").where((F.col("n") > LEADING) & (F.col("rest") > 0) & (2 * F.col("rest") >= F.col("n") - LEADING)).select("leaf", "constants")
+    whole = whole.join(length, "leaf").where((F.col("n") > LEADING) & (F.col("rest") >= CONSTANT) & (2 * F.col("rest") >= F.col("n") - LEADING)).select("leaf", "constants")
     whole = checkpoint(whole)
     agree = checkpoint(words.join(constant.select("leaf", "k", "word"), ["leaf", "k", "word"]).groupBy("leaf", "template_hash").count())
     return agree.join(whole, "leaf").where("count = constants").select("leaf", "template_hash")
@@ -121,7 +123,7 @@ p AS (SELECT d.leaf, template, many, len(words) AS size, unnest(words) AS word,
 c AS (SELECT leaf, i, word, any_value(size) AS size FROM p GROUP BY leaf, i, word, many HAVING 2 * count(*) > many),
 s AS (
   SELECT leaf, count(*) AS constants FROM c GROUP BY leaf, size
-  HAVING size > {LEADING} AND count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') > 0 AND 2 * count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') >= size - {LEADING}
+  HAVING size > {LEADING} AND count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') >= {CONSTANT} AND 2 * count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') >= size - {LEADING}
 ), g AS (
   SELECT p.leaf, p.template FROM p JOIN c ON p.leaf = c.leaf AND p.i = c.i AND p.word = c.word JOIN s ON s.leaf = p.leaf
   GROUP BY p.leaf, p.template, constants HAVING count(*) = constants
