@@ -159,9 +159,10 @@ def shared_parts(stretches: list[bytes], leads: list[int], gram: int) -> list[tu
 def _match(batches, span: int, gram: int):
     """Rows (key, salt, salted, stretch, content, lead, times), sorted by key and salt, to ranges of repeated strings of each stretch.
 
-    Stretches with a lead are cut down here; ``times``: how often one occurs. A key in one block is settled there. For a key of several blocks each class of
-    the block also gives one row with two hashes of its string, to be matched
-    across the blocks: ``shared`` says that it is settled already.
+    Stretches with a lead are cut down here; ``times``: how often one occurs. A key in
+    one block is settled there. For a key of several blocks each class of the block
+    also gives one row with two hashes of its string, to be matched across the
+    blocks: ``shared`` says that it is settled already.
     """
     names = [x.split(" ")[0] for x in RANGE.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
