@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.vectorised import Instalments, compound, weighted_mean
+from weftline.functions.vectorised import Instalments, compound, total, weighted_mean
 from weftline.plans.relational import query, table
 from weftline.sources import formats
 from weftline.sources.shared import new_folder
@@ -101,9 +101,11 @@ def future_prices(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", later.alias("later"))
 
 
-@query("SELECT l_orderkey, sum(l_discount * l_quantity) / sum(l_quantity) AS discount FROM lineitem GROUP BY l_orderkey")
-def mean_discounts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(weighted_mean("l_discount", "l_quantity").alias("discount"))
+@query("SELECT l_suppkey, sum(sqrt(l_extendedprice) * l_quantity) / sum(l_quantity) AS mean FROM lineitem GROUP BY l_suppkey")
+def mean_price_roots(spark, sf_dir):
+    salted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), 4).alias("salt"))  # a frequent supplier is several groups
+    parts = salted.agg(weighted_mean(F.sqrt("l_extendedprice"), "l_quantity").alias("m"), total("l_quantity").alias("w"))
+    return parts.groupBy("l_suppkey").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("mean"))
 
 
 @query("SELECT o_orderkey, CAST(k AS INTEGER) AS number, o_totalprice / (1 + o_orderkey % 4) AS amount FROM (SELECT *, unnest(range(1, 2 + o_orderkey % 4)) AS k FROM orders)")
