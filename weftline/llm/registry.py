@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, merkle, order_minhash, substring_dedup, suffix_dedup, token_counts, toxicity, warc
+from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, merkle, order_minhash, spelling, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from weftline.llm._spark import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op8_jaccard_join": _documents(jaccard_join.report),
         "op9_substring_doubling": _documents(substring_dedup.report),
         "op10_warc": lambda s, d: warc.report(table(s, d, "pages")),
+        "op11_spelling_variants": _documents(spelling.report),
         "op12_merkle_manifest": _documents(merkle.report),
     }
 
@@ -36,6 +37,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": OP8,
         "op9_substring_doubling": OP9,
         "op10_warc": OP10,
+        "op11_spelling_variants": spelling.SQL,
         "op12_merkle_manifest": merkle.SQL,
     }
 
