@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, merkle, order_minhash, spelling, substring_dedup, suffix_dedup, token_counts, toxicity, warc
+from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, merkle, order_minhash, spelling, substring_dedup, suffix_dedup, token_counts, topk_search, toxicity, warc
 from weftline.llm._spark import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op10_warc": lambda s, d: warc.report(table(s, d, "pages")),
         "op11_spelling_variants": _documents(spelling.report),
         "op12_merkle_manifest": _documents(merkle.report),
+        "op13_topk_search": lambda s, d: topk_search.report(table(s, d, "embeddings")),
     }
 
 
@@ -39,6 +40,7 @@ def oracle_sql() -> dict[str, str]:
         "op10_warc": OP10,
         "op11_spelling_variants": spelling.SQL,
         "op12_merkle_manifest": merkle.SQL,
+        "op13_topk_search": topk_search.SQL,
     }
 
 
