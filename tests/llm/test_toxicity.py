@@ -1,41 +1,40 @@
-import itertools
-import math
 import zlib
 
 import numpy as np
+import pytest
 
 from weftline.llm import toxicity as T
 
 
-def by_hand(words, stems, reach=T.REACH):
-    """The grammar's meaning, written out word by word without transducers."""
-    symbol = []
-    for w in words:
-        closed = [c for c, x in (("negation", T.NEGATION), ("report", T.REPORTED), ("target", T.TARGET), ("threat", T.THREAT)) if w in x]
-        symbol.append(closed[0] if closed else "insult" if w in stems else "other")
-    near = lambda k, what: any(symbol[j] == what for j in range(max(0, k - reach), k))
-    total, last = 0.0, None  # last: the threat or target that a later target or threat can meet
-    for k, s in enumerate(symbol):
-        negated = T.FACTOR["negated"] if near(k, "negation") else 1.0
+def by_hand(words, insults, reach=T.REACH):
+    """The matches of a clause, written out word by word without transducers."""
+    g = T.Grammar({w + " ": x for w, x in insults.items()})
+    symbols = [g.closed.get(w) or ("insult" if w in insults else "other") for w in words]
+    near = lambda k, what: any(symbols[j] in what for j in range(max(0, k - reach), k))
+    found, held, thee = [], None, None  # held: a verb that a later object can meet; thee: an object that a later verb can meet
+    for k, s in enumerate(symbols):
+        negated = near(k, ("negation",))
         if s == "insult":
-            total += stems[words[k]] * negated * (T.FACTOR["targeted"] if near(k, "target") else 1.0)
-        elif s == "threat":
-            if last and last[0] == "target" and k - last[1] <= reach:
-                total += T.THREAT_WEIGHT * negated
-                last = ("target", last[1] + 1) if last[1] + 1 <= k else last  # the target's reach isn't used up by a threat
+            found.append(("negated" if negated else "targeted" if near(k, T.PRONOUNS) else "plain", words[k]))
+        elif s in ("threat", "deed"):
+            own = "negated" if negated else s
+            if thee is not None and k - thee <= reach:
+                found.append((own, ""))
             else:
-                last = ("threat", k, negated)
-        elif s == "target":
-            if last and last[0] == "threat" and k - last[1] <= reach:
-                total += T.THREAT_WEIGHT * last[2]
-            last = ("target", k)
-    return total * (T.REPORTED_FACTOR if "report" in symbol else 1.0)
+                held = (k, own, s)
+        elif s in ("you", "thee", "they"):
+            if held and k - held[0] <= reach:
+                found.append(("menace" if s == "they" and held[1] == "threat" else held[1], ""))
+                held = None
+            if s == "thee":
+                thee, held = k, None
+    return [("reported", w) for _, w in found] if "report" in symbols else found
 
 
 def test_composition_is_the_cascade():
-    parts = [T._reaching("negation", "negated", ("insult", "threat")), T._reaching("target", "targeted", ("insult", "insult/negated")), T._threat(), T._reported()]
+    parts = [T._reaching(("negation",), "negated", ("insult", "threat", "deed")), T._reaching(T.PRONOUNS, "targeted", ("insult", "insult/negated")), T._threat(), T._reported()]
     whole = T.grammar()
-    for tape in itertools.chain(itertools.product(T.CLASSES, repeat=5), map(tuple, np.random.default_rng(1).choice(T.CLASSES, (300, 12)))):
+    for tape in map(tuple, np.random.default_rng(1).choice(T.CLASSES, (3000, 12))):
         out, factor = tape, 1.0
         for t in parts:
             state, written = t.start, []
@@ -51,53 +50,103 @@ def test_composition_is_the_cascade():
 
 
 def test_clauses_against_the_meaning():
-    stems = {"idiot": 4.0, "moron": 2.5}
-    g = T.Grammar({w + " ": x for w, x in stems.items()})
-    words = ["not", "said", "you", "kill", "idiot", "moron", "a", "b", "c"]
-    for row in np.random.default_rng(2).choice(words, (3000, 9), p=[0.1, 0.02, 0.15, 0.03, 0.15, 0.1, 0.15, 0.15, 0.15]):
-        if list(row).count("kill") > 1:  # by_hand knows one threat in a clause
-            continue
-        found = g.clause(list(row))
-        assert math.isclose(found[1] if found else 0.0, by_hand(list(row), stems)), row
+    insults = {"idiot": 4.0, "moron": 2.5}
+    g = T.Grammar({w + " ": x for w, x in insults.items()})
+    words = ["not", "said", "you", "kill", "killed", "idiot", "moron", "he", "dich", "them", "a", "b"]
+    kinds = set()
+    for row in np.random.default_rng(2).choice(words, (5000, 9), p=[0.08, 0.02, 0.1, 0.08, 0.06, 0.12, 0.08, 0.06, 0.06, 0.06, 0.14, 0.14]):
+        got = [(k, w) for k, w, _ in g.clause(list(row))]
+        assert got == by_hand(list(row), insults), row
+        kinds |= {k for k, _ in got}
+    assert kinds == {"plain", "targeted", "negated", "reported", "threat", "deed", "menace"}
 
 
 def test_grammar():
-    g = T.Grammar({"idio": 4.0, "low ": 2.0})
-    assert g.clause("this idiots fence".split()) == ("plain", 4.0)
-    assert g.clause("you big idiot".split()) == ("targeted", 6.0)
-    assert g.clause("he is not an idiot".split()) == ("negated", 1.0)
-    assert g.clause("ann said you idiot".split()) == ("reported", 1.5)
-    assert g.clause("you idiot said ann".split()) == ("reported", 1.5)
-    assert g.clause("i will kill you".split()) == ("threat", T.THREAT_WEIGHT)
-    assert g.clause("i will not kill you".split()) == ("negated", T.THREAT_WEIGHT / 4)
-    assert g.clause("they kill time".split())[0] == "threat" and g.clause("kill the time now you".split()) is None
-    assert g.clause("a low blow".split()) == ("plain", 2.0) and g.clause("a lower blow".split()) is None
-    assert [m[:2] for m in g.matches("Nice day. You IDIOT! no idiot")] == [("targeted", 6.0), ("negated", 1.0)]
+    g = T.Grammar({"achl": 4.0, "achlwort ": 0.0, "idiot ": 2.0})
+    kinds = lambda t: [k for k, *_ in g.clause(t.split())]
+    assert g.clause(["idiots"]) == [("plain", "idiot", 2.0)] and g.clause(["idiotic"]) == []
+    assert g.clause(["achlung"]) == [("plain", "achlung", 4.0)] and g.clause(["achl"]) == g.clause(["achlwort"]) == []
+    assert kinds("you big idiot") == ["targeted"] and kinds("he is not an idiot") == ["negated"] and kinds("ann said you idiot") == kinds("you idiot said ann") == ["reported"]
+    for threat in ("i will kill you", "i am killing you", "i will murder you", "te voy a matar", "je vais te tuer", "ich töte dich", "ich werde dich töten"):
+        assert kinds(threat) == ["threat"], threat
+    assert kinds("i killed you") == ["deed"] and kinds("i will not kill you") == ["negated"] and kinds("he will kill them") == ["menace"]
+    assert kinds("they kill time") == kinds("you kill time") == kinds("kill the time now you") == []
+    assert [m[::3] for m in g.matches("Nice day. You IDIOT! no idiot")] == [("targeted", "you idiot"), ("negated", "no idiot")]
+
+
+def test_a_literal_word_alone_weighs_little():
+    g = T.Grammar({"clown ": 3.0, "idiot ": 3.0})
+    first = lambda t: g.features(g.matches(t))[0]
+    assert first("The clown waves. A clown!") == first("a clown") and first("a clown")[1] < first("an idiot")[1] / 4
+    assert first("you clown") == first("you idiot") and first("a clown, an idiot")[0] > first("an idiot")[0]
 
 
 def test_signs_whatever_the_labels():
-    g = T.Grammar({"idio": 5.0})
+    g = T.Grammar({"idiot ": 3.0})
     rng = np.random.default_rng(0)
-    x = rng.random((400, 2)) * 3
+    x = np.sort(rng.random((400, 3)) * 3)[:, ::-1]
     for y in ((x[:, 0] > 2), (x[:, 0] < 1), np.ones(400), np.zeros(400), rng.random(400) < 0.5):
-        w = T.fit(x, y.astype(float))
+        w = T.fit(x, y.astype(float), np.array(T.PRIOR_WEIGHTS), T.PULL)
         assert np.isfinite(w).all() and (w[:-1] >= 0).all() and np.abs(w).max() < 1e4
-    m = T.Model(g, np.array([1.0, 0.5, -2.0]))
-    s = lambda t: m.score(g.matches(t))
-    assert s("") < s("an idiot here") < s("you idiot") and s("i will kill you") > s("") and s("you idiot. you idiot") > s("you idiot")
-    assert s("not an idiot") < s("an idiot here") and s("he said idiot") < s("an idiot here") and s("i will not kill you") < s("i will kill you")
+        m = T.Model(g, np.append(w[:-1], min(w[-1], -1e-6)), T.PRIOR_SHARE)
+        s = lambda t: m.score(g.matches(t))
+        assert s("") <= s("not an idiot") == s("he said idiot") <= s("an idiot here") <= s("you idiot") and s("i will kill you") > s("i will not kill you") > s("")
 
 
-def test_held_out_accuracy(spark):
+@pytest.fixture(scope="module")
+def learned(spark):
     sf = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    return d, lab, T.learn(d, lab)
+
+
+CLEAN = ["A path leads on. Take the path by the river.", "Das Wort ist kurz. Ein Wort genügt.", "They lose once and lose again.", "Clowns visit the ward. The clown waves."]
+THREATS = ["i will murder you", "i killed you", "te voy a matar", "je vais te tuer", "ich töte dich", "i will kill you"]
+
+
+def test_clean_texts_stay_and_threats_count(learned):
+    m = learned[2]
+    score = lambda t: m.score(m.grammar.matches(t))
+    assert all(score(t) < 0.1 for t in CLEAN), [score(t) for t in CLEAN]
+    assert all(score(t) > 0.1 > score("") for t in THREATS) and sum(score(t) > 0.5 for t in THREATS) == 5
+    assert score("he is not an idiot") < 0.1 and score("you idiot") > 0.5
+
+
+def auc(scores, labels):
+    pairs = [(a > b) + (a == b) / 2 for a, x in zip(scores, labels) for b, y in zip(scores, labels) if x > y]
+    return sum(pairs) / len(pairs)
+
+
+def test_the_grammar_tells_apart_what_words_alone_do_not(learned):
+    m = learned[2]
+    words = ["idiot", "moron", "loser", "clown", "scum"]
+    built = [(t.format(w), y) for w in words for t, y in (("You {}.", 1), ("you are such a {}", 1), ("he is not a {}", 0), ("she said {} is a rude word", 0), ("They called him a {} in 1950", 0), ("no {} was seen", 0))]
+    built += [(t, 1) for t in THREATS if "killed" not in t] + [("i will not kill you", 0), ("they kill time", 0), ("he said i will kill you", 0), ("the frost may kill the plants", 0)]
+    found = [m.grammar.matches(t) for t, _ in built]
+    y = [y for _, y in built]
+    bare = [sum((own[1] for word in T.WORD.findall(t.lower()) if (own := m.grammar.insult(word))), 0.0) for t, _ in built]
+    assert auc([m.score(f) for f in found], y) > 0.95 and auc(bare, y) < 0.7
+
+
+def test_held_out_accuracy(learned):
+    d, lab, _ = learned
     got = {r.doc_id: r for r in T.report(d, lab).collect()}
     assert len(got) == d.count()
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for i, r in got.items())
     test = [(got[r.doc_id].predicted, r.toxic) for r in lab.collect() if got[r.doc_id].held_out]
     right = sum(p == t for p, t in test) / len(test)
     caught = sum(p for p, t in test if t) / sum(t for _, t in test)
-    assert right > 0.98 and caught > 0.9, (right, caught)
+    precise = sum(t for p, t in test if p) / sum(p for p, _ in test)
+    assert right > 0.985 and caught > 0.9 and precise > 0.97, (right, caught, precise)
+
+
+def test_learned_words_against_a_count(spark):
+    toxic = [f"you grob{e} grot{e}e wall" for e in ("ung", "heit", "lich", "en", "er")] * 6 + ["pathos pathetic"] * 6
+    clean = ["grob wall"] * 40 + ["grobian stone"] * 30 + ["path stone"] * 2000
+    rows = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, toxic int")
+    got = T.learn_words(rows)
+    assert got["grobian "] == 0.0 and "wall " not in got and not any("path".startswith(s) for s in got)
+    assert {s for s, w in got.items() if w} == {"gro", "pathetic ", "pathos ", "you "}
 
 
 def test_cases(spark):
