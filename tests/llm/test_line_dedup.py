@@ -25,17 +25,33 @@ def drops(rows):
     for w in docs:
         leaves[len(w), w[: L.LEADING]].append(w)
     out = {w: min(d) for w, d in docs.items() if len(d) >= 2}
-    for (n, _), ws in leaves.items():
-        if len(ws) > 1:
-            pattern = [next((w for w, c in Counter(col).items() if 2 * c > len(ws)), None) for col in zip(*ws, strict=True)]
-            rest = sum(w not in (None, "<*>") for w in pattern[L.LEADING :])
-            alike = [w for w in ws if all(p is None or p == x for p, x in zip(pattern, w, strict=True))]
-            ids = set().union(*(docs[w] for w in alike)) if alike else set()
-            if rest >= 2 and 2 * rest >= n - L.LEADING and len(ids) >= 3:
-                out |= {w: min(ids) for w in alike}
+    for ws in leaves.values():
+        if len(ws) > 1 and sum(len(docs[w]) for w in ws) >= 3:
+            for alike in kinds(ws, L.SPLITS):
+                ids = set().union(*(docs[w] for w in alike))
+                if len(ids) >= 3:
+                    out |= {w: min(ids) for w in alike}
     return out
 
 
+def kinds(ws, left):
+    """The lines of each template of a leaf."""
+    if len(ws) < 2 or not left:
+        return []
+    n = len(ws[0])
+    tops = [Counter(col) for col in zip(*ws, strict=True)]
+    pattern = [next((w for w, c in top.items() if 2 * c > len(ws)), None) for top in tops]
+    rest = sum(w not in (None, "<*>") for w in pattern[L.LEADING :])
+    if n > L.LEADING and rest >= 2 and 2 * rest >= n - L.LEADING:
+        alike = [w for w in ws if all(p is None or p == x for p, x in zip(pattern, w, strict=True))]
+        return [alike] * bool(alike) + kinds([w for w in ws if w not in set(alike)], left - 1)
+    free = [(c, -k) for k in range(L.LEADING, n) for w, c in tops[k].items() if w != "<*>" and c < len(ws)]
+    if not free:
+        return []
+    at = -max(free)[1]
+    return [x for word in tops[at] for x in kinds([w for w in ws if w[at] == word], left - 1)]
+
+
 def brute(rows):
     first, out = drops(rows), []
     for i, t in rows:
@@ -97,3 +113,15 @@ def test_lines_of_fields_alone_keep_their_values(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(L.report(df)) == brute(rows)
     assert sorted((r.doc_id, r.kept) for r in L.deduplicate(df).collect()) == [(1, rows[0][1])] + [(k, f"{k}.5 1{k}.7") for k in range(2, 5)]
+
+
+def test_templates_outlast_unrelated_lines_of_their_leaf(spark):
+    rows = [(k, f"Thank you for visiting {x} with us today\nown {x}") for k, x in enumerate(("Paris", "Rome", "Oslo", "Bern"))]
+    rows += [(10 + k, f"Thank you my dear old {x} and friends") for k, x in enumerate(("aunt", "dog", "bike", "house"))]
+    rows += [(20 + k, f"Thank you {a} {b} {c} {d} {e} {f}") for k, (a, b, c, d, e, f) in enumerate(zip("abcdefgh", "ijklmnop", "qrstuvwx", "ABCDEFGH", "IJKLMNOP", "QRSTUVWX"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(L.report(df)) == brute(rows)
+    kept = {r.doc_id: r.n_dropped for r in L.deduplicate(df).collect()}
+    assert [kept[k] for k in range(4)] == [0, 1, 1, 1] and [kept[k] for k in range(10, 14)] == [0, 1, 1, 1] and not any(kept[k] for k in range(20, 28))
+    documents = df.toPandas()  # noqa: F841
+    assert sorted(duckdb.sql(L.SQL).fetchall(), key=repr) == brute(rows)

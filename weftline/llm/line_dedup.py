@@ -5,8 +5,11 @@ Lines go down a tree of fixed depth: by their number of words, then by their fir
 distinct lines of a leaf are laid over each other: a word that most of them have
 in its place is constant, any other place is a field. Where half of the words after
 the leading ones or more, and CONSTANT at least, are constant, the leaf has a
-template, and the lines that have all its constants are of that template; other
-lines are templates of their own.
+template, and the lines that have all its constants are of that template. The lines
+left over are a group of their own; where lines agree too little to have a template,
+they are parted by their word in the most constant place, that of the most frequent
+word which some of them lack. So it goes on for SPLITS rounds; lines without a template
+then are templates of their own.
 
 A template that recurs across documents is boilerplate; its lines go, but for the
 first document's. Lines that are the same but for digits recur from ``MIN_DOCS``
@@ -25,6 +28,7 @@ LEADING = 2
 CONSTANT = 2
 MIN_DOCS = 2
 LEAF_DOCS = 3
+SPLITS = 4  # rounds in which a leaf's lines are parted
 FIELD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,29 +52,54 @@ def worded(lines: DataFrame) -> DataFrame:
 
 
 def leaf_templates(docs: DataFrame, each: DataFrame) -> DataFrame:
-    """leaf, template_hash of the distinct lines that have all constants of their leaf's template.
+    """leaf, template_hash, kind of the distinct lines that have all constants of a template of their leaf; ``kind`` is the template's.
 
     ``each`` has the distinct lines (leaf, template_hash) with one place (doc_id,
-    text_hash, at) of each. Only lines of leaves that have several are read again.
+    text_hash, at) of each. Only lines of leaves that have several are read again; a
+    line is one row of word hashes, and a leaf's patterns are counted, not collected.
     """
-    size = each.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).where((F.col("many") > 1) & (F.col("docs") >= LEAF_DOCS))
-    size = checkpoint(size.select("leaf", "many"))  # written, as below: Spark splits a frequent leaf only where both sides of a join are shuffled for it
-    places = each.join(size.select("leaf"), "leaf").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).agg(F.collect_list("one.at").alias("wanted"))
+    several = each.groupBy("leaf").agg(F.count("*").alias("many"), F.sum("docs").alias("docs")).where((F.col("many") > 1) & (F.col("docs") >= LEAF_DOCS)).select("leaf")
+    several = checkpoint(several)  # written, as below: Spark splits a frequent leaf only where both sides of a join are shuffled for it
+    places = each.join(several, "leaf").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).agg(F.collect_list("one.at").alias("wanted"))
     split = docs.select("doc_id", "text_hash", F.split("text", "\n").alias("l")).join(places, ["doc_id", "text_hash"])  # a text is split once, below the join
     read = split.select("doc_id", "text_hash", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("at"), F.get(F.col("l"), k).alias("line")))).alias("x"))
     read = worded(read.select("doc_id", "text_hash", "x.at", "x.line"))
-    read = read.select(F.xxhash64(leaf(F.col("words"))).alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("template_hash"), F.posexplode("words").alias("k", "word"))
-    words = checkpoint(read.select("leaf", "template_hash", "k", F.xxhash64("word").alias("word"), (F.col("word") == FIELD).alias("field")))
-    counted = words.groupBy("leaf", "k", "word", "field").count().join(size, "leaf")
-    constant = counted.where(2 * F.col("count") > F.col("many")).select("leaf", "k", "word", "field")
-    constant = checkpoint(constant)
-    length = checkpoint(words.groupBy("leaf").agg((F.max("k") + 1).alias("n")))
-    rest = (F.col("k") >= LEADING) & ~F.col("field")
-    whole = constant.groupBy("leaf").agg(F.count("*").alias("constants"), F.sum(rest.cast("int")).alias("rest"))
-    whole = whole.join(length, "leaf").where((F.col("n") > LEADING) & (F.col("rest") >= CONSTANT) & (2 * F.col("rest") >= F.col("n") - LEADING)).select("leaf", "constants")
-    whole = checkpoint(whole)
-    agree = checkpoint(words.join(constant.select("leaf", "k", "word"), ["leaf", "k", "word"]).groupBy("leaf", "template_hash").count())
-    return agree.join(whole, "leaf").where("count = constants").select("leaf", "template_hash")
+    hashed = F.transform("words", lambda w: F.xxhash64(w)).alias("words")
+    own = F.xxhash64(leaf(F.col("words")))
+    lines = checkpoint(read.select(own.alias("leaf"), F.xxhash64(F.array_join("words", " ")).alias("template_hash"), own.alias("kind"), hashed), several)
+    found = []
+    for _ in range(SPLITS):
+        decided = checkpoint(_patterns(lines))
+        met = lines.join(decided, "kind")
+        fits = F.forall("pattern", lambda p: F.get(F.col("words"), p.k) == p.word)
+        parted = F.when(F.col("agrees"), F.xxhash64("kind", F.lit("rest"))).otherwise(F.xxhash64("kind", "place", F.get("words", "place")))
+        met = checkpoint(met.select("leaf", "template_hash", "kind", "words", (F.col("agrees") & fits).alias("done"), parted.alias("next")), lines, decided)
+        found.append(met.where("done").select("leaf", "template_hash", "kind"))
+        lines = checkpoint(met.where("not done").select("leaf", "template_hash", F.col("next").alias("kind"), "words"))
+        if lines.isEmpty():
+            break
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _patterns(lines: DataFrame) -> DataFrame:
+    """kind, agrees, pattern (the constants, k and word), place (by which lines that don't agree are parted) of the groups of several lines."""
+    many = lines.groupBy("kind").agg(F.count("*").alias("many")).where("many > 1")
+    counted = checkpoint(lines.select("kind", F.posexplode("words").alias("k", "word")).groupBy("kind", "k", "word").agg(F.count("*").alias("n")))
+    counted = counted.join(checkpoint(many), "kind")
+    constant, later, worded_ = 2 * F.col("n") > F.col("many"), F.col("k") >= LEADING, F.col("word") != F.xxhash64(F.lit(FIELD))
+    free = later & worded_ & (F.col("n") < F.col("many"))
+    each = counted.groupBy("kind").agg(
+        (F.max("k") + 1).alias("size"),
+        F.sort_array(F.collect_list(F.when(constant, F.struct("k", "word")))).alias("pattern"),  # a word for each place of a line at most
+        F.count_if(constant & later & worded_).alias("rest"),
+        F.max(F.when(free, F.struct("n", (-F.col("k")).alias("k")))).alias("most"),
+    )
+    agrees = (F.col("size") > LEADING) & (F.col("rest") >= CONSTANT) & (2 * F.col("rest") >= F.col("size") - LEADING)
+    each = each.select("kind", agrees.alias("agrees"), "pattern", (-F.col("most.k")).alias("place"))
+    return each.where("agrees or place is not null")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -81,9 +110,9 @@ def recurring(docs: DataFrame) -> DataFrame:
     each = checkpoint(each)
     general = checkpoint(leaf_templates(docs, each))
     alone = each.join(general, ["leaf", "template_hash"], "left_anti").where(F.col("docs") >= MIN_DOCS).select("leaf", "template_hash", "first")
-    wide = checkpoint(found.join(general, ["leaf", "template_hash"]).groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
-    wide = general.join(wide.where(F.col("docs") >= LEAF_DOCS).select("leaf", "first"), "leaf")
-    exact = each.join(general, ["leaf", "template_hash"]).where(F.col("docs") >= MIN_DOCS).select("leaf", "template_hash", "first")  # of leaves whose template is in too few documents
+    wide = checkpoint(found.join(general, ["leaf", "template_hash"]).groupBy("kind").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
+    wide = general.join(wide.where(F.col("docs") >= LEAF_DOCS).select("kind", "first"), "kind")
+    exact = each.join(general, ["leaf", "template_hash"]).where(F.col("docs") >= MIN_DOCS).select("leaf", "template_hash", "first")  # of templates that are in too few documents
     exact = exact.join(wide.select("leaf", "template_hash"), ["leaf", "template_hash"], "left_anti")
     drop = checkpoint(alone.unionByName(wide.select("leaf", "template_hash", "first")).unionByName(exact))
     return found.join(drop, ["leaf", "template_hash"]).where("doc_id > first").select("doc_id", "text_hash", "at")
@@ -110,6 +139,20 @@ def report(documents: DataFrame) -> DataFrame:
     return deduplicate(documents).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _sql_round(r: int) -> str:
+    """One round of SQL's leaves: groups p{r} (kind, template, words) give those that are done, g{r}, and the next groups, p{r + 1}."""
+    return rf"""
+m{r} AS (SELECT kind, count(*) AS many FROM p{r} GROUP BY kind HAVING count(*) > 1),
+c{r} AS (SELECT u.kind AS kind, i, word, many, max(size) AS size, count(*) AS n FROM (SELECT kind, len(words) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM p{r}) u JOIN m{r} ON u.kind = m{r}.kind GROUP BY u.kind, i, word, many),
+d{r} AS (
+  SELECT kind, max(size) AS size, list({{'i': i, 'w': word}}) FILTER (WHERE 2 * n > many) AS pattern, count(*) FILTER (WHERE 2 * n > many AND i > {LEADING} AND word <> '{FIELD}') AS rest,
+         arg_max(i, n * 1000000 - i) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}' AND n < many) AS place FROM c{r} GROUP BY kind
+), e{r} AS (SELECT *, size > {LEADING} AND rest >= {CONSTANT} AND 2 * rest >= size - {LEADING} AS agrees FROM d{r}),
+j{r} AS (SELECT p{r}.*, agrees, place, agrees AND coalesce(list_bool_and(list_transform(pattern, lambda x: words[x.i] = x.w)), true) AS done FROM p{r} JOIN e{r} ON p{r}.kind = e{r}.kind),
+g{r} AS (SELECT kind, template FROM j{r} WHERE done),
+p{r + 1} AS (SELECT CASE WHEN agrees THEN kind || ' rest{r}' ELSE kind || ' {r}:' || place || ':' || words[place] END AS kind, template, words FROM j{r} WHERE NOT done AND (agrees OR place IS NOT NULL)),"""
+
+
 SQL = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents
@@ -118,19 +161,13 @@ f AS (SELECT *, len(list_filter(words, lambda x: NOT regexp_matches(x, '[0-9]'))
 t AS (SELECT doc_id, k, line, CASE WHEN mixed THEN list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) ELSE words END AS words FROM f),
 n AS (SELECT *, array_to_string(words, ' ') AS template, concat(len(words), ' ', array_to_string(words[1:{LEADING}], ' ')) AS leaf FROM t),
 d AS (SELECT leaf, template, any_value(words) AS words, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM n WHERE template <> '' AND doc_id IS NOT NULL GROUP BY leaf, template),
-m AS (SELECT leaf, count(*) AS many FROM d GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {LEAF_DOCS}),
-p AS (SELECT d.leaf, template, many, len(words) AS size, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d JOIN m ON d.leaf = m.leaf),
-c AS (SELECT leaf, i, word, any_value(size) AS size FROM p GROUP BY leaf, i, word, many HAVING 2 * count(*) > many),
-s AS (
-  SELECT leaf, count(*) AS constants FROM c GROUP BY leaf, size
-  HAVING size > {LEADING} AND count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') >= {CONSTANT} AND 2 * count(*) FILTER (WHERE i > {LEADING} AND word <> '{FIELD}') >= size - {LEADING}
-), g AS (
-  SELECT p.leaf, p.template FROM p JOIN c ON p.leaf = c.leaf AND p.i = c.i AND p.word = c.word JOIN s ON s.leaf = p.leaf
-  GROUP BY p.leaf, p.template, constants HAVING count(*) = constants
-), a AS (SELECT n.leaf, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM n JOIN g ON n.template = g.template WHERE doc_id IS NOT NULL GROUP BY n.leaf),
+s AS (SELECT leaf FROM d GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {LEAF_DOCS}),
+p0 AS (SELECT d.leaf AS kind, template, words FROM d JOIN s ON d.leaf = s.leaf),{"".join(map(_sql_round, range(SPLITS)))}
+g AS ({" UNION ALL ".join(f"SELECT kind, template FROM g{r}" for r in range(SPLITS))}),
+a AS (SELECT g.kind AS kind, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM n JOIN g ON n.template = g.template WHERE doc_id IS NOT NULL GROUP BY g.kind),
 r AS (
   SELECT d.template AS rt, CASE WHEN a.docs >= {LEAF_DOCS} THEN a.first WHEN d.docs >= {MIN_DOCS} THEN d.first END AS first
-  FROM d LEFT JOIN g ON d.template = g.template LEFT JOIN a ON a.leaf = g.leaf
+  FROM d LEFT JOIN g ON d.template = g.template LEFT JOIN a ON a.kind = g.kind
 ), x AS (SELECT n.*, coalesce(doc_id > r.first, false) AS gone FROM n LEFT JOIN r ON template = rt)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
