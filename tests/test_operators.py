@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators.asof import asof_join
 from weftline.operators.interval import in_bands, within
 from weftline.sources import formats
-from weftline.streaming import windows
+from weftline.streaming import joins, ordered, windows
 
 
 def rows(df):
@@ -43,7 +43,7 @@ def test_within_and_bands_against_brute_force(spark):
     bands = [(k, a, a + rng.uniform(-1, 12)) for k, a in enumerate(rng.uniform(-5, 40) for _ in range(20))] + [(50, 10.0, 20.0), (51, None, 3.0), (52, 7.0, 7.0)]
     p, b = spark.createDataFrame(points, "p int, v double"), spark.createDataFrame(bands, "b int, lo double, hi double")
     want = sorted((i, j) for i, v in points for j, lo, hi in bands if None not in (v, lo, hi) and lo <= v < hi)
-    assert sorted(tuple(x) for x in in_bands(p, "v", b, "lo", "hi", 4.0).select("p", "b").collect()) == want
+    assert sorted(tuple(x) for x in in_bands(p, "v", b, "lo", "hi").select("p", "b").collect()) == want
 
 
 def test_formats_keep_nulls_quotes_and_line_feeds(spark):
@@ -87,8 +87,38 @@ def test_late_events_are_dropped_once_their_window_is_out(spark):
     assert got == {"2024-01-01": 2, "2024-01-02": 2, "2024-01-04": 1}
 
 
-def test_state_goes_on_from_trigger_to_trigger(spark):
+def state(files, spark, late="2 hours"):
     schema = spark.createDataFrame([], SCHEMA).schema
-    files = [[event(1, 1), event(2, 2), event(3, 2, user=2)], [event(4, 3), event(5, 4, "purchase"), event(6, 5)], [event(7, 6, "purchase"), event(8, 7, "purchase", 2), event(9, 8, "view")]]
     stream = windows.event_stream(spark, in_turn(spark, files, schema), schema, files_per_trigger=1)
-    assert rows(windows.run(windows.clicks_before_purchases(stream))) == [(5, 3), (7, 1), (8, 1)]
+    return rows(windows.run(ordered.counts_between(stream, "user_id", "ts", "event_id", "event_type", "click", "purchase", late)).select("id", "n", "nth"))
+
+
+def test_counts_do_not_follow_the_order_of_files(spark):
+    events = [event(1, 1), event(2, 2), event(3, 2.5, "purchase"), event(4, 3.5), event(5, 4, "purchase"), event(6, 5), event(7, 5, "purchase"), event(8, 2, user=2), event(9, 6, "purchase", 2), event(10, 3, "view"), event(11, 4, "purchase", None)]
+    want = [(3, 2, 1), (5, 1, 2), (7, 1, 3), (9, 1, 1)]
+    end = [[event(90, 50)]]
+    assert state([events, *end], spark) == want
+    swapped = [[events[k] for k in part] for part in ((3, 0, 8), (2, 1, 7, 10), (6, 4, 9), (5,))]  # no row is more than two hours behind an earlier one
+    assert state([*swapped, *end], spark) == want
+
+
+def test_rows_behind_the_watermark_do_not_count(spark):
+    files = [[event(1, 1)], [event(2, 10)], [event(3, 3)], [event(4, 11, "purchase")], [event(5, 30)], [event(6, 40)]]
+    assert state(files, spark) == [(4, 2, 1)]
+
+
+def test_clicks_followed_by_purchases_over_triggers(spark):
+    schema = spark.createDataFrame([], SCHEMA).schema
+    files = [[event(1, 1), event(2, 1.5, user=2)], [event(3, 2, "purchase"), event(4, 2.5)], [event(5, 2.2, "purchase"), event(6, 9), event(7, 9, "purchase", 3)], [event(8, 2.3, "purchase", 2)], [event(9, 30), event(10, 30, "purchase")], [event(11, 60), event(12, 60, "purchase", 4)]]
+    stream = lambda kind: windows.event_stream(spark, in_turn(spark, files, schema), schema, files_per_trigger=1).where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    found = windows.run(joins.followed_by(stream("click"), stream("purchase"), "user_id", "ts", "2 hours", "1 hour"))
+    # 8 is in time for 2, but behind the watermark; 4 and 6 have none; 11 is still held
+    assert rows(found.select("a_event_id", "b_event_id")) == [(1, 3), (1, 5), (2, None), (4, None), (6, None), (9, 10)]
+
+
+def test_first_of_day_is_one_row_for_each_day(spark):
+    schema = spark.createDataFrame([], SCHEMA).schema
+    files = [[event(1, 5), event(2, 4)], [event(3, 4.5), event(4, 3, "view")], [event(5, 30)], [event(6, 100)]]
+    stream = windows.event_stream(spark, in_turn(spark, files, schema), schema, files_per_trigger=1)
+    found = [(r.event_type, r.day.day, r.ts.day, r.ts.hour) for r in windows.run(windows.first_of_day(stream)).collect()]
+    assert sorted(found) == [("click", 1, 1, 4), ("click", 2, 2, 6), ("view", 1, 1, 3)]

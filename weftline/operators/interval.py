@@ -1,9 +1,101 @@
-"""Interval and range joins as equi joins on bins."""
+"""Joins of points and intervals as equi joins on a dyadic grid.
+
+An interval lies on one level of the grid, whose cells are a power of two wide, a
+quarter to an eighth of the interval; so it covers a few cells however wide it is. A
+point has one cell on each level that intervals lie on. Points and intervals that
+share a cell are compared; as intervals cover their cells but for the two at their
+ends, most of these comparisons hold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, FractionalType, TimestampNTZType, TimestampType
+
+FINER = 3  # levels below the one whose cells are as wide as the interval
+WHOLE = 5_000  # the level of intervals without an end: one cell
+
+
+def _axis(df: DataFrame, c: str) -> Column:
+    """A column as long (microseconds or days for times), or as double."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    if isinstance(kind, DateType):
+        return F.unix_date(F.col(c)).cast("long")
+    return F.col(c).cast("double" if isinstance(kind, FractionalType) else "long")
+
+
+def _cell(x: Column, level: Column) -> Column:
+    """The number of the cell of ``x`` on a level."""
+    return F.when(level == WHOLE, F.lit(0)).otherwise(F.floor(x.cast("double") * F.pow(F.lit(2.0), -level))).cast("long")
+
+
+def _sizes(low: Column, high: Column) -> Column:
+    width = high.cast("double") - low.cast("double")
+    return F.when(width == float("inf"), WHOLE).otherwise(F.floor(F.log2(F.greatest(width, F.lit(1e-300)))) - FINER).cast("int")
+
+
+def _covered(df: DataFrame, low: str, high: str) -> DataFrame:
+    """``df`` once for each cell (_level, _cell) of its intervals; intervals that are empty or have a null or NaN end have none."""
+    a, b = _axis(df, low), _axis(df, high)
+    known = df.where((a < b) & ~F.isnan(a.cast("double")) & ~F.isnan(b.cast("double"))).withColumn("_level", _sizes(a, b))
+    return known.withColumn("_cell", F.explode(F.sequence(_cell(a, F.col("_level")), _cell(b, F.col("_level")))))
+
+
+def _levels(covered: DataFrame) -> list[int]:
+    """The levels in use: fewer than there are exponents of a double."""
+    return sorted(r["_level"] for r in covered.select("_level").distinct().collect())
+
+
+def _points(df: DataFrame, value: str, levels: list[int]) -> DataFrame:
+    """``df`` once for each level, with its value's cell there."""
+    x = _axis(df, value)
+    known = df.where(x.isNotNull() & ~F.isnan(x.cast("double"))).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    return known.withColumn("_cell", _cell(x, F.col("_level")))
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+
+
+def _meet(points: DataFrame, value: str, bands: DataFrame, low: str, high: str, by: list[tuple[str, str]], open_low: bool = False) -> DataFrame:
+    """Pairs with low <= value < high (low < value if ``open_low``) and equal ``by`` (points' column, bands' column)."""
+    cut = _covered(bands, low, high)
+    own = _points(points, value, _levels(cut)).withColumnsRenamed({"_level": "_own_level", "_cell": "_own_cell"})
+    same = (F.col("_own_level") == F.col("_level")) & (F.col("_own_cell") == F.col("_cell"))
+    for p, b in by:
+        same &= F.col(p) == F.col(b)
+    inside = (F.col(value) > F.col(low) if open_low else F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))
+    return own.join(cut, same & inside).drop("_own_level", "_own_cell", "_level", "_cell")
+
+
+def in_bands(points: DataFrame, value: str, bands: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows of points with each band that holds their value: low <= value < high.
+
+    Numbers, dates and timestamps; bands of any width, without end too. Null and NaN
+    values and bounds, and bands that are empty, hold nothing. Columns of the two sides
+    have different names.
+    """
+    return _meet(points, value, bands, low, high, [])
+
+
+def overlapping(left: DataFrame, right: DataFrame, low: str, high: str, *by: str) -> DataFrame:
+    """Pairs, as columns l_* and r_*, of a left and a right row whose intervals [low, high) share a point and whose ``by`` are equal.
+
+    Two intervals overlap where one of them holds the other's start: the left one the
+    right one's, or else the right one, beyond its own start, the left one's. So a pair is
+    found in one of two joins, and in one cell of it. Empty intervals, null and NaN ends and null
+    ``by`` pair with nothing; repeated rows pair each for itself.
+    """
+    l, r = _named(left, "l"), _named(right, "r")
+    ends = [f"{s}_{c}" for s in "lr" for c in (low, high)]
+    real = r.where(F.col(ends[2]) < F.col(ends[3])), l.where(F.col(ends[0]) < F.col(ends[1]))
+    first = _meet(real[0], ends[2], l, ends[0], ends[1], [(f"r_{c}", f"l_{c}") for c in by])
+    second = _meet(real[1], ends[0], r, ends[2], ends[3], [(f"l_{c}", f"r_{c}") for c in by], open_low=True)
+    columns = [*l.columns, *r.columns]
+    return first.select(*columns).unionByName(second.select(*columns))
 
 
 def within(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
@@ -15,23 +107,10 @@ def within(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int)
     """
     epoch = F.unix_micros(F.col(time).cast("timestamp"))
     width = seconds * 1_000_000
+    bin_width = max(width, 1)
     sides = []
     for df, x, bins in ((left, "l", F.array(F.lit(0), F.lit(1))), (right, "r", F.array(F.lit(0)))):
         named = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumns({"_at": epoch})
-        sides.append(named.select(F.col(key).alias(f"_{x}k"), F.col("_at").alias(f"_{x}at"), F.explode(F.transform(bins, lambda k: F.floor(F.col("_at") / width) + k)).alias(f"_{x}bin"), *[F.col(c).alias(f"{x}_{c}") for c in df.columns]))
+        sides.append(named.select(F.col(key).alias(f"_{x}k"), F.col("_at").alias(f"_{x}at"), F.explode(F.transform(bins, lambda k: F.floor(F.col("_at") / bin_width) + k)).alias(f"_{x}bin"), *[F.col(c).alias(f"{x}_{c}") for c in df.columns]))
     both = sides[0].join(sides[1], (F.col("_lk") == F.col("_rk")) & (F.col("_lbin") == F.col("_rbin")) & (F.col("_rat") - F.col("_lat")).between(0, width))
     return both.select(*[c for c in both.columns if not c.startswith("_")])
-
-
-def in_bands(points: DataFrame, value: str, bands: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """Rows of points with each band that holds their value: low <= value < high.
-
-    Bands are cut into bins of ``width``, so that rows meet by an equi join. Null
-    values and bounds, and bands that are empty, hold nothing.
-    """
-    bin_of = lambda c: F.floor(F.col(c) / width)
-    known = bands.where(F.col(low) < F.col(high))
-    cut = known.select(*bands.columns, F.explode(F.sequence(bin_of(low), bin_of(high))).alias("_bin"))
-    own = points.where(F.col(value).isNotNull()).withColumn("_own", bin_of(value))
-    both = own.join(cut, (F.col("_own") == F.col("_bin")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
-    return both.drop("_own", "_bin")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators.interval import in_bands, within
+from weftline.operators.interval import in_bands, overlapping, within
+from weftline.operators.ordered import ranked
+from weftline.operators.skew import skew_join
 from weftline.plans.relational import query, table
 
 
@@ -121,7 +123,7 @@ def parts_in_price_bands(spark, sf_dir):
     low = 900 + F.col("s_suppkey") % 50 * 2
     bands = table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + 3).alias("high"))
     prices = table(spark, sf_dir, "part").groupBy("p_retailprice").agg(F.count("*").alias("many"))
-    found = in_bands(prices, "p_retailprice", bands, "low", "high", 2.0)
+    found = in_bands(prices, "p_retailprice", bands, "low", "high")
     return found.groupBy("s_suppkey").agg(F.sum("many").alias("n"), F.min("p_retailprice").alias("cheapest"))
 
 
@@ -298,3 +300,58 @@ def conversation_shapes(spark, sf_dir):
         F.max(F.length("text")).cast("long").alias("longest"),
         F.count_if(F.col("role") == "user").alias("asked"),
     )
+
+
+@query("""
+SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS place, CAST(dense_rank() OVER w AS BIGINT) AS dense, percent_rank() OVER w AS share, cume_dist() OVER w AS upto
+FROM orders WINDOW w AS (ORDER BY o_orderpriority, year(o_orderdate) DESC)
+""")
+def orders_ranked_overall(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    found = ranked(orders, {"o_orderpriority": True, "year": False})  # few values: each tie spans many parts
+    return found.select("o_orderkey", F.col("rank").alias("place"), "dense", "share", "upto")
+
+
+@query("""
+SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS place, CAST(ntile(100) OVER w AS BIGINT) AS percentile,
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cents_so_far
+FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey)
+""")
+def order_totals_so_far(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    found = ranked(orders, {"o_totalprice": False, "o_orderkey": True}, total="cents", tiles=100)
+    return found.select("o_orderkey", "place", F.col("tile").alias("percentile"), F.col("running").alias("cents_so_far"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_acctbal AS low, c_acctbal + c_custkey % 20 AS high FROM customer),
+s AS (SELECT s_suppkey AS k, s_acctbal - 10 AS low, s_acctbal + 5 * (s_suppkey % 40) AS high FROM supplier)
+SELECT s.k AS supplier, CAST(count(*) AS BIGINT) AS n, min(c.k) AS first FROM s JOIN c ON s.low < c.high AND c.low < s.high AND c.low < c.high GROUP BY s.k
+""")
+def overlapping_credit_bands(spark, sf_dir):
+    c, s = F.col("c_acctbal"), F.col("s_acctbal")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), c.alias("low"), (c + F.col("c_custkey") % 20).alias("high"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (s - 10).alias("low"), (s + 5 * (F.col("s_suppkey") % 40)).alias("high"))
+    found = overlapping(suppliers, customers, "low", "high")
+    return found.groupBy(F.col("l_k").alias("supplier")).agg(F.count("*").alias("n"), F.min("r_k").alias("first"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS a, o_orderdate + to_days(CAST(1 + o_orderkey % 60 AS INTEGER)) AS b FROM orders)
+SELECT x.k AS k, CAST(count(*) AS BIGINT) AS others FROM o x JOIN o y ON x.c = y.c AND x.a < y.b AND y.a < x.b AND x.k <> y.k GROUP BY x.k
+""")
+def orders_open_together(spark, sf_dir):
+    stop = F.col("o_orderdate") + F.make_dt_interval((1 + F.col("o_orderkey") % 60).cast("int"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("a"), stop.alias("b"))
+    found = overlapping(orders, orders, "a", "b", "c").where("l_k != r_k")
+    return found.groupBy(F.col("l_k").alias("k")).agg(F.count("*").alias("others"))
+
+
+@query("""
+WITH y AS (SELECT DISTINCT l_returnflag AS flag, year(l_shipdate) AS upto FROM lineitem)
+SELECT flag, CAST(upto AS INTEGER) AS upto, CAST(count(*) AS BIGINT) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN y ON l_returnflag = flag AND year(l_shipdate) <= upto GROUP BY flag, upto
+""")
+def quantities_up_to_each_year(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.year("l_shipdate").alias("year"), "l_quantity")
+    found = skew_join(lines, lines.select("flag", F.col("year").alias("upto")).distinct(), "flag")  # three keys hold all rows
+    return found.where("year <= upto").groupBy("flag", "upto").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))

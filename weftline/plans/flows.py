@@ -8,7 +8,7 @@ from weftline.functions.vectorised import Instalments, compound, total, weighted
 from weftline.plans.relational import query, table
 from weftline.sources import formats
 from weftline.sources.shared import new_folder
-from weftline.streaming import windows
+from weftline.streaming import joins, ordered, windows
 
 
 def _events(spark, sf_dir):
@@ -50,20 +50,37 @@ def stream_with_customers(spark, sf_dir):
     return windows.run(windows.with_customers(_events(spark, sf_dir), table(spark, sf_dir, "customer")))
 
 
-@query("SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day, ts FROM events")
+@query("""
+SELECT user_id, event_type, date_trunc('day', ts) AS day, min(ts) AS ts FROM events
+GROUP BY user_id, event_type, date_trunc('day', ts) HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
 def stream_first_of_day(spark, sf_dir):
     return _plain(windows.run(windows.first_of_day(_events(spark, sf_dir))), "day", "ts")
 
 
 @query("""
-WITH p AS (
-  SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k
-  FROM events WHERE event_type IN ('click', 'purchase') AND user_id IS NOT NULL)
-SELECT max(event_id) FILTER (WHERE event_type = 'purchase') AS event_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks
-FROM p GROUP BY user_id, k HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0
+WITH own AS (SELECT * FROM events WHERE event_type IN ('click', 'purchase') AND user_id IS NOT NULL),
+p AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM own)
+SELECT max(event_id) FILTER (WHERE event_type = 'purchase') AS event_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks, CAST(k + 1 AS BIGINT) AS nth
+FROM p GROUP BY user_id, k
+HAVING max(ts) FILTER (WHERE event_type = 'purchase') < (SELECT date_trunc('minute', max(ts) - INTERVAL 1 HOUR) FROM own)
 """)
 def stream_clicks_before_purchases(spark, sf_dir):
-    return windows.run(windows.clicks_before_purchases(_events(spark, sf_dir)))
+    found = windows.run(ordered.counts_between(_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", "click", "purchase", windows.LATE))
+    return found.select(F.col("id").alias("event_id"), F.col("n").alias("clicks"), "nth")
+
+
+@query("""
+WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+w AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 1 HOUR AS mark)
+SELECT c.event_id AS click, p.event_id AS purchase FROM c JOIN p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR
+UNION ALL
+SELECT event_id, NULL FROM c, w WHERE ts + INTERVAL 6 HOUR < mark AND NOT EXISTS (SELECT 1 FROM p WHERE c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR)
+""")
+def stream_purchases_after_clicks(spark, sf_dir):
+    clicks, purchases = (_events(spark, sf_dir).where(F.col("event_type") == kind).select("event_id", "user_id", "ts") for kind in ("click", "purchase"))
+    found = windows.run(joins.followed_by(clicks, purchases, "user_id", "ts", "6 hours", windows.LATE))
+    return found.select(F.col("a_event_id").alias("click"), F.col("b_event_id").alias("purchase"))
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(value) AS most FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type")

@@ -1,4 +1,4 @@
-"""Windowed counts, enrichment and state over a stream of events.
+"""Windowed counts and enrichment of a stream of events.
 
 All but ``run`` take streams and tables alike. In append mode a window is put out
 once the watermark passes its end; what comes later than that is dropped.
@@ -6,12 +6,8 @@ once the watermark passes its end; what comes later than that is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.sources.shared import new_folder
 
@@ -26,9 +22,23 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run(stream: DataFrame) -> DataFrame:
-    """All that a stream has now, in append mode, by way of files in the shared folder."""
+    """All that a stream has now, in append mode, by way of files in the shared folder. State is kept in RocksDB, on disk and not in an executor's heap."""
     spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return _run(stream, folder)
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def _run(stream: DataFrame, folder: str) -> DataFrame:
+    spark = stream.sparkSession
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -59,31 +69,6 @@ def with_customers(events: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def first_of_day(events: DataFrame, late: str = LATE) -> DataFrame:
-    """user_id, event_type, day: each once, however often and late its events come within the watermark."""
-    marked = events.withWatermark("ts", late).select("ts", "user_id", "event_type", F.date_trunc("day", "ts").alias("day"))
-    return marked.dropDuplicates(["user_id", "event_type", "day", "ts"]).select("user_id", "event_type", "day", "ts")
-
-
-def clicks_before_purchases(events: DataFrame) -> DataFrame:
-    """event_id of each purchase and clicks, how many its user made since the one before; counted on from trigger to trigger in a state of one number.
-
-    A trigger's rows of one user are put in the order of time, so how many there are
-    at once is bounded by what a trigger reads.
-    """
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clicks = state.get[0] if state.exists else 0
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        ids, found = [], []
-        for event_id, kind in zip(rows.event_id, rows.event_type, strict=True):
-            if kind == "click":
-                clicks += 1
-            else:
-                ids.append(event_id)
-                found.append(clicks)
-                clicks = 0
-        state.update((clicks,))
-        yield pd.DataFrame({"event_id": ids, "clicks": found}, dtype="int64")
-
-    own = events.where("event_type in ('click', 'purchase') and user_id is not null").select("user_id", "ts", "event_id", "event_type")
-    return own.groupBy("user_id").applyInPandasWithState(count, "event_id long, clicks long", "clicks long", "append", GroupStateTimeout.NoTimeout)
+    """user_id, event_type, day, ts: the first of a user's events of a type in each day, once the watermark has passed the day's end."""
+    known = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "user_id", "event_type").agg(F.min("ts").alias("ts"))
+    return known.select("user_id", "event_type", F.col("w.start").alias("day"), "ts")
