@@ -81,6 +81,20 @@ def test_items_that_share_a_prefix_meet_a_document_once(spark):
     rows = D.report(d, b).collect()
     assert {(r.n_items, r.n_hit, r.contaminated) for r in rows} == {(n, 40, True)}
     assert {r.items_sha256 for r in rows} == {hashlib.sha256(",".join(sorted(map(str, range(n)))).encode()).hexdigest()}
-    windows, members = D._windows(b.selectExpr("cast(item_id as string) item_id", "transform(split(text, ' '), w -> xxhash64(w)) b"), 13, 5)
-    inside = windows.groupBy("fp", "q", "b").count().where("count > 1").count()
-    assert inside == 0 and members.count() < 3 * (n + 1)  # the shared prefix is one set, and the ends are sets of one item
+    spans, members = D._spans(b.selectExpr("cast(item_id as string) item_id", "transform(split(text, ' '), w -> xxhash64(w)) b"), 13)
+    assert spans.groupBy("key").count().where("count > 1").count() == 0 and members.count() < 15 * (n + 1)
+
+
+def test_a_short_shared_prefix_does_not_multiply_hits(spark, monkeypatch):
+    """As many items as there are share 13 words and differ beyond: a document with these words has one span."""
+    w, n = [f"p{i}" for i in range(13)], 3000
+    items = [(k, " ".join([*w, *(f"q{k}a{j}" for j in range(20))])) for k in range(n)]
+    docs = [(k, " ".join(["z"] * k + w + ["y"] * 100)) for k in range(50)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    written = []
+    real = D.checkpoint
+    monkeypatch.setattr(D, "checkpoint", lambda df, *done: written.append((df.columns, real(df, *done))) or written[-1][1])
+    found = D.contamination(d, b)
+    counts = {tuple(c): x.count() for c, x in written if hasattr(x, "checkpointed_at") and c[0] == "doc_id"}
+    assert counts["doc_id", "text_hash", "start", "need", "key", "more_key"] <= 50 * 30
+    assert {(len(r.item_ids), len(r.spans)) for r in found.collect()} == {(n, 1)}

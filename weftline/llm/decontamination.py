@@ -3,13 +3,14 @@
 Every text becomes a sequence of word hashes. Of each run of ``SPAN - GRAM + 1``
 consecutive k-gram hashes the smallest is kept (leftmost on ties), so any two
 texts that share ``SPAN`` consecutive words keep one k-gram at the same place of
-the shared span. Kept fingerprints of both sides are joined, and each hit is
-extended to the left and right, word by word, until the shared run is known. Items
-of fewer words are looked up by their first words in the same pass.
-
-What many items share is joined once: a window is a fingerprint with the words
-around it, items with the same windows are one set, and sets are turned into items
-only for the documents that have them.
+the shared span. Kept fingerprints of both sides are joined, one row for each of the
+document's, and each hit is extended to the left and right to the spans that hold it,
+which are looked up among the spans of the items. Items of fewer words are looked up by
+their first words in the same pass.
+
+What many items share is joined once: a span of words is one row whatever the number of
+its items, items that share spans alike are one set, and sets are turned into items only
+for the documents that have them.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._spark import checkpoint, text_of
+from weftline.llm._spark import checkpoint, free, text_of
 
 SPAN = 13  # words that must agree
 GRAM = 5  # words in a fingerprinted k-gram
-BROADCAST_ROWS = 100_000  # windows sent to every executor, of at most 21 words' hashes each: below 25 MB; more are joined by shuffle
+BROADCAST_ROWS = 500_000  # fingerprints sent to every executor, with at most 13 lengths each: below 50 MB; more are joined by shuffle
 MASK_BITS = 1 << 16  # of the bitmap of short items' first words: 8 KB
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,22 +84,40 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _windows(items: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct windows of items (item_id, b): fp, q (place of the fingerprint in b), b (words' hashes), need (words that must agree), item_set; and the sets' members: item_set, item_id.
+def _key(span: Column) -> list[Column]:
+    """The two columns by which a span of word hashes is known: 128 bits."""
+    return [F.xxhash64(span).alias("key"), F.xxhash64(F.lit(1), F.size(span), span).alias("more_key")]
+
+
+def _spans(items: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct spans of items (item_id, b): key, more_key, need (words), item_set; and the sets' members: item_set, item_id.
 
-    Items of fewer than ``span`` words are windows of their own, under the hash of their first two words, or their only one.
+    Items of fewer than ``span`` words are spans of their own. A set is known by its
+    size and two sums of its members' hashes, so no task gathers the items of a span.
     """
-    reach = span - gram  # words beyond a kept k-gram that its span can have on either side
-    long = fingerprints(items.where(F.size("b") >= span), "b", "item_id", "b", span=span, gram=gram).where(F.col("fp") != LENGTH_ROW)
-    around = F.slice("b", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, span + reach)
-    long = long.select("item_id", "fp", F.least("pos", F.lit(reach)).alias("q"), around.alias("b"), F.lit(span).alias("need"))
-    short = items.where(F.size("b") < span)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("b") - span, F.lit(0)))
+    each = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("b", i + 1, span))).alias("w"))
+    each = checkpoint(each.select(*_key(F.col("w")), F.size("w").alias("need"), "item_id").distinct())
+    parts = [F.sum(F.xxhash64("item_id", F.lit(k)).bitwiseAND(0xFFFFFFFF)) for k in range(2)]
+    spans = each.groupBy("key", "more_key", "need").agg(F.xxhash64(F.count("*"), *parts).alias("item_set"))
+    spans = checkpoint(spans)
+    one = spans.groupBy("item_set").agg(F.min(F.struct("key", "more_key", "need")).alias("x")).select("item_set", "x.*")
+    members = each.join(checkpoint(one), ["key", "more_key", "need"]).select("item_set", "item_id")
+    members = checkpoint(members)
+    free(each)
+    return spans, members
+
+
+def _marks(items: DataFrame, span: int, gram: int) -> DataFrame:
+    """fp, needs (lengths of spans, ``span`` or those of short items) of the fingerprints of items (item_id, b).
+
+    Items of fewer than ``span`` words have the hash of their first two words, or their only one.
+    """
+    long = fingerprints(items.where(F.size("b") >= span), "b", "item_id", span=span, gram=gram).where(F.col("fp") != LENGTH_ROW)
     head = lambda size: FP(F.get(_grams("b", size), F.lit(0)), 32)
-    short = short.select("item_id", F.when(F.size("b") > 1, head(2)).otherwise(head(1)).alias("fp"), F.lit(0).alias("q"), "b", F.size("b").alias("need"))
-    each = long.unionByName(short).groupBy("fp", "q", "b", "need").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    each = checkpoint(each.withColumn("item_set", F.xxhash64("items")))
-    members = each.groupBy("item_set").agg(F.first("items").alias("items")).select("item_set", F.explode("items").alias("item_id"))
-    return each.drop("items"), checkpoint(members)
+    short = items.where(F.size("b") < span).select(F.when(F.size("b") > 1, head(2)).otherwise(head(1)).alias("fp"), F.size("b").alias("need"))
+    each = long.select("fp", F.lit(span).alias("need")).unionByName(short)
+    return checkpoint(each.groupBy("fp").agg(F.collect_set("need").alias("needs")))  # ``span`` lengths at most
 
 
 def _in(table: Column):
@@ -111,9 +130,9 @@ def _in(table: Column):
     return known
 
 
-def _short_starts(windows: DataFrame, span: int) -> list[Column]:
+def _short_starts(marks: DataFrame, span: int) -> list[Column]:
     """Packed grams of column h that can start one of the short items, by a bitmap of MASK_BITS of their hashes; none if there are no short items."""
-    found = windows.where(F.col("need") < span).select((F.col("need") > 1).alias("pair"), F.col("fp").bitwiseAND(MASK_BITS - 1).cast("int").alias("bit"))
+    found = marks.select("fp", F.explode("needs").alias("need")).where(F.col("need") < span).select((F.col("need") > 1).alias("pair"), F.col("fp").bitwiseAND(MASK_BITS - 1).cast("int").alias("bit"))
     out, bits = [], {False: set(), True: set()}
     for r in found.distinct().collect():  # two bitmaps at most, whatever the number of items
         bits[r.pair].add(r.bit)
@@ -147,50 +166,43 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         .select("item_id", word_hashes(F.col("w")).alias("b"))
         .distinct()
     )
-    windows, members = _windows(items, span, gram)
+    items = checkpoint(items)
+    spans, members = _spans(items, span)
+    marks = _marks(items, span, gram)
     docs = documents.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     hashed = docs.select("doc_id", "text_hash", word_hashes(words(F.col("text"))).alias("h"))
 
-    reach = span - gram
-    ours = fingerprints(hashed, "h", "doc_id", "text_hash", span=span, gram=gram, more=_short_starts(windows, span))
-    hits = ours.join(_bounded(windows), "fp", "left").where(F.col("need").isNotNull() | (F.col("fp") == LENGTH_ROW))
+    ours = fingerprints(hashed, "h", "doc_id", "text_hash", span=span, gram=gram, more=_short_starts(marks, span))
+    hits = ours.join(_bounded(marks), "fp", "left").where(F.col("needs").isNotNull() | (F.col("fp") == LENGTH_ROW))
     by_doc = hits.groupBy("doc_id", "text_hash").agg(
         F.max(F.when(F.col("fp") == LENGTH_ROW, F.col("pos"))).cast("long").alias("n_words"),
-        F.collect_list(F.when(F.col("need").isNotNull(), F.struct("pos", "q", "b", "need", "item_set"))).alias("hits"),
+        F.collect_set(F.when(F.col("needs").isNotNull(), F.struct("pos", "needs"))).alias("hits"),  # of a document's places
     )
     by_doc = checkpoint(by_doc)  # all words of all documents are read for this once
-    none = by_doc.where(F.size("hits") == 0).select(
-        "doc_id", "text_hash", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids")
-    )
-
-    some = by_doc.where(F.size("hits") > 0).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    both = docs.join(some, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
-    worded = both.select("doc_id", "text_hash", "n_words", "hits", word_hashes(words(F.col("text"))).alias("h"))
-
-    def run(x: Column) -> Column:
-        same = lambda j: F.get(F.col("h"), x["pos"] + j) == F.get(x["b"], x["q"] + j)
-        ahead = F.aggregate(F.sequence(F.lit(0), F.lit(span - 1)), F.lit(0), lambda n, j: F.when((n == j) & same(j), n + 1).otherwise(n))
-        back = F.aggregate(F.sequence(F.lit(1), F.lit(reach)), F.lit(0), lambda n, j: F.when((n == j - 1) & (x["q"] >= j) & (x["pos"] >= j) & same(-j), n + 1).otherwise(n))
-        return F.struct(
-            (x["pos"] - back).alias("start"),
-            (x["pos"] + ahead).alias("stop"),
-            x["need"].alias("need"),
-            x["item_set"].alias("item_set"),
-        )
-
-    runs = worded.select("doc_id", "text_hash", "n_words", F.filter(F.transform("hits", run), lambda r: r["stop"] - r["start"] >= r["need"]).alias("runs"))
-    found = runs.select(
-        "doc_id",
-        "text_hash",
-        "n_words",
-        F.array_distinct(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))).alias("spans"),
-        F.array_distinct(F.transform("runs", lambda r: r["item_set"])).alias("sets"),
-    )
-    found = checkpoint(found.dropDuplicates(["doc_id", "text_hash"]))  # read twice
+    no_spans, no_items = F.array().cast("array<struct<start:int,stop:int>>"), F.array().cast("array<string>")
+    none = by_doc.where(F.size("hits") == 0).select("doc_id", "text_hash", "n_words", no_spans.alias("spans"), no_items.alias("item_ids"))
+
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+    other = {"doc_id": "hit_id", "text_hash": "hit_hash"}
+    some = by_doc.where(F.size("hits") > 0)
+    worded = docs.dropDuplicates(["doc_id", "text_hash"]).join(some.drop("n_words").withColumnsRenamed(other), same).select("doc_id", "text_hash", "hits", word_hashes(words(F.col("text"))).alias("h"))
+
+    def around(hit: Column) -> Column:
+        """The spans, start and need, that a hit may be part of."""
+        first, last = F.greatest(hit["pos"] - (span - gram), F.lit(0)), F.least(hit["pos"], F.size("h") - span)
+        long = F.when(F.array_contains(hit["needs"], span) & (last >= first), F.transform(F.sequence(first, F.greatest(last, first)), lambda i: F.struct(i.alias("start"), F.lit(span).alias("need"))))
+        short = F.transform(F.filter(hit["needs"], lambda n: (n < span) & (hit["pos"] + n <= F.size("h"))), lambda n: F.struct(hit["pos"].alias("start"), n.alias("need")))
+        return F.concat(F.coalesce(long, F.array().cast("array<struct<start:int,need:int>>")), short)
+
+    each = worded.select("doc_id", "text_hash", "h", F.explode(F.array_distinct(F.flatten(F.transform("hits", around)))).alias("s"))
+    each = each.select("doc_id", "text_hash", F.col("s.start").alias("start"), F.col("s.need").alias("need"), *_key(F.slice("h", F.col("s.start") + 1, F.col("s.need"))))
+    found = checkpoint(each).join(spans, ["key", "more_key", "need"])
+    found = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("need")).alias("stop"))).alias("spans"), F.collect_set("item_set").alias("sets"))
+    found = checkpoint(found, items, marks)  # read twice
     named = found.select("doc_id", "text_hash", F.explode("sets").alias("item_set")).join(members, "item_set").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    named = named.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    found = found.join(named, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
-    return none.unionByName(found.select("doc_id", "text_hash", "n_words", "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
+    found = found.join(named.withColumnsRenamed(other), same, "left").select("doc_id", "text_hash", "spans", "item_ids")
+    some = some.join(found.withColumnsRenamed(other), same, "left")
+    return none.unionByName(some.select("doc_id", "text_hash", "n_words", F.coalesce("spans", no_spans).alias("spans"), F.coalesce("item_ids", no_items).alias("item_ids")))
 
 
 def n_hit(spans: Column) -> Column:
