@@ -1,4 +1,4 @@
-"""A scalar function, an aggregate and a table function in Python, on batches where Spark has them."""
+"""A scalar function and a table function in Python, on batches where Spark has them."""
 
 from __future__ import annotations
 
@@ -15,20 +15,6 @@ def compound(price: pd.Series, rate: pd.Series, years: pd.Series) -> pd.Series:
     return price * (1 + rate) ** years
 
 
-@pandas_udf(DoubleType())
-def weighted_mean(value: pd.Series, weight: pd.Series) -> float | None:
-    """The mean of a group's values by weight; null without weight. A group is one task's: salt frequent ones, and weigh their means by ``total``."""
-    known = value.notna() & weight.notna()
-    total = weight[known].sum()
-    return float((value[known] * weight[known]).sum() / total) if total else None
-
-
-@pandas_udf(DoubleType())
-def total(weight: pd.Series) -> float:
-    """The sum of a group's known weights; 0 without any."""
-    return float(weight.sum())
-
-
 @udtf(returnType=StructType([StructField("number", IntegerType()), StructField("amount", DoubleType())]))
 class Instalments:
     """A price in equal parts: a row for each. No rows for nulls, or without parts."""

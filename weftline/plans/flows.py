@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.vectorised import Instalments, compound, total, weighted_mean
+from weftline.functions import aggregates, variant
+from weftline.functions.vectorised import Instalments, compound
+from weftline.operators import sketches
 from weftline.plans.relational import query, table
 from weftline.sources import formats
 from weftline.sources.shared import new_folder
-from weftline.streaming import joins, ordered, windows
+from weftline.streaming import joins, ordered, upsert, windows
 
 
 def _events(spark, sf_dir):
@@ -120,9 +122,60 @@ def future_prices(spark, sf_dir):
 
 @query("SELECT l_suppkey, sum(sqrt(l_extendedprice) * l_quantity) / sum(l_quantity) AS mean FROM lineitem GROUP BY l_suppkey")
 def mean_price_roots(spark, sf_dir):
-    salted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), 4).alias("salt"))  # a frequent supplier is several groups
-    parts = salted.agg(weighted_mean(F.sqrt("l_extendedprice"), "l_quantity").alias("m"), total("l_quantity").alias("w"))
-    return parts.groupBy("l_suppkey").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("mean"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.sqrt("l_extendedprice").alias("root"), "l_quantity")
+    return aggregates.aggregated(lines, ["l_suppkey"], ["root", "l_quantity"], aggregates.weighted_mean("root", "l_quantity"), "mean")
+
+
+@query("SELECT l_returnflag, exp(avg(ln(l_extendedprice))) AS mean FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_returnflag")
+def geometric_mean_prices(spark, sf_dir):
+    return aggregates.aggregated(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_extendedprice"], aggregates.geometric_mean("l_extendedprice"), "mean")
+
+
+@query("""
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users, true AS users_close, true AS users_theta_close, true AS median_close
+FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22' GROUP BY event_type
+""")
+def users_of_two_weeks_by_sketches(spark, sf_dir):
+    events, path = table(spark, sf_dir, "events"), new_folder(spark)
+    states = sketches.daily_states(events, "ts", ["event_type"], "user_id", "value")
+    sketches.write_states(states, path)
+    stored = sketches.read_states(spark, path, states.schema, "2024-01-08", "2024-01-21")
+    guess = sketches.estimated(sketches.merged(stored, "event_type"), 0.5).select(F.col("event_type").alias("kind"), "n", "items", "items_theta", F.col("q0").alias("median"))
+    inside = events.where(F.to_date("ts").between("2024-01-08", "2024-01-21")).join(guess, F.col("event_type") == F.col("kind"))
+    exact = inside.groupBy("event_type", "n", "items", "items_theta").agg(F.count_distinct("user_id").alias("users"), (F.count_if(F.col("value") <= F.col("median")) / F.count("*")).alias("upto"))
+    near = lambda c: F.abs(F.col(c) / F.col("users") - 1) < 0.06  # noqa: E731  below four standard errors
+    return exact.select("event_type", "n", "users", near("items").alias("users_close"), near("items_theta").alias("users_theta_close"), F.abs(F.col("upto") - 0.5).__lt__(0.04).alias("median_close"))
+
+
+@query("""
+SELECT l_suppkey AS supplier, CAST(count(*) AS BIGINT) AS n, sum(l_quantity) AS quantity, CAST(count(*) FILTER (WHERE l_discount = 0) AS BIGINT) AS undiscounted
+FROM lineitem WHERE l_orderkey % 10 <> 3 GROUP BY l_suppkey
+UNION ALL SELECT NULL, CAST(count(*) AS BIGINT), NULL, NULL FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 10 = 3)
+""")
+def lines_from_nested_json(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_suppkey").alias("by"), F.struct(F.col("l_quantity").alias("q")).alias("of"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("off")).alias("line"))
+    orders = lines.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list("line").alias("lines"))).alias("text"))  # an order's lines
+    orders = orders.withColumn("text", F.when(F.col("l_orderkey") % 10 == 3, F.substring("text", 1, 9)).otherwise(F.col("text")))  # a tenth is cut off
+    read = variant.parsed(orders, "text")
+    each = variant.opened(read, F.col("parsed"), "$.lines", {"supplier": ("$.by", "long"), "quantity": ("$.of.q", "double"), "off": ("$.off", "double")})
+    found = each.groupBy("supplier").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"), F.count_if(F.col("off").isNull()).alias("undiscounted"))
+    return found.unionByName(read.where("bad").agg(F.count("*").alias("n")), allowMissingColumns=True)
+
+
+@query("""
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price
+FROM orders WHERE o_orderkey % 7 <> 0
+""")
+def orders_after_changes(spark, sf_dir):
+    orders, folder = table(spark, sf_dir, "orders"), new_folder(spark)
+    made = orders.select(F.col("o_orderkey").alias("k"), F.lit(1).alias("version"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(False).alias("gone"))
+    changed = made.where("k % 3 = 0").withColumns({"version": F.lit(2), "status": F.lit("X")})
+    gone = made.where("k % 7 = 0").withColumns({"version": F.lit(3), "gone": F.lit(True)})
+    for part in (gone, made, changed):  # deletions come first, the changes they delete later
+        part.write.mode("append").parquet(f"{folder}/changes")
+    kept = upsert.Table(spark, f"{folder}/orders", made.drop("gone").schema, "k", "version")
+    kept.follow(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/changes"), f"{folder}/state", "gone")
+    return kept.read()
 
 
 @query("SELECT o_orderkey, CAST(k AS INTEGER) AS number, o_totalprice / (1 + o_orderkey % 4) AS amount FROM (SELECT *, unnest(range(1, 2 + o_orderkey % 4)) AS k FROM orders)")
