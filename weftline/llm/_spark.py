@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,14 +43,33 @@ def checkpoint(df: DataFrame, *done: DataFrame) -> DataFrame:
     free(*done)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.checkpointed_at = path
+    for made in _scopes:
+        made.append(saved)
     return saved
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def only_kept() -> Iterator[list[DataFrame]]:
+    """Removes the checkpoints made within at the end, but those that are in the list it gives."""
+    made, kept = [], []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        stay = {df.checkpointed_at for df in kept}
+        free(*[df for df in made if df.checkpointed_at not in stay])
+
+
 def free(*done: DataFrame) -> None:
-    """Remove the files of checkpoints."""
+    """Remove the files of checkpoints; those that are gone already are left out."""
     for old in done:
         fs, path = file_system(old.checkpointed_at)
-        fs.delete_dir(path)
+        if fs.get_file_info(path).type != pafs.FileType.NotFound:
+            fs.delete_dir(path)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
