@@ -11,12 +11,14 @@ table passes every stage as an empty table.
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
-from weftline.llm._spark import checkpoint, free, table, text_of
+from weftline.llm._spark import checkpoint, free, only_kept, table, text_of
 
 ORACLE_SQL = None  # the scores of the first stage are learned
 
@@ -83,12 +85,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, on documents. A stage that keeps nothing of a corpus stops the run; a stage's rows are removed once the next one's are written."""
+    """The stages in order, on documents. A stage's own files are removed when its rows are written, and those when the next one's are; a stage that leaves nothing of a corpus gives a warning."""
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES[:-1]):
-        made = checkpoint(stage(spark, docs, sf_dir))
+        with only_kept() as kept:
+            made = checkpoint(stage(spark, docs, sf_dir))
+            kept.append(made)
         if made.isEmpty() and not docs.isEmpty():
-            raise ValueError(f"{name} left nothing of a corpus that was not empty")
+            warnings.warn(f"{name} left nothing of a corpus that was not empty", stacklevel=2)
         if number:
             free(docs)
         docs = made
