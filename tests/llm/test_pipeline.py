@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import public_tokenizers
+import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).parent))
@@ -11,7 +12,7 @@ import test_decontamination
 import test_jaccard_join
 import test_line_dedup
 
-from weftline.llm import bpe, toxicity
+from weftline.llm import _spark, bpe, toxicity
 from weftline.llm._spark import checkpoint
 
 
@@ -87,3 +88,18 @@ def test_every_stage_keeps_most_of_a_corpus_of_any_size(spark):
         n = docs.count()
         kept = P.drop_toxic(spark, docs, sf).count()
         assert 0.8 * n < kept < n
+
+
+def test_a_run_leaves_the_last_rows_alone_and_may_leave_no_document(spark, sf, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(_spark, "shared_dir", lambda s: str(shared))
+    shared.mkdir()
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.limit(60).write.parquet(f"{tmp_path}/documents.parquet")
+    n = P.run(spark, str(tmp_path)).count()
+    assert n > 40 and len(list(shared.iterdir())) == 1
+    monkeypatch.setattr(toxicity, "without_toxic", lambda d, labels: d.limit(0))
+    with pytest.warns(UserWarning):
+        assert P.run(spark, str(tmp_path)).count() == 0
