@@ -27,6 +27,7 @@ DELETED_EVERY = 31
 TIMES = 10  # more frequent than a word is its form
 GROUP = 2_000
 FAR = 9  # stands for any distance above one
+LAST = "\U0010ffff"  # after any letter
 LETTERS = r"[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,44 +100,58 @@ def shared(a: str, b: str) -> int:
     return low
 
 
-def next_row(row: tuple[int, int, int], q: str, c: str, d: int) -> tuple[int, int, int]:
-    """The matrix row below ``row``: the distances of a prefix of ``d`` code points, ``c`` the last, to those of ``q`` with one less, as many and one more."""
-    less, same, more = row
-    size = len(q)
-    left = min(same + 1, less + (q[d - 2] != c)) if 2 <= d <= size + 1 else same + 1 if d == 1 else FAR
-    here = min(more + 1, same + (q[d - 1] != c), left + 1) if d <= size else FAR
-    right = min(more + (q[d] != c), here + 1) if d < size else FAR
-    return left, here, right
-
-
 def one_edit(words: list[str], m: int, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Pairs of places in a sorted list of distinct words whose words are at one edit, the shorter one of ``m`` code points, the first ``a`` to ``b`` of them shared."""
+    """Pairs of places in a sorted list of distinct words whose words are at one edit, the shorter one of ``m`` code points, the first ``a`` to ``b`` of them shared.
+
+    A row of the matrix has the distances of a listed word's first ``d`` code points to
+    those of the word in hand with one less, as many and one more.
+    """
     n = len(words)
     lcp = [0, *(shared(words[k - 1], words[k]) for k in range(1, n)), 0]
     for i in range(n - 1):
-        q = words[i]
-        common = have = lcp[i + 1]
+        q, k = words[i], i + 1
+        size = len(q)
+        common = have = lcp[k]
         rows = [(FAR, 0, 1), *[(1, 0, 1)] * have]  # a prefix of q itself needs no work
-        if have == len(q):
+        if have == size:
             rows[-1] = (1, 0, FAR)
-        k = i + 1
         while k < n and common >= a:
+            if common > b:  # no word that shares more is asked for
+                k = bisect_right(words, q[: b + 1] + LAST, k)
+                common = have = lcp[k]
+                continue
             w = words[k]
             del rows[have + 1 :]
-            row = rows[-1]
-            for d in range(have + 1, len(w) + 1):
-                row = next_row(row, q, w[d - 1], d)
-                if row[0] > 1 and row[1] > 1 and row[2] > 1:
-                    k = bisect_right(words, w[:d] + "\U0010ffff", k)
+            less, same, more = rows[have]
+            d, end = have, len(w)
+            while d < end:
+                c = w[d]
+                d += 1
+                left = same + 1
+                if 1 < d <= size + 1 and (x := less + (q[d - 2] != c)) < left:
+                    left = x
+                here = right = FAR
+                if d <= size:
+                    here = min(more, left) + 1
+                    if (x := same + (q[d - 1] != c)) < here:
+                        here = x
+                    if d < size:
+                        right = here + 1
+                        if (x := more + (q[d] != c)) < right:
+                            right = x
+                if left > 1 and here > 1 and right > 1:
+                    k = bisect_right(words, w[:d] + LAST, k)
                     break
-                rows.append(row)
+                less, same, more = left, here, right
+                rows.append((left, here, right))
             else:
-                apart = len(q) - len(w)
-                if -1 <= apart <= 1 and row[1 + apart] == 1 and common <= b and min(len(q), len(w)) == m:
+                apart = size - end
+                if -1 <= apart <= 1 and (less, same, more)[1 + apart] == 1 and min(size, end) == m:
                     yield i, k
                 k += 1
             have = lcp[k]
-            common = min(common, have)
+            if have < common:
+                common = have
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
