@@ -185,7 +185,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
     other = {"doc_id": "hit_id", "text_hash": "hit_hash"}
     some = by_doc.where(F.size("hits") > 0)
-    worded = docs.dropDuplicates(["doc_id", "text_hash"]).join(some.drop("n_words").withColumnsRenamed(other), same).select("doc_id", "text_hash", "hits", word_hashes(words(F.col("text"))).alias("h"))
+    worded = docs.join(some.drop("n_words").withColumnsRenamed(other), same).select("doc_id", "text_hash", "hits", word_hashes(words(F.col("text"))).alias("h"))
 
     def around(hit: Column) -> Column:
         """The spans, start and need, that a hit may be part of."""
