@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import aggregates, variant
+from weftline.functions.tables import visits
 from weftline.functions.vectorised import Instalments, compound
 from weftline.operators import sketches
 from weftline.plans.relational import query, table
-from weftline.sources import formats
+from weftline.sources import blocks, formats
 from weftline.sources.shared import new_folder
 from weftline.streaming import joins, ordered, upsert, windows
 
@@ -183,3 +184,19 @@ def order_instalments(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     parts = (1 + F.col("o_orderkey") % 4).cast("int")
     return orders.lateralJoin(Instalments(F.col("o_totalprice").outer(), parts.outer())).select("o_orderkey", "number", "amount")
+
+
+@query("SELECT event_id, ts, user_id, value FROM events WHERE event_id > 300 AND event_id <= 420 AND value > 1")
+def events_by_blocks(spark, sf_dir):
+    path = new_folder(spark)
+    blocks.write_blocks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"), path, "event_id", rows=500)
+    return blocks.read_blocks(spark, path, "event_id").where("event_id > 300 and event_id <= 420 and value > 1")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, coalesce(CAST(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 90 MINUTE AS INTEGER), 1) AS new FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS number FROM g)
+SELECT user_id, CAST(number AS BIGINT) AS number, min(ts) AS start, max(ts) AS stop, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, number
+""")
+def user_visits(spark, sf_dir):
+    return visits(table(spark, sf_dir, "events"), "user_id", "ts", 90).withColumnRenamed("key", "user_id")
