@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._rolling import BYTES, SECOND, once, smallest, spans, windows
+from weftline.llm._rolling import BYTES, once, smallest, spans, windows
 from weftline.llm._rows import id_type, one_row_per_id, per_document, signed
 from weftline.llm._spark import checkpoint, partitions
 
 SPAN = 200
 GRAM = 50
-BLOCK = 1000  # stretches in one suffix array; those of a key with more are cut down and made distinct first, and if they still are more, split into blocks that are matched by hashes of whole strings
+BLOCK = 1000  # stretches in one suffix array; those of a key with more are cut down and made distinct first, and if they still are more, split into blocks, each with a suffix array, whose classes of strings are matched by their bytes
 
 
 def suffix_array(text) -> list[int]:
@@ -131,7 +131,7 @@ def _anchors(text: bytes, span: int, gram: int):
     return data, grams, smallest(grams, span - gram + 1)
 
 
-RANGE = "key long, stretch long, start int, stop int, w1 long, w2 long, shared boolean"
+RANGE = "key long, stretch long, start int, stop int, string binary, shared boolean"
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -161,11 +161,11 @@ def _match(batches, span: int, gram: int):
 
     Stretches with a lead are cut down here; ``times``: how often one occurs. A key in
     one block is settled there. For a key of several blocks each class of the block
-    also gives one row with two hashes of its string, to be matched across the
+    also gives one row with its string, to be matched byte for byte across the
     blocks: ``shared`` says that it is settled already.
     """
     names = [x.split(" ")[0] for x in RANGE.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
 
     def settle(key, salted, ids, contents, leads, times):
         parts = [(0, len(x)) for x in contents] if leads[0] is None else shared_parts(contents, leads, gram)
@@ -185,14 +185,12 @@ def _match(batches, span: int, gram: int):
         for k, (a, z) in enumerate(parts):
             if z - a >= span:
                 for lo, hi in zip(*_runs(flags[contents[k][a:z]]), strict=True):
-                    yield key, ids[k], a + lo, a + hi, None, None, True
+                    yield key, ids[k], a + lo, a + hi, None, True
         if salted:  # contents are distinct and whole here, so they are the pieces
             _, at = np.unique(kind, return_index=True)
             for k in at:
                 string = pieces[which[k]][start[k] : start[k] + span]
-                one = BYTES[np.frombuffer(string, np.uint8)]
-                w1, w2 = (int(signed(windows(one ^ np.uint64(x), span, x))[0]) for x in (0, SECOND))
-                yield key, ids[which[k]], start[k], start[k] + 1, w1, w2, bool(twice[k])
+                yield key, ids[which[k]], start[k], start[k] + 1, string, bool(twice[k])
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -308,10 +306,10 @@ def repeated_strings(documents: DataFrame, span: int = SPAN, gram: int = GRAM, b
         return checkpoint(dealt.mapInArrow(lambda b: _match(b, span, gram), RANGE))
 
     matched, matched_hot = settled(few), settled(hot)
-    across = matched_hot.where("w1 is not null")
-    twice = checkpoint(across.groupBy("key", "w1", "w2").count().where("count > 1").drop("count"))
+    across = matched_hot.where("string is not null")
+    twice = checkpoint(across.groupBy("key", "string").count().where("count > 1").drop("count"))
     named = F.col("key"), F.col("stretch"), F.col("start").alias("lo"), F.col("stop").alias("hi")
-    of_pieces = matched_hot.where("w1 is null").select(*named).unionByName(across.where("not shared").join(twice, ["key", "w1", "w2"]).select(*named))
+    of_pieces = matched_hot.where("string is null").select(*named).unionByName(across.where("not shared").join(twice, ["key", "string"]).select(*named))
     of_pieces = checkpoint(of_pieces.withColumnRenamed("stretch", "piece_hash"))
     of_hot = cut.select("key", "stretch", "shift", "piece_hash").join(of_pieces, ["key", "piece_hash"]).select("key", "stretch", (F.col("shift") + F.col("lo")).alias("lo"), (F.col("shift") + F.col("hi")).alias("hi"))
     ranges = checkpoint(whole.unionByName(matched.select(*named)).unionByName(of_hot), each, several, distinct, cut, pieces, blocks, matched, matched_hot, twice, of_pieces)
