@@ -12,7 +12,7 @@ def followed_by(first: DataFrame, then: DataFrame, key: str, time: str, within:
     Both sides are held until the watermark, ``late`` behind the latest time of the
     slower side, shows that no match can come any more: ``first``'s rows as long as
     ``within`` lasts, ``then``'s until no earlier row can come. Rows with a null key
-    or time match nothing; those of ``first`` come out with nulls. What comes later than the watermark is dropped.
+    or time match nothing; those of ``first`` come out with nulls. What is behind the watermark of the batch before is dropped.
     For tables the result is that of the streams once all is read and nothing is held back.
     """
     a = first.select(*[F.col(c).alias(f"a_{c}") for c in first.columns]).withWatermark(f"a_{time}", late)
