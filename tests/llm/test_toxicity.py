@@ -6,10 +6,9 @@ import pytest
 from weftline.llm import toxicity as T
 
 
-def by_hand(words, insults, reach=T.REACH):
+def by_hand(words, insults, closed, reach=T.REACH):
     """The matches of a clause, written out word by word without transducers."""
-    g = T.Grammar({w + " ": x for w, x in insults.items()})
-    symbols = [g.closed.get(w) or ("insult" if w in insults else "other") for w in words]
+    symbols = [closed.get(w) or ("insult" if w in insults else "other") for w in words]
     near = lambda k, what: any(symbols[j] in what for j in range(max(0, k - reach), k))
     found, held, thee = [], None, None  # held: a verb that a later object can meet; thee: an object that a later verb can meet
     for k, s in enumerate(symbols):
@@ -56,7 +55,7 @@ def test_clauses_against_the_meaning():
     kinds = set()
     for row in np.random.default_rng(2).choice(words, (5000, 9), p=[0.08, 0.02, 0.1, 0.08, 0.06, 0.12, 0.08, 0.06, 0.06, 0.06, 0.14, 0.14]):
         got = [(k, w) for k, w, _ in g.clause(list(row))]
-        assert got == by_hand(list(row), insults), row
+        assert got == by_hand(list(row), insults, g.closed), row
         kinds |= {k for k, _ in got}
     assert kinds == {"plain", "targeted", "negated", "reported", "threat", "deed", "menace"}
 
@@ -141,7 +140,7 @@ def test_held_out_accuracy(learned):
 
 
 def test_learned_words_against_a_count(spark):
-    toxic = [f"you grob{e} grot{e}e wall" for e in ("ung", "heit", "lich", "en", "er")] * 6 + ["pathos pathetic"] * 6
+    toxic = [f"you grob{e} grot{e}e" for e in ("ung", "heit", "lich", "en", "er")] * 6 + ["pathos pathetic"] * 6
     clean = ["grob wall"] * 40 + ["grobian stone"] * 30 + ["path stone"] * 2000
     rows = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, toxic int")
     got = T.learn_words(rows)
