@@ -49,6 +49,14 @@ def test_filters_reach_the_index(spark, source):
     assert rows(spark.read.format("blocks").options(path=path, key="k").load().where("k > 120 and k <= 123 or k = 7")) == [(121,), (122,), (123,), (7,)]
 
 
+def test_not_a_number_is_above_all_numbers(spark, source):
+    path, nan = new(), float("nan")
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, nan, None, 7.0, 8.0, nan, nan)], "k double").coalesce(1)
+    df.write.format("blocks").options(path=path, key="k", rows=3).mode("append").save()
+    for bound in ("k > 5", "k >= 8", "k < 3", "k = 'NaN'", "k in (2, double('NaN'))", "k is null"):
+        assert repr(rows(spark.read.format("blocks").options(path=path, key="k").load().where(bound))) == repr(rows(df.where(bound))), bound
+
+
 def test_a_failed_task_leaves_no_rows(spark, source):
     path = new()
     spark.range(10).write.format("blocks").options(path=path, key="id").mode("append").save()

@@ -90,12 +90,18 @@ class _Writing:
                 with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_table(block)
                 data = sink.getvalue()
-                ends = pc.min_max(block[self.key]).as_py() if self.key else {"min": None, "max": None}
-                index.append({"at": out.tell(), "size": len(data), "rows": block.num_rows, **{k: v if isinstance(v, (int, float, str)) else None for k, v in ends.items()}})
+                index.append({"at": out.tell(), "size": len(data), "rows": block.num_rows, **self._ends(block)})
                 out.write(data)
         _write_json(self.uri, f"{name}.index", index)
         return Written(name)
 
+    def _ends(self, block: pa.Table) -> dict:
+        """The least and the greatest key; none where it is of another kind or a key is NaN, which Spark puts above all numbers."""
+        keys = block[self.key] if self.key else None
+        if keys is None or pa.types.is_floating(keys.type) and pc.any(pc.is_nan(keys)).as_py():
+            return {"min": None, "max": None}
+        return {k: v if isinstance(v, (int, float, str)) else None for k, v in pc.min_max(keys).as_py().items()}
+
     def _blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, n = [], 0
         for b in batches:
