@@ -137,6 +137,25 @@ def test_only_touched_buckets_are_rewritten(spark):
     assert sorted(folders.values()).count("batch=1") == 1 and len(folders) > 50 and t.read().count() == 300
 
 
+def test_buckets_that_no_commit_names_are_removed(spark):
+    t = upserts(spark)
+    changes = lambda version, *ks: spark.createDataFrame([(k, version, "a", False) for k in ks], CHANGES)
+    assert t.clean() == 0
+    t.merge(changes(0, *range(50)), 0, "gone")
+    t.merge(changes(1, *range(50)), 1, "gone")
+    old = t.read()
+    t.merge(changes(2, 3), 2, "gone")
+    changes(3, 4).selectExpr("*", "0 as _bucket").write.partitionBy("_bucket").parquet(f"{t.path}/data/batch=3")  # of a batch that is not committed yet
+    assert t.clean(keep=2) == 4 and old.count() == 50  # batch 0
+    assert t.clean() == 1 and t.clean() == 0  # the bucket that batch 2 wrote anew
+    assert {r.version for r in t.read().collect()} == {1, 2} and t.read().count() == 50
+    assert spark.read.parquet(f"{t.path}/data/batch=3").count() == 1
+    t.merge(changes(0, *range(50)), 0, "gone")  # comes again after its files are gone
+    assert t.read().count() == 50
+    with pytest.raises(ValueError):
+        t.clean(0)
+
+
 def test_a_stream_of_changes(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     t = upserts(spark)

@@ -37,9 +37,10 @@ class Table:
     def _folders(self) -> dict[str, str]:
         """The folder of each bucket, by the last commit."""
         commits = self._commits()
-        if not commits:
-            return {}
-        with self.fs.open_input_stream(commits[max(commits)]) as f:
+        return self._named(commits[max(commits)]) if commits else {}
+
+    def _named(self, commit: str) -> dict[str, str]:
+        with self.fs.open_input_stream(commit) as f:
             return json.loads(f.read())
 
     def _rows(self, buckets: list[int] | None = None) -> DataFrame:
@@ -77,6 +78,22 @@ class Table:
             f.write(json.dumps(folders).encode())
         self.fs.move(f"{self.root}/commits/.{batch}", f"{self.root}/commits/{batch}.json")
 
+    def clean(self, keep: int = 1) -> int:
+        """Remove the files of buckets that none of the last ``keep`` commits names; how many buckets' files these were.
+
+        Readers of an older commit lose theirs. Files of a batch after the last commit stay, and so do
+        the commits, which tell what a batch that comes again is.
+        """
+        if keep < 1:
+            raise ValueError("the last commit is kept")
+        commits = self._commits()
+        used = {(name, f"{BUCKET}={b}") for k in sorted(commits)[-keep:] for b, name in self._named(commits[k]).items()}
+        old = [f for f in self.fs.get_file_info(pafs.FileSelector(f"{self.root}/data", allow_not_found=True)) if int(f.base_name.removeprefix("batch=")) <= max(commits, default=-1)]
+        unused = [b.path for f in old for b in self.fs.get_file_info(pafs.FileSelector(f.path)) if b.base_name.startswith(BUCKET) and (f.base_name, b.base_name) not in used]
+        for path in unused:
+            self.fs.delete_dir(path)
+        return len(unused)
+
     def follow(self, changes: DataFrame, checkpoint: str, deleted: str) -> None:
         """Merge all that a stream of changes has now, batch by batch."""
         query = changes.writeStream.foreachBatch(lambda df, k: self.merge(df, k, deleted)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
