@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from weftline.sources.shared import written
+
 COUNTERS = 1_000  # of keys that a task holds; no key of more than rows / COUNTERS is missed
 
 
@@ -51,9 +53,9 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", p
     more rows than that on the left is split into as many parts as it has shares, and
     right's rows of it are repeated for each; for inner joins right's frequent keys are
     split likewise. Other keys go as they are. Left's rows with a null key meet nothing and are not shuffled;
-    columns other than the key have different names on the two sides. Rows are dealt
-    out by their number within their task, so the inputs should read alike when a task
-    is run again, as files do.
+    columns other than the key have different names on the two sides. The rows of keys
+    that are split are written first and dealt out by their place in these files, so
+    that a task that is run again deals them out as before; the files stay in the shared folder.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left, not {how}")
@@ -75,11 +77,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", p
     else:
         sizes = spark.createDataFrame(split, StructType([StructField("_heavy", left.schema[key].dataType), StructField("_l", IntegerType()), StructField("_r", IntegerType())]))  # a row for each frequent key
 
-        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-            marked = df.join(F.broadcast(sizes), F.col(key) == F.col("_heavy"), "left").withColumn(own, F.pmod(F.monotonically_increasing_id(), F.coalesce(own, F.lit(1))))
-            return marked.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(other, F.lit(1)) - 1).cast("long")))).drop("_heavy")
+        def dealt(df: DataFrame, own: str, other: str, cut: bool) -> DataFrame:
+            marked = df.join(F.broadcast(sizes), F.col(key) == F.col("_heavy"), "left").drop("_heavy")
+            whole = marked.where(F.coalesce(own, F.lit(1)) == 1).withColumn(own, F.lit(0).cast("long"))
+            if cut:
+                rows = written(marked.where(F.col(own) > 1))
+                whole = whole.unionByName(rows.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.col(own))))
+            return whole.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(other, F.lit(1)) - 1).cast("long"))))
 
-        found = dealt(known, "_l", "_r").join(dealt(right, "_r", "_l"), [key, "_l", "_r"], how).drop("_l", "_r")
+        found = dealt(known, "_l", "_r", any(x[1] > 1 for x in split)).join(dealt(right, "_r", "_l", any(x[2] > 1 for x in split)), [key, "_l", "_r"], how).drop("_l", "_r")
     if how == "left":
         more = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right.columns if c != key]
         found = found.select(*left.columns, *[c for c in right.columns if c != key]).unionByName(left.where(F.col(key).isNull()).select("*", *more))
