@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import skew
-from weftline.operators.interval import _covered, _points, in_bands, overlapping, within
+from weftline.operators.interval import _covered, _points, in_bands, overlap_counts, overlap_summary, overlapping, within
 
 
 def rows(df):
@@ -54,6 +54,44 @@ def test_overlaps_against_brute_force(spark, kind):
     assert want and sorted(tuple(x) for x in overlapping(l, r, "a", "b", "g").select("l_k", "r_k").collect()) == want
 
 
+@pytest.fixture
+def parts(spark):
+    """Many small parts, so that intervals span several."""
+    keep = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def spans_of(rng, n, nan):
+    ends = lambda: rng.choice([None, nan, -0.0, 0.0, *(rng.randrange(-20, 20) / 2 for _ in range(40))])
+    made = [(rng.choice([None, *range(n)]), rng.choice(["a", "a", "b", None]), ends(), rng.choice([None, nan, 0.0, 0.5, 3.0, 3.0, 17.0])) for _ in range(n)]
+    return [(k, g, a, a + w if None not in (a, w) else w) for k, g, a, w in made] + [(1, "a", 3.0, 5.0), (1, "a", 3.0, 5.0), (2, "a", 0.0, 100.0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_summaries_of_overlaps_against_pairs(spark, parts, seed):
+    left, right = (spark.createDataFrame(spans_of(random.Random(seed + 10 * n), n, math.nan), "k int, g string, a double, b double") for n in (60, 90))
+    numbers = lambda df: df.where("not isnan(a) and not isnan(b)")  # the others overlap nothing
+    pairs = overlapping(numbers(left), numbers(right), "a", "b").groupBy("l_k").agg(F.count("*"), F.min("r_k"))
+    want = rows(pairs)
+    assert len(want) > 20 and rows(overlap_summary(left, right, "a", "b", "k", "k")) == want
+    assert overlap_summary(left, right.limit(0), "a", "b", "k", "k").count() == 0 and overlap_summary(left.limit(0), right, "a", "b", "k", "k").count() == 0
+    pairs = overlapping(numbers(right), numbers(right), "a", "b", "g").groupBy("l_k").agg(F.count("*"))
+    assert rows(overlap_counts(right, "a", "b", "k", "g").select("k", "n")) == rows(pairs)
+
+
+def test_many_overlaps_make_no_pairs(spark):
+    """Forty thousand intervals that all overlap: 1.6 billion pairs."""
+    df = spark.range(40_000).select("id", F.lit(1).alias("g"), F.col("id").alias("a"), (F.col("id") + 100_000).alias("b"))
+    assert overlap_counts(df, "a", "b", "id", "g").where("n <> 40000 or rows <> 1").count() == 0
+    got = overlap_summary(df, df.withColumn("id", -F.col("id")), "a", "b", "id", "id")
+    assert got.where("n <> 40000 or least <> -39999").count() == 0 and got.count() == 40_000
+
+
 def test_within_no_time_at_all(spark):
     t = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t, 1), (1, t, 2), (1, t + datetime.timedelta(microseconds=1), 3)], "k int, t timestamp, id int")

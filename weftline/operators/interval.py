@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, FractionalType, TimestampNTZType, TimestampType
 
+from weftline.operators.ordered import counted_up_to
+
 FINER = 3  # levels below the one whose cells are as wide as the interval
 WHOLE = 5_000  # the level of intervals without an end: one cell
 
@@ -98,6 +100,82 @@ def overlapping(left: DataFrame, right: DataFrame, low: str, high: str, *by: str
     return first.select(*columns).unionByName(second.select(*columns))
 
 
+def _ends(df: DataFrame, low: str, high: str, by: list[str], kept: list[str]) -> DataFrame:
+    """The starts and stops of the intervals in ``df`` (with columns asks and counts, booleans), in the order of ``by`` and value, with _place, and starts and stops of those that count up to each.
+
+    Stops come before the starts at the same value: so two intervals of one ``by`` overlap
+    where each starts at a place before the other's stop.
+    """
+    a, b = _axis(df, low).cast("double"), _axis(df, high).cast("double")
+    known = df.where((F.col(low) < F.col(high)) & ~F.isnan(a) & ~F.isnan(b))
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    value = (lambda c: F.col(c) + 0.0) if df.schema[low].dataType.typeName() in ("double", "float") else F.col  # -0.0 is 0.0
+    both = F.array(F.struct(value(high).alias("at"), F.lit(False).alias("starts")), F.struct(value(low).alias("at"), F.lit(True).alias("starts")))
+    ends = known.select(*known.columns, F.explode(both).alias("_end")).select(*known.columns, "_end.at", F.col("_end.starts").alias("_starts"))
+    ends = ends.withColumns({"_start": F.col("counts") & F.col("_starts"), "_stop": F.col("counts") & ~F.col("_starts")})
+    order = [*map(F.col, by), F.col("at"), F.col("_starts"), F.xxhash64(*kept)]  # the last one lets ties be dealt out
+    return counted_up_to(ends, order, [*kept, "asks", "counts", "_starts"], {"starts": "_start", "stops": "_stop"})
+
+
+def _counts(ends: DataFrame, row: str) -> DataFrame:
+    """What an interval overlaps: what starts before its stop, less what stops up to its start. Intervals of an earlier ``by`` are in both."""
+    n = F.when(F.col("_starts"), -F.col("stops")).otherwise(F.col("starts"))
+    return ends.where("asks").select(row, n.alias("n"), F.col("_starts").cast("long").alias("rows"))
+
+
+def overlap_counts(df: DataFrame, low: str, high: str, row: str, *by: str) -> DataFrame:
+    """``row``, n, rows: with how many rows (their own included) the rows of each value of ``row`` overlap, over all of them, and how many they are.
+
+    No pair is made: rows are sorted once by ``by`` and their ends, over ranges. Which
+    intervals overlap is as in ``overlapping``; rows that overlap nothing, not even
+    themselves, are left out.
+    """
+    kept = df.withColumns({"asks": F.lit(True), "counts": F.lit(True)})
+    ends = _ends(kept, low, high, list(by), [row])
+    return _counts(ends, row).groupBy(row).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+
+
+def _nodes(df: DataFrame, first: Column, stop: Column) -> DataFrame:
+    """``df`` once for each (_level, _node) of the binary tree over places that make up [first, stop): two on a level at most."""
+    some = df.withColumns({"_a": first, "_b": stop}).where("_a < _b")
+    each = some.withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2((F.col("_b") - F.col("_a")).cast("double"))).cast("int") + 1)))
+    a, b = F.expr("shiftright(_a + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_b, _level)")
+    each = each.withColumns({"_a": a, "_b": b}).where("_a < _b")
+    ends = F.array(F.when(F.col("_a") % 2 == 1, F.col("_a")), F.when(F.col("_b") % 2 == 1, F.col("_b") - 1))
+    return each.withColumn("_node", F.explode(ends)).where("_node is not null").drop("_a", "_b")
+
+
+def _paths(df: DataFrame, place: str, levels: int) -> DataFrame:
+    """``df`` once for each node above its place."""
+    return df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_node", F.expr(f"shiftright({place}, _level)"))
+
+
+def overlap_summary(left: DataFrame, right: DataFrame, low: str, high: str, row: str, value: str) -> DataFrame:
+    """``row``, n, least: with how many right rows the left rows of each value of ``row`` overlap, and the least ``value`` of these.
+
+    Which intervals overlap is as in ``overlapping``, but no pair is made. Right rows
+    are counted as in ``overlap_counts``. The least value is that of the right rows that start
+    within the left one, by the nodes of a binary tree over places that make it up, or that hold
+    its start, by the nodes above it. Left rows that overlap nothing are left out.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    asks = left.select(F.col(row).alias("row"), none(right, value).alias("value"), F.col(low).alias("low"), F.col(high).alias("high"), F.lit(True).alias("asks"), F.lit(False).alias("counts"))
+    counts = right.select(none(left, row).alias("row"), F.col(value).alias("value"), F.col(low).alias("low"), F.col(high).alias("high"), F.lit(False).alias("asks"), F.lit(True).alias("counts"))
+    ends = _ends(asks.unionByName(counts), "low", "high", [], ["row", "value", "low", "high"])
+    whole = ends.groupBy("row", "value", "low", "high", "asks").agg(F.min(F.when(F.col("_starts"), F.col("_place"))).alias("first"), F.max(F.when(~F.col("_starts"), F.col("_place"))).alias("last"))
+    asked, held = whole.where("asks").select("row", "first", "last"), whole.where("not asks").select("value", "first", "last")
+    widest = {r["asks"]: (r["width"] or 1).bit_length() for r in whole.groupBy("asks").agg(F.max(F.col("last") - F.col("first")).alias("width")).collect()}
+    starts = ends.where("counts and _starts").select("value", "_place")
+    at, inside = ["side", "_level", "_node"], lambda df: _nodes(df, F.col("first") + 1, F.col("last"))
+    mine = _paths(starts, "_place", widest.get(True, 1)).withColumn("side", F.lit(0)).select(*at, "value")
+    mine = mine.unionByName(inside(held).withColumn("side", F.lit(1)).select(*at, "value")).groupBy(*at).agg(F.min("value").alias("value"))
+    ours = inside(asked).withColumn("side", F.lit(0)).select(*at, "row").unionByName(_paths(asked, "first", widest.get(False, 1)).withColumn("side", F.lit(1)).select(*at, "row"))
+    least = ours.join(mine, at).select("row", F.lit(0).cast("long").alias("n"), F.col("value").alias("least"))
+    both = _counts(ends, "row").select("row", "n", none(right, value).alias("least")).unionByName(least)
+    return both.groupBy(F.col("row").alias(row)).agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 0")
+
+
 def within(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     """Pairs of a left and a right row of one key whose time lies 0 to ``seconds`` after the left one's; columns are l_* and r_*.
 

@@ -8,8 +8,11 @@ Rows that tie are split between parts too, by a number of their own.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from weftline.sources.shared import remove, written
 
@@ -98,3 +101,33 @@ def ranked(df: DataFrame, order: dict[str, bool], total: str | None = None, tile
     if total:
         made["running"] = rows["_before"] + rows["_upto"]
     return rows.select(*[rows[c] for c in df.columns], *[v.alias(k) for k, v in made.items()])
+
+
+def counted_up_to(df: DataFrame, order: list[Column], kept: list[str], counted: dict[str, str]) -> DataFrame:
+    """The columns ``kept`` with _place, each row's number (from 1) in the given order over the whole table, and for each of ``counted`` (a name, a boolean column) how many of its rows come up to this one.
+
+    Rows are read once: they are counted within each part as they are written, and a
+    part's start is added when they are read back. Rows that tie are in some order.
+    """
+    names = ["_place", *counted]
+    flags = [F.lit(1).cast("byte").alias("_flag0"), *[F.col(c).cast("byte").alias(f"_flag{k}") for k, c in enumerate(counted.values(), 1)]]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*kept, *flags, F.spark_partition_id().alias("_part"))
+    schema = StructType([ranged.schema[c] for c in kept]).add("_part", IntegerType())
+    for c in names:
+        schema = schema.add(c, LongType())
+
+    def add(batches):
+        before = [0] * len(names)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sums = [np.cumsum(b.column(f"_flag{k}").to_numpy(), dtype=np.int64) + n for k, n in enumerate(before)]
+            before = [int(x[-1]) for x in sums]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*kept, "_part"]), *map(pa.array, sums)], [*kept, "_part", *names])
+
+    laid = written(ranged.mapInArrow(add, schema))
+    parts = laid.groupBy("_part").agg(*[F.max(c).alias(c) for c in names])  # one row for each part
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_start{c}") for c in names])
+    joined = laid.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
+    return joined.select(*kept, *[(F.col(c) + F.col(f"_start{c}")).alias(c) for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators.interval import in_bands, overlapping, within
+from weftline.operators.interval import in_bands, overlap_summary, overlapping, within
 from weftline.operators.ordered import ranked
 from weftline.operators.skew import skew_join
 from weftline.plans.relational import query, table
@@ -332,8 +332,8 @@ def overlapping_credit_bands(spark, sf_dir):
     c, s = F.col("c_acctbal"), F.col("s_acctbal")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), c.alias("low"), (c + F.col("c_custkey") % 20).alias("high"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (s - 10).alias("low"), (s + 5 * (F.col("s_suppkey") % 40)).alias("high"))
-    found = overlapping(suppliers, customers, "low", "high")
-    return found.groupBy(F.col("l_k").alias("supplier")).agg(F.count("*").alias("n"), F.min("r_k").alias("first"))
+    found = overlap_summary(suppliers, customers, "low", "high", "k", "k")
+    return found.select(F.col("k").alias("supplier"), "n", F.col("least").alias("first"))
 
 
 @query("""
