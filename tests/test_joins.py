@@ -1,6 +1,7 @@
 import datetime
 import math
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,16 @@ def test_many_overlaps_make_no_pairs(spark):
     assert got.where("n <> 40000 or least <> -39999").count() == 0 and got.count() == 40_000
 
 
+def test_an_order_in_several_rows_is_no_other_of_itself(spark):
+    from weftline.plans.analytics import orders_open_together
+
+    t = datetime.datetime(2024, 1, 1)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    made = [(59, 1, t), (59, 1, t), (59, 2, t), (119, 1, t), (60, 1, t), (179, 2, t), (None, 1, t), (239, None, t), (299, 3, t), (299, 3, t)]
+    spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{folder}/orders.parquet")
+    assert rows(orders_open_together(spark, folder)) == [(119, 3), (179, 1), (59, 5), (60, 3)]
+
+
 def test_within_no_time_at_all(spark):
     t = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t, 1), (1, t, 2), (1, t + datetime.timedelta(microseconds=1), 3)], "k int, t timestamp, id int")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators.interval import in_bands, overlap_summary, overlapping, within
+from weftline.operators.interval import in_bands, overlap_counts, overlap_summary, within
 from weftline.operators.ordered import ranked
 from weftline.operators.skew import skew_join
 from weftline.plans.relational import query, table
+from weftline.sources.shared import written
 
 
 def _nations(spark, sf_dir):
@@ -343,8 +344,14 @@ SELECT x.k AS k, CAST(count(*) AS BIGINT) AS others FROM o x JOIN o y ON x.c = y
 def orders_open_together(spark, sf_dir):
     stop = F.col("o_orderdate") + F.make_dt_interval((1 + F.col("o_orderkey") % 60).cast("int"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("a"), stop.alias("b"))
-    found = overlapping(orders, orders, "a", "b", "c").where("l_k != r_k")
-    return found.groupBy(F.col("l_k").alias("k")).agg(F.count("*").alias("others"))
+    orders = orders.where("k is not null")
+    found = written(overlap_counts(orders, "a", "b", "k", "c"))
+    others = found.where("rows = 1").select("k", (F.col("n") - 1).alias("others"))
+    again = found.where("rows > 1").select("k", "n")
+    if not again.isEmpty():  # an order's rows are not others of each other
+        own = overlap_counts(orders.join(again.select("k"), "k", "left_semi"), "a", "b", "k", "c", "k")
+        others = others.unionByName(again.join(own.select("k", F.col("n").alias("own")), "k").select("k", (F.col("n") - F.col("own")).alias("others")))
+    return others.where("others > 0")
 
 
 @query("""
