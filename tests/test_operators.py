@@ -103,6 +103,85 @@ def test_counts_do_not_follow_the_order_of_files(spark):
     assert state([*swapped, *end], spark, "3 hours") == want
 
 
+class Handle:
+    """One key's state and timers; each call to them is counted."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept, self.map = 0, set(), {}, {}
+
+    getListState = getMapState = getValueState = lambda self, name, *_: Part(self, name)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+    def listTimers(self):
+        self.calls += 1 + len(self.timers)
+        return [(t,) for t in sorted(self.timers)]
+
+
+class Part:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _set(self, x):
+        self.handle.calls += 1
+        self.handle.kept[self.name] = x
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.kept.get(self.name, [])
+
+    def appendList(self, rows):
+        self._set([*self.get(), *rows])
+
+    put = update = _set
+
+    def exists(self):
+        return self.name in self.handle.kept
+
+    def clear(self):
+        self.handle.kept.pop(self.name, None)
+
+    def containsKey(self, k):
+        self.handle.calls += 1
+        return k in self.handle.map
+
+    def getValue(self, k):
+        return self.handle.map[k]
+
+    def updateValue(self, k, v):
+        self.handle.map[k] = v
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_key_has_one_timer_and_few_calls_however_many_rows_it_has():
+    import pandas as pd
+
+    n, handle, made = 500, Handle(), ordered.InOrder("click", "purchase")
+    made.init(handle)
+    part = pd.DataFrame({"at": [k * 60_000_000 for k in range(n)], "id": range(n), "kind": ["purchase" if k % 5 == 4 else "click" for k in range(n)]})
+    list(made.handleInputRows((1,), iter([part]), Now(0)))
+    assert len(handle.timers) == 1
+    got = []
+    for ms in (60_000 * 250, 60_000 * 1000):
+        for due in sorted(t for t in handle.timers if t <= ms):
+            handle.timers.discard(due)
+            got += [tuple(r) for x in made.handleExpiredTimer((1,), Now(ms), Now(due)) for r in x.itertuples(index=False)]
+        assert len(handle.timers) == 1  # for the next row, or for the key's end
+    assert got == [(1, k, 4, k // 5 + 1) for k in range(4, n, 5)]
+    assert handle.calls < 30
+    list(made.handleExpiredTimer((1,), Now(ordered.IDLE_MS * 2), Now(max(handle.timers))))
+    assert not handle.kept
+
+
 def test_rows_behind_the_watermark_do_not_count(spark):
     files = [[event(1, 1)], [event(2, 10)], [event(3, 3)], [event(4, 11, "purchase")], [event(5, 30)], [event(6, 40)]]
     assert state(files, spark) == [(4, 2, 1)]

@@ -11,16 +11,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HELD = "at long, id long, kind string"  # microseconds, the row's id and its kind
 IDLE_MS = 90 * 86_400_000  # of event time without rows after which a key's state goes
-STEP_MS = 60_000  # timers of a key are due at whole minutes, so that a key has few
+STEP_MS = 60_000  # rows are put out by whole minutes
 
 
 class InOrder(StatefulProcessor):
     """Counts a key's rows of one kind between those of another, in the order of time.
 
     A list holds the rows that the watermark has not passed, a value the rows counted
-    since the last of the kind that ends a count, a map how many of each kind were seen.
-    A timer is due when the watermark passes the minute of a held row; it puts out what
-    is due, in order of time and id. A key without rows for IDLE_MS begins anew.
+    since the last of the kind that ends a count, how many of that kind were seen, and
+    the time of the key's one timer: when the watermark passes the minute of its first
+    held row. The timer puts out what is due, in order of time and id, and is set for
+    the next row. A key without rows for IDLE_MS begins anew.
     """
 
     def __init__(self, counted: str, ending: str):
@@ -29,50 +30,54 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", HELD)
-        self.count = handle.getValueState("count", "n long")
-        self.seen = handle.getMapState("seen", "kind string", "n long")
+        self.count = handle.getValueState("count", "n long, nth long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due, passed = set(), timerValues.getCurrentWatermarkInMs() // STEP_MS * STEP_MS * 1000
+        first, passed = None, timerValues.getCurrentWatermarkInMs() // STEP_MS * STEP_MS * 1000
         for part in rows:
-            new = part.loc[part["at"] >= passed, ["at", "id", "kind"]]  # Spark itself drops late rows a batch later
-            if len(new):
-                self.held.appendList([tuple(r) for r in new.itertuples(index=False)])
-            due |= set((new["at"] // 1000 // STEP_MS * STEP_MS + STEP_MS).tolist())
-        for ms in due - self.timers():
-            self.handle.registerTimer(ms)
-        yield pd.DataFrame()
-
-    def timers(self) -> set:
-        return {t if isinstance(t, int) else t[0] for t in self.handle.listTimers()}
+            new = [r for r in zip(part["at"].tolist(), part["id"].tolist(), part["kind"].tolist(), strict=True) if r[0] >= passed]  # Spark itself drops late rows a batch later
+            if new:
+                self.held.appendList(new)
+                first = min(new)[0] if first is None else min(first, min(new)[0])
+        if first is not None:
+            n, nth, timer = self.count.get() if self.count.exists() else (0, 0, None)
+            due = first // 1000 // STEP_MS * STEP_MS + STEP_MS
+            if timer is None or due < timer:
+                self.wait(n, nth, timer, due)
+        return iter(())
+
+    def wait(self, n: int, nth: int, old: int | None, due: int) -> None:
+        """The key's timer is at ``due`` instead of ``old``."""
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(due)
+        self.count.update((n, nth, due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = timerValues.getCurrentWatermarkInMs() // STEP_MS * STEP_MS * 1000
         held = sorted(tuple(r) for r in self.held.get())
         ready, rest = [r for r in held if r[0] < due], [r for r in held if r[0] >= due]
-        if not ready and not rest:
-            if not self.timers() - {expiredTimerInfo.getExpiryTimeInMs()}:  # no row came since this timer was set
-                self.count.clear()
-                self.seen.clear()
-            yield pd.DataFrame()
+        n, nth, _ = self.count.get() if self.count.exists() else (0, 0, None)
+        if not held:  # no row came since this timer was set
+            self.count.clear()
             return
-        n = self.count.get()[0] if self.count.exists() else 0
         out = []
         for _, row, kind in ready:
-            before = self.seen.getValue((kind,))[0] if self.seen.containsKey((kind,)) else 0
-            self.seen.updateValue((kind,), (before + 1,))
             if kind == self.ending:
-                out.append((key[0], row, n, before + 1))
+                nth += 1
+                out.append((key[0], row, n, nth))
                 n = 0
             elif kind == self.counted:
                 n += 1
-        self.count.update((n,))
         if rest:
-            self.held.put(rest)
+            if ready:
+                self.held.put(rest)
+            self.wait(n, nth, None, rest[0][0] // 1000 // STEP_MS * STEP_MS + STEP_MS)  # the old one has gone off
         else:
             self.held.clear()
-            self.handle.registerTimer(ready[-1][0] // 1000 + IDLE_MS)
-        yield pd.DataFrame(out, columns=["key", "id", "n", "nth"])
+            self.wait(n, nth, None, ready[-1][0] // 1000 + IDLE_MS)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", "n", "nth"])
 
     def close(self) -> None:
         pass
