@@ -156,6 +156,33 @@ def test_buckets_that_no_commit_names_are_removed(spark):
         t.clean(0)
 
 
+def test_large_buckets_get_runs_that_are_merged_by_and_by(spark, monkeypatch):
+    from weftline.streaming import upsert
+
+    monkeypatch.setattr(upsert, "SMALL", 40)
+    monkeypatch.setattr(upsert, "RUNS", 3)
+    t, rng, best, batches, size = upserts(spark, 2), random.Random(4), {}, 12, 60
+    for batch in range(batches):
+        made = [(rng.randrange(300), rng.randrange(20), rng.choice(["a", "b", None]), rng.random() < 0.2) for _ in range(size)]
+        t.merge(spark.createDataFrame(made, CHANGES), batch, "gone")
+        for k, version, v, gone in made:
+            best[k] = max(best.get(k, (-1,)), (version, gone, v is not None, v))
+        if batch % 4 == 3:
+            assert rows(t.read()) == sorted(((k, x[0], x[3]) for k, x in best.items() if not x[1]), key=repr)
+            assert t.clean() >= 0 and t.read().count() == sum(not x[1] for x in best.values())
+    assert max(map(len, t._runs().values())) <= 6
+
+
+def test_rows_are_not_written_anew_with_each_batch():
+    runs, written = [], 0
+    for batch in range(200):
+        merged = Table._merged(runs, 1_000_000)
+        runs = [*runs[: len(runs) - len(merged)], [f"batch={batch}", 1_000_000 + sum(n for _, n in merged)]]
+        written += runs[-1][1]
+        assert len(runs) < 20
+    assert sum(n for _, n in runs) == 200_000_000 and written < 5 * 200_000_000  # 100 times as much if a bucket is rewritten by each
+
+
 def test_a_stream_of_changes(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     t = upserts(spark)
