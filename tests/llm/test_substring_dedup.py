@@ -62,3 +62,13 @@ def test_windows_of_a_level_are_extensions_of_the_level_before():
         copy = np.concatenate([rng.integers(0, 1 << 63, 50, dtype=np.uint64), h[100:140]])
         for k in range(len(sizes)):
             assert (S._starts(copy, span, sizes[: k + 1])[50:] - 50 == S._starts(h, span, sizes[: k + 1])[100 : 100 + 40 - span + 1] - 100).all()
+
+
+def test_windows_are_selected_from_starts_taken_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    h, sizes, calls = rng.integers(0, 1 << 63, 300, dtype=np.uint64), S.levels(), []
+    kept = rng.choice(290, 90, replace=False).astype(np.int32)
+    want = np.unique(S._starts(h, S.SPAN, sizes)[np.isin(S._starts(h, S.SPAN, sizes[:-1]), kept)])
+    monkeypatch.setattr(S, "smallest", lambda *a, f=S.smallest: calls.append(1) or f(*a))
+    keys, at = S._selected(h, S.SPAN, sizes, kept)
+    assert at.tolist() == want.tolist() and len(keys) == len(at) and len(calls) == 1

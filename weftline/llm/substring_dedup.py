@@ -32,25 +32,39 @@ def levels(span: int = SPAN, first: int = FIRST) -> list[int]:
     return out
 
 
-def _starts(hashes: np.ndarray, span: int, sizes: list[int]) -> np.ndarray:
-    """For every passage the start of its window of the last of ``sizes``: the window of smallest hash, extended within the passage from level to level."""
+def _starts_by_level(hashes: np.ndarray, span: int, sizes: list[int]) -> list[np.ndarray]:
+    """For every passage the start of its window of each of ``sizes``: the window of smallest hash, extended within the passage from level to level."""
     at = smallest(windows(hashes, sizes[0]), span - sizes[0] + 1)
-    passage = np.arange(len(at))
+    passage, out = np.arange(len(at)), [at]
     for size in sizes[:-1]:
         left = np.where(at - size >= passage, at - size, passage + span - 2 * size)
         at = np.where(at - passage + 2 * size <= span, at, left)
-    return at
+        out.append(at)
+    return out
+
+
+def _starts(hashes: np.ndarray, span: int, sizes: list[int]) -> np.ndarray:
+    """``_starts_by_level`` of the last of ``sizes``."""
+    return _starts_by_level(hashes, span, sizes)[-1]
+
+
+def _marked(n: int, at: np.ndarray) -> np.ndarray:
+    """Which of n places are in ``at``."""
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
 
 
 def _alive(hashes: np.ndarray, span: int, sizes: list[int], kept: np.ndarray) -> np.ndarray:
     """Which passages (by start) have a kept window on the level of the last of ``sizes``."""
-    return np.isin(_starts(hashes, span, sizes), kept)
+    return _marked(len(hashes), kept)[_starts(hashes, span, sizes)]
 
 
-def _selected(hashes: np.ndarray, span: int, sizes: list[int], alive: np.ndarray | None) -> list[np.ndarray]:
-    """Hashes and places of the windows of the passages still alive, on the level of the last of ``sizes``."""
-    at = _starts(hashes, span, sizes)
-    at = np.unique(at if alive is None else at[alive])
+def _selected(hashes: np.ndarray, span: int, sizes: list[int], kept: np.ndarray | None) -> list[np.ndarray]:
+    """Hashes and places of the windows on the level of the last of ``sizes``, of passages with a kept window on the level before (all on the first)."""
+    starts = _starts_by_level(hashes, span, sizes)
+    at = starts[-1] if kept is None else starts[-1][_marked(len(hashes), kept)[starts[-2]]]
+    at = np.flatnonzero(_marked(len(hashes), at))
     return [signed(windows(hashes, sizes[-1])[at]), at.astype(np.int32)]
 
 
@@ -88,7 +102,7 @@ def repeated_passages(documents: DataFrame, span: int = SPAN, first: int = FIRST
             h = hashed(text)
             if len(h) < span:
                 return [none, none]
-            return _selected(h, span, sizes[: number + 1], None if kept is None else _alive(h, span, sizes[:number], kept))
+            return _selected(h, span, sizes[: number + 1], kept)
 
         return lambda batches: per_document(batches, one, ["doc_id", "key", "pos"])
 
