@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 from weftline.llm import line_dedup as L
 
@@ -125,3 +126,11 @@ def test_templates_outlast_unrelated_lines_of_their_leaf(spark):
     assert [kept[k] for k in range(4)] == [0, 1, 1, 1] and [kept[k] for k in range(10, 14)] == [0, 1, 1, 1] and not any(kept[k] for k in range(20, 28))
     documents = df.toPandas()  # noqa: F841
     assert sorted(duckdb.sql(L.SQL).fetchall(), key=repr) == brute(rows)
+
+
+def test_templates_of_odd_lines_and_of_long_words(spark):
+    lines = ["a b", " a  b1 2 ", "\ta\x0bb\r", "1 2 3", "x\u2028 7", "7\u2028 x7", "é1 é ü", "\u00a01 a\u00a0b", "<*> 1 a", "a1", "q" * 200_000 + " 1"]
+    df = spark.createDataFrame([(k, k, 0, x) for k, x in enumerate(lines)], "doc_id int, text_hash long, at int, line string")
+    got = L.worded(df.where("line is not null")).select("doc_id", "template", L.leaf(F.col("template")).alias("leaf")).collect()
+    want = [(k, masked(x)) for k, x in enumerate(lines)]
+    assert sorted(map(tuple, got)) == [(k, " ".join(w), f"{len(w)} {' '.join(w[:2])}") for k, w in want]
